@@ -21,7 +21,10 @@ def with_position(df: DataFrame, name: str) -> DataFrame:
     bucket's work.
     """
     keyed = df.select("*", F.md5(column(name)).alias("_digest"))
-    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
+    # Never NULL, so that the join adds no digest filter below what made ``df``, and
+    # both uses of ``df`` stay the same plan, which Spark then runs once.
+    bucket = F.coalesce(F.substring("_digest", 1, BUCKET_DIGITS), F.lit(""))
+    keyed = keyed.withColumn("_bucket", bucket)
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

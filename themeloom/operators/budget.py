@@ -57,7 +57,8 @@ def plan_requests(
         "*",
         oversize.alias("oversize"),
         *[value.alias(name) for name, value in sums.items()],
-        F.floor(column(order) / block_rows).cast("long").alias("_block"),
+        # Never NULL, so that both uses of ``requests`` stay the same plan.
+        F.coalesce(F.floor(column(order) / block_rows).cast("long"), F.lit(0)).alias("_block"),
     )
     totals = blocked.groupBy("_block").agg(*[F.sum(name).alias(f"{name}_block") for name in sums])
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from themeloom.tables import column, materialize, measured_bytes
 
 WORD_BITS = 62  # categories per mask column
 HOT_ANSWERS = 1_000  # an answer is hot when it fills more than 1/1,000 of all cells
+COUNTED_ROWS = 1_000_000  # rows looked at to tell the hot answers
 SALTS = 4_096
 
 
@@ -75,17 +76,29 @@ def code_masks(codeframe: DataFrame, categories: Sequence[str]) -> DataFrame:
     return lists.select("response", *masks)
 
 
+def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
+    """The masks as a written table, all under salt 0.
+
+    The salt has to be data: as a constant, the optimizer would take it out of
+    the join key, and the rows it is there to spread would meet in one task.
+    """
+    return materialize(code_masks(codeframe, categories).withColumn("salt", F.lit(0)), "code-masks")
+
+
 def _hot_masks(df: DataFrame, masks: DataFrame, limit_bytes: int) -> DataFrame | None:
     """``(response, mask_0, .., hot)`` of the few answers that fill much of the table.
 
     At most ``HOT_ANSWERS`` answers can each hold more than that share of the
-    cells, coded or not. Counting combines inside the tasks first. The result is
-    written once and measured; if it is too large to broadcast there is none, and
-    the rows go through the shuffle join, where adaptive execution splits large
-    partitions.
+    cells, coded or not. They are only looked up another way than the rest, so
+    about ``COUNTED_ROWS`` rows are enough to tell them, and no result depends on
+    which ones are found. The few rows are written once and measured; if they are
+    too large to broadcast there are none, and all answers go through the shuffle
+    join, where adaptive execution splits large partitions.
     """
-    cells = df.count() * (len(df.columns) - 1)
-    counts = unpivot_responses(df).groupBy("response").agg(F.count(F.lit(1)).alias("_cells"))
+    rows = df.count()
+    counted = df.sample(COUNTED_ROWS / rows, seed=1) if rows > COUNTED_ROWS else df
+    cells = min(rows, COUNTED_ROWS) * (len(df.columns) - 1)
+    counts = unpivot_responses(counted).groupBy("response").agg(F.count(F.lit(1)).alias("_cells"))
     frequent = counts.where(F.col("_cells") * HOT_ANSWERS > cells).select("response")
     frequent = materialize(frequent, "frequent-answers")
     if measured_bytes(frequent) > limit_bytes:
@@ -108,22 +121,24 @@ def _lookup(
 
     ``found`` is true on rows that need no lookup any more.
     """
-    words = [c for c in masks.columns if c != "response"]
-    key = f"_key_{suffix}"
-    side = masks.select(F.col("response").alias(key), *[F.col(w).alias(f"{w}_{suffix}") for w in words])
+    words = [c for c in masks.columns if c not in ("response", "salt")]
+    key, side_salt = f"_key_{suffix}", f"_salt_{suffix}"
+    side = masks.select(
+        F.col("response").alias(key),
+        F.col("salt").alias(side_salt),
+        *[F.col(w).alias(f"{w}_{suffix}") for w in words],
+    )
     if broadcast:
-        return df.join(F.broadcast(side), column(name) == F.col(key), "left").drop(key)
-    # Rows that need no lookup have no key; a salt spreads them over all tasks.
-    searched = F.when(column(name) != "", column(name))
+        return df.join(F.broadcast(side.drop(side_salt)), column(name) == F.col(key), "left").drop(key)
+    # Codes are under salt 0. Rows that need no lookup get another salt from their
+    # id: they match nothing and spread over all tasks, however many they are.
+    needless = column(name).isNull() | (column(name) == "")
     if found is not None:
-        searched = F.when(found.isNull(), searched)
-    spread = F.when(searched.isNull(), F.pmod(F.xxhash64(column(df.columns[0])), F.lit(SALTS))).otherwise(F.lit(0))
-    probe = df.withColumn("_searched", searched).withColumn("_spread", spread.cast("int"))
-    side = side.withColumn("_side_spread", F.lit(0))
-    matched = probe.join(
-        side, (F.col("_searched") == F.col(key)) & (F.col("_spread") == F.col("_side_spread")), "left"
-    )
-    return matched.drop(key, "_searched", "_spread", "_side_spread")
+        needless = needless | found.isNotNull()
+    elsewhere = F.pmod(F.xxhash64(column(df.columns[0])), F.lit(SALTS)) + 1
+    probe = df.withColumn("_salt", F.when(needless, elsewhere).otherwise(0).cast("int"))
+    matched = probe.join(side, (column(name) == F.col(key)) & (F.col("_salt") == F.col(side_salt)), "left")
+    return matched.drop(key, side_salt, "_salt")
 
 
 def categorize(
@@ -138,7 +153,7 @@ def categorize(
     * answer with known codes: 1 for these, 0 elsewhere;
     * any other answer, the empty one included: only ``Uncategorized`` is 1.
 
-    The size of the codeframe is measured. While it fits, each response column is
+    The codeframe is turned into masks, written once and measured. While it fits, each response column is
     one broadcast hash join and the responses are never shuffled. Beyond that, the
     few very frequent answers are still looked up by broadcast, and only the rest
     is shuffled by answer; missing, empty and frequent answers are spread evenly.
@@ -147,7 +162,7 @@ def categorize(
     response_columns = df.columns[1:]
     added = [indicator_name(c, r) for r in response_columns for c in names]
     _check_names(df, added)
-    masks = code_masks(codeframe, names)
+    masks = _written_masks(codeframe, names)
     small = measured_bytes(masks) <= broadcast_bytes
     hot = None
     if not small and not df.isStreaming:
@@ -220,7 +235,7 @@ def apply_codes(
     indicators keep their values. Works for single and multiple codes alike.
     """
     names = _unique(categories)
-    masks = code_masks(codeframe, names)
+    masks = _written_masks(codeframe, names)
     small = measured_bytes(masks) <= broadcast_bytes
     matched = _lookup(df, response_column, masks, "c", broadcast=small)
 

@@ -136,14 +136,18 @@ def ask_model(
 
 
 def with_request(batches: DataFrame, prompt: Column, settings: CodingSettings) -> DataFrame:
-    """Add the prompt, its key and its cost to batches of answers."""
-    asked = batches.withColumn("prompt", prompt)
-    return asked.select(
+    """Add the prompt, its key, its cost and its wave to batches, written once.
+
+    The table is laid out by wave, so that a wave reads its own requests only.
+    """
+    asked = batches.withColumn("prompt", prompt).select(
         "*",
         F.md5("prompt").alias("request_key"),
         F.size("responses").alias("answers"),
         (estimate_tokens(F.col("prompt")) + settings.expected_reply_tokens).alias("cost"),
+        F.floor(F.col("batch_id") / settings.requests_per_wave).cast("long").alias("wave"),
     )
+    return materialize(asked, "requests", partition_by="wave")
 
 
 def coding_requests(batches: DataFrame, categories: Sequence[str], settings: CodingSettings) -> DataFrame:
@@ -165,7 +169,7 @@ def run_requests(
 ) -> DataFrame:
     """Have every request answered once, and return the ledger.
 
-    The ledger is a Parquet table keyed by the digest of the prompt. Requests it
+    ``requests`` is a table written by ``with_request``. The ledger is a Parquet table keyed by the digest of the prompt. Requests it
     already holds are not asked again, so a run that died goes on where its last
     finished wave ended. A wave is ``requests_per_wave`` requests of the batch
     order and one Spark job; the first starts with a full minute of credit, later
@@ -176,18 +180,26 @@ def run_requests(
         raise ValueError("speculative tasks would pay for calls twice: turn spark.speculation off")
     spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger_path)
     answered = read_ledger(spark, ledger_path).select("request_key")
-    wave = F.floor(F.col("batch_id") / settings.requests_per_wave).cast("long")
-    pending = requests.join(answered, "request_key", "left_anti").withColumn("wave", wave)
+    pending = requests.select("request_key", "wave").join(answered, "request_key", "left_anti")
     pending = materialize(pending, "pending-requests", partition_by="wave")
     first, last = pending.agg(F.min("wave"), F.max("wave")).first()
     if first is None:
         return read_ledger(spark, ledger_path)
     for number in range(first, last + 1):
-        planned = plan_requests(
-            pending.where(F.col("wave") == number),
-            settings.tokens_per_minute,
-            settings.requests_per_minute,
-            start_full=number == first,
-        )
+        wave = F.col("wave") == number
+        asked = requests.where(wave).join(pending.where(wave), ["wave", "request_key"], "left_semi")
+        if settings.paced:
+            planned = plan_requests(
+                asked,
+                settings.tokens_per_minute,
+                settings.requests_per_minute,
+                start_full=number == first,
+            )
+        else:
+            planned = asked.select(
+                "*",
+                (F.col("cost") > settings.tokens_per_minute).alias("oversize"),
+                F.lit(0).cast("long").alias("admit_us"),
+            )
         ask_model(planned, client_factory, reader, settings).write.mode("append").parquet(ledger_path)
     return read_ledger(spark, ledger_path)

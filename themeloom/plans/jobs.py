@@ -22,7 +22,7 @@ from themeloom.operators.inference import (
 )
 from themeloom.operators.reshape import clean_responses, distinct_responses, promptable_categories
 from themeloom.operators.sampling import sample_array
-from themeloom.tables import materialize, scratch_path
+from themeloom.tables import scratch_path
 
 
 def propose_categories(
@@ -40,7 +40,7 @@ def propose_categories(
     ledger_path = ledger_path or scratch_path(spark, "category-ledger")
     prompt = category_prompt(F.col("responses"), settings.question, settings.number_of_categories)
     batch = sample.select(F.lit(0).cast("long").alias("batch_id"), F.col("sample").alias("responses"))
-    request = materialize(with_request(batch, prompt, settings), "category-request")
+    request = with_request(batch, prompt, settings)
     ledger = run_requests(request, client_factory, ThemeReply(), settings, ledger_path)
     reply = ledger.join(request.select("request_key"), "request_key", "left_semi")
     proposed = F.when(F.col("status") == "ok", F.flatten("codes")).otherwise(F.array(F.lit(FAILED)))
@@ -73,7 +73,7 @@ def code_batches(
     """
     spark = batches.sparkSession
     ledger_path = ledger_path or scratch_path(spark, "coding-ledger")
-    requests = materialize(coding_requests(batches, categories, settings), "coding-requests")
+    requests = coding_requests(batches, categories, settings)
     reader = CodeReply(tuple(categories), settings.is_multicode, settings.strict_length)
     ledger = run_requests(requests, client_factory, reader, settings, ledger_path)
     return requests.select("request_key", "batch_id", "responses").join(ledger, "request_key")
