@@ -15,7 +15,6 @@ from themeloom.tables import column, materialize, measured_bytes
 WORD_BITS = 62  # categories per mask column
 HOT_ANSWERS = 1_000  # an answer is hot when it fills more than 1/1,000 of all cells
 COUNTED_ROWS = 1_000_000  # rows looked at to tell the hot answers
-SALTS = 4_096
 
 
 def indicator_name(category: str, response_column: str) -> str:
@@ -82,7 +81,8 @@ def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
     The salt has to be data: as a constant, the optimizer would take it out of
     the join key, and the rows it is there to spread would meet in one task.
     """
-    return materialize(code_masks(codeframe, categories).withColumn("salt", F.lit(0)), "code-masks")
+    salt = F.lit(0).cast("long")
+    return materialize(code_masks(codeframe, categories).withColumn("salt", salt), "code-masks")
 
 
 def _hot_masks(df: DataFrame, masks: DataFrame, limit_bytes: int) -> DataFrame | None:
@@ -114,31 +114,67 @@ def _lookup(
     name: str,
     masks: DataFrame,
     suffix: str,
-    broadcast: bool,
-    found: Column | None = None,
+    salt: Column | None = None,
 ) -> DataFrame:
     """Left join one response column to its masks, as ``mask_<w>_<suffix>``.
 
-    ``found`` is true on rows that need no lookup any more.
+    Without a ``salt`` the masks are broadcast. With one, both sides are shuffled
+    by answer and salt.
     """
-    words = [c for c in masks.columns if c not in ("response", "salt")]
     key, side_salt = f"_key_{suffix}", f"_salt_{suffix}"
-    side = masks.select(
-        F.col("response").alias(key),
-        F.col("salt").alias(side_salt),
-        *[F.col(w).alias(f"{w}_{suffix}") for w in words],
+    side = masks.withColumnsRenamed(
+        {"response": key, "salt": side_salt, **{c: f"{c}_{suffix}" for c in masks.columns if c not in ("response", "salt")}}
     )
-    if broadcast:
-        return df.join(F.broadcast(side.drop(side_salt)), column(name) == F.col(key), "left").drop(key)
-    # Codes are under salt 0. Rows that need no lookup get another salt from their
-    # id: they match nothing and spread over all tasks, however many they are.
-    needless = column(name).isNull() | (column(name) == "")
-    if found is not None:
-        needless = needless | found.isNotNull()
-    elsewhere = F.pmod(F.xxhash64(column(df.columns[0])), F.lit(SALTS)) + 1
-    probe = df.withColumn("_salt", F.when(needless, elsewhere).otherwise(0).cast("int"))
-    matched = probe.join(side, (column(name) == F.col(key)) & (F.col("_salt") == F.col(side_salt)), "left")
-    return matched.drop(key, side_salt, "_salt")
+    if salt is None:
+        side = F.broadcast(side.drop(side_salt))
+        return df.join(side, column(name) == F.col(key), "left").drop(key)
+    matches = (column(name) == F.col(key)) & (F.col("_salt") == F.col(side_salt))
+    return df.withColumn("_salt", salt).join(side, matches, "left").drop(key, side_salt, "_salt")
+
+
+def _with_masks(
+    df: DataFrame,
+    response_columns: Sequence[str],
+    codeframe: DataFrame,
+    categories: list[str],
+    broadcast_bytes: int,
+    spread_by: Sequence[str],
+) -> tuple[DataFrame, dict[str, list[Column]]]:
+    """``df`` joined to the codeframe, and the mask columns of each response column.
+
+    The codeframe is turned into masks, written once and measured. While it fits,
+    each response column is one broadcast hash join and ``df`` is never shuffled.
+    Beyond that, the few very frequent answers are still looked up by broadcast,
+    and only the rest meets its codes by a shuffle. Rows that need no lookup there
+    - missing, empty and frequent answers - take a salt from the ``spread_by``
+    columns: they match nothing and go evenly over all tasks.
+    """
+    masks = _written_masks(codeframe, categories)
+    words = [c for c in masks.columns if c.startswith("mask_")]
+    small = measured_bytes(masks) <= broadcast_bytes
+    hot = None
+    if not small and not df.isStreaming:
+        narrow = df.select(F.lit(0).alias("_id"), *[column(c) for c in response_columns])
+        hot = _hot_masks(narrow, masks, broadcast_bytes)
+    elsewhere = F.xxhash64(*[column(c) for c in spread_by]).bitwiseOR(F.lit(1))
+    found: dict[str, list[Column]] = {}
+    for i, name in enumerate(response_columns):
+        suffixes = [f"c{i}"]
+        if small:
+            df = _lookup(df, name, masks, f"c{i}")
+        else:
+            needless = column(name).isNull() | (column(name) == "")
+            if hot is not None:
+                df = _lookup(df, name, hot, f"h{i}")
+                suffixes.insert(0, f"h{i}")
+                needless = needless | F.col(f"hot_h{i}").isNotNull()
+            df = _lookup(df, name, masks, f"c{i}", salt=F.when(needless, elsewhere).otherwise(0))
+        found[name] = [F.coalesce(*[F.col(f"{word}_{s}") for s in suffixes]) for word in words]
+    return df, found
+
+
+def _indicator(mask_words: Sequence[Column], place: int) -> Column:
+    return F.shiftright(mask_words[place // WORD_BITS], place % WORD_BITS).bitwiseAND(F.lit(1))
 
 
 def categorize(
@@ -153,54 +189,29 @@ def categorize(
     * answer with known codes: 1 for these, 0 elsewhere;
     * any other answer, the empty one included: only ``Uncategorized`` is 1.
 
-    The codeframe is turned into masks, written once and measured. While it fits, each response column is
-    one broadcast hash join and the responses are never shuffled. Beyond that, the
-    few very frequent answers are still looked up by broadcast, and only the rest
-    is shuffled by answer; missing, empty and frequent answers are spread evenly.
+    One projection over lookup joins; see ``_with_masks`` for how these run. The
+    codeframe must hold each answer once.
     """
     names = _unique(categories)
-    response_columns = df.columns[1:]
-    added = [indicator_name(c, r) for r in response_columns for c in names]
-    _check_names(df, added)
-    masks = _written_masks(codeframe, names)
-    small = measured_bytes(masks) <= broadcast_bytes
-    hot = None
-    if not small and not df.isStreaming:
-        hot = _hot_masks(df, masks, broadcast_bytes)
-
-    coded = df
-    found: dict[str, list[Column]] = {}
+    id_column, *response_columns = df.columns
+    _check_names(df, [indicator_name(c, r) for r in response_columns for c in names])
+    coded, found = _with_masks(df, response_columns, codeframe, names, broadcast_bytes, [id_column])
     defaults = _default_masks(names)
-    for i, name in enumerate(response_columns):
-        sources = []
-        if small:
-            coded = _lookup(coded, name, masks, f"c{i}", broadcast=True)
-        else:
-            is_hot = None
-            if hot is not None:
-                coded = _lookup(coded, name, hot, f"h{i}", broadcast=True)
-                sources.append(f"h{i}")
-                is_hot = F.col(f"hot_h{i}")
-            coded = _lookup(coded, name, masks, f"c{i}", broadcast=False, found=is_hot)
-        sources.append(f"c{i}")
-        found[name] = [
-            F.when(
-                column(name).isNotNull(),
-                F.coalesce(*[F.col(f"mask_{w}_{s}") for s in sources], F.lit(default).cast("long")),
-            )
-            for w, default in enumerate(defaults)
-        ]
-    held = {name: [f"_bits_{i}_{w}" for w in range(len(defaults))] for i, name in enumerate(response_columns)}
-    coded = coded.select(
-        *[column(c) for c in df.columns],
-        *[mask.alias(alias) for name in response_columns for mask, alias in zip(found[name], held[name])],
-    )
+    held = {
+        name: [f"_mask_{i}_{w}" for w in range(len(defaults))] for i, name in enumerate(response_columns)
+    }
+    full = [
+        F.when(column(name).isNotNull(), F.coalesce(mask, F.lit(default))).alias(alias)
+        for name in response_columns
+        for mask, default, alias in zip(found[name], defaults, held[name])
+    ]
+    kept = [column(c) for c in df.columns]
     indicators = [
-        F.shiftright(F.col(held[r][i // WORD_BITS]), i % WORD_BITS).bitwiseAND(F.lit(1)).alias(indicator_name(c, r))
-        for r in response_columns
-        for i, c in enumerate(names)
+        _indicator([F.col(alias) for alias in held[name]], place).alias(indicator_name(category, name))
+        for name in response_columns
+        for place, category in enumerate(names)
     ]
-    return coded.select(*[column(c) for c in df.columns], *indicators)
+    return coded.select(*kept, *full).select(*kept, *indicators)
 
 
 def default_indicators(df: DataFrame, response_columns: Sequence[str], categories: Sequence[str]) -> DataFrame:
@@ -235,17 +246,12 @@ def apply_codes(
     indicators keep their values. Works for single and multiple codes alike.
     """
     names = _unique(categories)
-    masks = _written_masks(codeframe, names)
-    small = measured_bytes(masks) <= broadcast_bytes
-    matched = _lookup(df, response_column, masks, "c", broadcast=small)
+    coded, found = _with_masks(df, [response_column], codeframe, names, broadcast_bytes, df.columns)
+    own = {indicator_name(c, response_column): c for c in names}
 
     def updated(name: str) -> Column:
-        category = own[name]
-        place = names.index(category)
-        mask = F.col(f"mask_{place // WORD_BITS}_c")
-        bit = F.shiftright(mask, place % WORD_BITS).bitwiseAND(F.lit(1))
-        change = mask.isNotNull() if category == UNCATEGORIZED else bit == 1
+        bit = _indicator(found[response_column], names.index(own[name]))
+        change = bit.isNotNull() if own[name] == UNCATEGORIZED else bit == 1
         return F.when(change, bit).otherwise(column(name)).alias(name)
 
-    own = {indicator_name(c, response_column): c for c in names}
-    return matched.select(*[updated(c) if c in own else column(c) for c in df.columns])
+    return coded.select(*[updated(c) if c in own else column(c) for c in df.columns])
