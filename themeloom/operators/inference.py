@@ -115,7 +115,10 @@ def ask_model(
     ``concurrency`` partitions, each asking one request at a time in admission
     order. Evaluating the result calls the model: write it before using it.
     """
-    cloudpickle.register_pickle_by_value(sys.modules["themeloom"])
+    # Tasks get this package and the caller's client with the job, so executors
+    # need neither installed.
+    for module in ("themeloom", client_factory.__module__):
+        cloudpickle.register_pickle_by_value(sys.modules[module])
 
     def ask_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, started = client_factory(), time.time()
