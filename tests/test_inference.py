@@ -88,6 +88,18 @@ def test_ledger_answers_each_prompt_once(spark, tmp_path):
     assert again.count() == 23 and len(list(calls.iterdir())) == 23
 
 
+def test_failed_requests_are_tried_by_the_next_run(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    one = batches(spark, ["red"], ["blue"])
+    down = code_batches(one, CATEGORIES, lambda: ScriptedClient([RuntimeError("down")]), FAST, ledger)
+    assert {(r.status, r.last_error) for r in down.collect()} == {("error", "down")}
+    up = code_batches(one, CATEGORIES, lambda: KeywordClient(False), FAST, ledger)
+    assert sorted((r.responses[0], r.status, r.codes) for r in up.collect()) == [
+        ("blue", "ok", [["Blue"]]), ("red", "ok", [["Red"]]),
+    ]
+    assert read_ledger(spark, ledger).count() == 4
+
+
 def test_waves_hold_concurrency_and_survive_a_stop(spark, tmp_path):
     """A client that dies in a later wave leaves the earlier waves in the ledger."""
     ledger = str(tmp_path / "ledger")

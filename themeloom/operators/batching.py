@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from themeloom.tables import column
 
-BUCKET_DIGITS = 3  # 16**3 = 4,096 buckets of the digest order
+BUCKET_DIGITS = 4  # 16**4 = 65,536 buckets of the digest order
 
 
 def with_position(df: DataFrame, name: str) -> DataFrame:
     """Add ``position``: the 0-based place of each row in ``(md5(name), name)`` order.
 
     A window over the whole table would sort it in one task. The leading digits
-    of the digest split the order into 4,096 even buckets: rows are ranked inside
+    of the digest split the order into 65,536 even buckets: rows are ranked inside
     their bucket, and each bucket starts where the earlier ones end. Only that
-    table of bucket sizes, at most 4,096 rows, is summed in one place and
+    table of bucket sizes, at most 65,536 rows, is summed in one place and
     broadcast. ``name`` should be free of repeats, as a repeated value is one
     bucket's work.
     """

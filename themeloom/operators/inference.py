@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,10 +159,18 @@ def coding_requests(batches: DataFrame, categories: Sequence[str], settings: Cod
     return with_request(batches, prompt, settings)
 
 
-def read_ledger(spark, path: str) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
+def best_replies(ledger: DataFrame) -> DataFrame:
+    """One ledger row per request: a good reply where there is one."""
+    row = F.struct(*LEDGER_SCHEMA.names[1:])
+    rank = F.struct(F.col("status") == "ok", F.col("attempts"), F.col("reply"))
+    best = ledger.groupBy("request_key").agg(F.max_by(row, rank).alias("_row"))
+    return best.select("request_key", "_row.*")
+
+
 def run_requests(
     requests: DataFrame,
     client_factory: Callable[[], ModelClient],
@@ -170,25 +178,25 @@ def run_requests(
     settings: CodingSettings,
     ledger_path: str,
 ) -> DataFrame:
-    """Have every request answered once, and return the ledger.
-
-    ``requests`` is a table written by ``with_request``. The ledger is a Parquet table keyed by the digest of the prompt. Requests it
-    already holds are not asked again, so a run that died goes on where its last
-    finished wave ended. A wave is ``requests_per_wave`` requests of the batch
-    order and one Spark job; the first starts with a full minute of credit, later
-    ones go on at the steady rate. The write is the only evaluation of the calls.
+    """Have every request answered, and return the best ledger row of each.
+
+    ``requests`` is a table written by ``with_request``. The ledger is a Parquet
+    table keyed by the digest of the prompt. Requests with a good reply in it are
+    not asked again, so a run that died goes on where its last finished wave
+    ended, and a later run tries those that failed. A wave is
+    ``requests_per_wave`` requests of the batch order and one Spark job; the first
+    starts with a full minute of credit, later ones go on at the steady rate. The
+    write is the only evaluation of the calls.
     """
     spark = requests.sparkSession
     if spark.conf.get("spark.speculation", "false").lower() == "true":
         raise ValueError("speculative tasks would pay for calls twice: turn spark.speculation off")
     spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger_path)
-    answered = read_ledger(spark, ledger_path).select("request_key")
+    answered = read_ledger(spark, ledger_path).where(F.col("status") == "ok").select("request_key")
     pending = requests.select("request_key", "wave").join(answered, "request_key", "left_anti")
     pending = materialize(pending, "pending-requests", partition_by="wave")
     first, last = pending.agg(F.min("wave"), F.max("wave")).first()
-    if first is None:
-        return read_ledger(spark, ledger_path)
-    for number in range(first, last + 1):
+    for number in () if first is None else range(first, last + 1):
         wave = F.col("wave") == number
         asked = requests.where(wave).join(pending.where(wave), ["wave", "request_key"], "left_semi")
         if settings.paced:
@@ -205,4 +213,4 @@ def run_requests(
                 F.lit(0).cast("long").alias("admit_us"),
             )
         ask_model(planned, client_factory, reader, settings).write.mode("append").parquet(ledger_path)
-    return read_ledger(spark, ledger_path)
+    return best_replies(read_ledger(spark, ledger_path))
