@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tests.plans import executed_plan
@@ -120,6 +121,13 @@ def test_clashing_names_are_refused(spark):
         categorize(df, single(spark, {"x": "A"}), ["A"])
 
 
+def test_answer_with_two_entries_is_an_error(spark):
+    df = spark.createDataFrame([("1", "x")], "id string, r string")
+    twice = single(spark, {"x": "A"}).union(single(spark, {"x": "Uncategorized"}))
+    with pytest.raises(PySparkException, match="coded more than once: x"):
+        categorize(df, twice, ["A", "Uncategorized"])
+
+
 def skewed(spark, tmp_path):
     """A third of all answers is one text, a third missing, and the rest differ."""
     path = str(tmp_path / "skewed")

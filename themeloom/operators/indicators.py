@@ -79,10 +79,18 @@ def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
     """The masks as a written table, all under salt 0.
 
     The salt has to be data: as a constant, the optimizer would take it out of
-    the join key, and the rows it is there to spread would meet in one task.
+    the join key, and the rows it is there to spread would meet in one task. An
+    answer with two entries would double rows, and is an error instead; codeframes
+    that were read or built here are already grouped by answer for this check.
     """
-    salt = F.lit(0).cast("long")
-    return materialize(code_masks(codeframe, categories).withColumn("salt", salt), "code-masks")
+    masks = code_masks(codeframe, categories)
+    words = masks.columns[1:]
+    counted = masks.groupBy("response").agg(
+        F.count(F.lit(1)).alias("_entries"), *[F.first(word).alias(word) for word in words]
+    )
+    repeated = F.raise_error(F.concat(F.lit("answer coded more than once: "), F.col("response")))
+    salt = F.when(F.col("_entries") == 1, F.lit(0)).otherwise(repeated).cast("long")
+    return materialize(counted.select("response", *words, salt.alias("salt")), "code-masks")
 
 
 def _hot_masks(df: DataFrame, masks: DataFrame, limit_bytes: int) -> DataFrame | None:

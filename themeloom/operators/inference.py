@@ -142,13 +142,17 @@ def with_request(batches: DataFrame, prompt: Column, settings: CodingSettings) -
     """Add the prompt, its key, its cost and its wave to batches, written once.
 
     The table is laid out by wave, so that a wave reads its own requests only.
+    Batches are brought together in shares of a wave, no larger than what one
+    task asks, before the longer prompts are made of them.
     """
-    asked = batches.withColumn("prompt", prompt).select(
+    wave = F.floor(F.col("batch_id") / settings.requests_per_wave).cast("long")
+    share = F.pmod(F.col("batch_id"), F.lit(settings.concurrency))
+    asked = batches.withColumn("wave", wave).repartition("wave", share).withColumn("prompt", prompt)
+    asked = asked.select(
         "*",
         F.md5("prompt").alias("request_key"),
         F.size("responses").alias("answers"),
         (estimate_tokens(F.col("prompt")) + settings.expected_reply_tokens).alias("cost"),
-        F.floor(F.col("batch_id") / settings.requests_per_wave).cast("long").alias("wave"),
     )
     return materialize(asked, "requests", partition_by="wave")
 
@@ -194,7 +198,7 @@ def run_requests(
     spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(ledger_path)
     answered = read_ledger(spark, ledger_path).where(F.col("status") == "ok").select("request_key")
     pending = requests.select("request_key", "wave").join(answered, "request_key", "left_anti")
-    pending = materialize(pending, "pending-requests", partition_by="wave")
+    pending = materialize(pending.repartition("wave"), "pending-requests", partition_by="wave")
     first, last = pending.agg(F.min("wave"), F.max("wave")).first()
     for number in () if first is None else range(first, last + 1):
         wave = F.col("wave") == number

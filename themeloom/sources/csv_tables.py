@@ -143,8 +143,18 @@ def read_codeframe_multi(spark: SparkSession, path: str) -> DataFrame:
     return _read_codeframe(spark, path).select("response", lists.alias("categories"))
 
 
+def _refuse_empty(df: DataFrame, path: str) -> None:
+    if df.isEmpty():
+        raise ValueError(f"nothing to write to {path}")
+
+
 def write_csv(
-    df: DataFrame, path: str, header: bool = True, one_file: bool = False, rows_from: DataFrame | None = None
+    df: DataFrame,
+    path: str,
+    header: bool = True,
+    one_file: bool = False,
+    rows_from: DataFrame | None = None,
+    mode: str = "error",
 ) -> None:
     """Write a folder of CSV parts; an empty table is an error and writes nothing.
 
@@ -152,11 +162,11 @@ def write_csv(
     check does not start the whole plan. ``one_file`` keeps the row order of
     ``df`` in a single part, for small files that people hand on.
     """
-    if (df if rows_from is None else rows_from).isEmpty():
-        raise ValueError(f"nothing to write to {path}")
+    _refuse_empty(df if rows_from is None else rows_from, path)
     (
         (df.coalesce(1) if one_file else df)
-        .write.option("header", header)
+        .write.mode(mode)
+        .option("header", header)
         .option("escape", '"')
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
@@ -165,11 +175,10 @@ def write_csv(
     )
 
 
-def write_parquet(df: DataFrame, path: str, rows_from: DataFrame | None = None) -> None:
+def write_parquet(df: DataFrame, path: str, rows_from: DataFrame | None = None, mode: str = "error") -> None:
     """As ``write_csv``, in the form large tables should take."""
-    if (df if rows_from is None else rows_from).isEmpty():
-        raise ValueError(f"nothing to write to {path}")
-    df.write.parquet(path)
+    _refuse_empty(df if rows_from is None else rows_from, path)
+    df.write.mode(mode).parquet(path)
 
 
 def codeframe_rows(codeframe: DataFrame) -> DataFrame:
@@ -178,6 +187,6 @@ def codeframe_rows(codeframe: DataFrame) -> DataFrame:
     return codeframe.select(F.col("response").alias("key"), value.alias("value"))
 
 
-def write_codeframe(codeframe: DataFrame, path: str, header: bool = True) -> None:
+def write_codeframe(codeframe: DataFrame, path: str, header: bool = True, mode: str = "error") -> None:
     """Write a codeframe as ``key,value``; an empty one is an error."""
-    write_csv(codeframe_rows(codeframe), path, header=header)
+    write_csv(codeframe_rows(codeframe), path, header=header, mode=mode)
