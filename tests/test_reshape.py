@@ -37,6 +37,11 @@ def test_clean_keeps_id_and_order(responses):
     assert rows == [("1", "yes", "no"), ("2", None, "yes"), ("3", "", None), ("4", "no", "maybe so")]
 
 
+def test_numbers_are_answers_unless_not_a_number(spark):
+    df = spark.createDataFrame([("1", float("nan"), 7), ("2", 2.5, None)], "id string, a double, b long")
+    assert [tuple(r) for r in clean_responses(df).orderBy("id").collect()] == [("1", None, "7"), ("2", "25", None)]
+
+
 def test_unpivot_drops_missing_only(responses):
     long = unpivot_responses(clean_responses(responses)).collect()
     assert len(long) == 6

@@ -58,11 +58,12 @@ def code_masks(codeframe: DataFrame, categories: Sequence[str]) -> DataFrame:
     Codes are worked out here, once per distinct answer, so that applying them to
     the response table is a join and a shift. Codes outside ``categories`` do not
     count, and answers left without any code are dropped, as they are coded like
-    an unknown answer. The helper category is set only when it comes last.
+    an unknown answer; so is an entry for the empty answer. The helper category is set only when it comes last.
     """
     names = _unique(categories)
     known = F.filter("codes", lambda c: c.isin(names))
-    lists = _code_lists(codeframe).withColumn("codes", known).where(F.size("codes") > 0)
+    lists = _code_lists(codeframe).where(F.col("response") != "")
+    lists = lists.withColumn("codes", known).where(F.size("codes") > 0)
 
     def bit(position: int, name: str) -> Column:
         last = F.element_at("codes", -1) == name
@@ -76,12 +77,11 @@ def code_masks(codeframe: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 
 def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
-    """The masks as a written table, all under salt 0.
+    """The masks as a written table.
 
-    The salt has to be data: as a constant, the optimizer would take it out of
-    the join key, and the rows it is there to spread would meet in one task. An
-    answer with two entries would double rows, and is an error instead; codeframes
-    that were read or built here are already grouped by answer for this check.
+    An answer with two entries would double rows, and is an error instead;
+    codeframes that were read or built here are already grouped by answer for
+    this check.
     """
     masks = code_masks(codeframe, categories)
     words = masks.columns[1:]
@@ -89,8 +89,8 @@ def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("_entries"), *[F.first(word).alias(word) for word in words]
     )
     repeated = F.raise_error(F.concat(F.lit("answer coded more than once: "), F.col("response")))
-    salt = F.when(F.col("_entries") == 1, F.lit(0)).otherwise(repeated).cast("long")
-    return materialize(counted.select("response", *words, salt.alias("salt")), "code-masks")
+    checked = F.when(F.col("_entries") == 1, F.col(words[0])).otherwise(repeated.cast("long"))
+    return materialize(counted.select("response", checked.alias(words[0]), *words[1:]), "code-masks")
 
 
 def _hot_masks(df: DataFrame, masks: DataFrame, limit_bytes: int) -> DataFrame | None:
@@ -122,22 +122,22 @@ def _lookup(
     name: str,
     masks: DataFrame,
     suffix: str,
-    salt: Column | None = None,
+    place: Column | None = None,
 ) -> DataFrame:
     """Left join one response column to its masks, as ``mask_<w>_<suffix>``.
 
-    Without a ``salt`` the masks are broadcast. With one, both sides are shuffled
-    by answer and salt.
+    Without a ``place`` the masks are broadcast. With one, rows and masks meet
+    where the digest of the answer puts them, which also sorts faster than text.
     """
-    key, side_salt = f"_key_{suffix}", f"_salt_{suffix}"
-    side = masks.withColumnsRenamed(
-        {"response": key, "salt": side_salt, **{c: f"{c}_{suffix}" for c in masks.columns if c not in ("response", "salt")}}
-    )
-    if salt is None:
-        side = F.broadcast(side.drop(side_salt))
-        return df.join(side, column(name) == F.col(key), "left").drop(key)
-    matches = (column(name) == F.col(key)) & (F.col("_salt") == F.col(side_salt))
-    return df.withColumn("_salt", salt).join(side, matches, "left").drop(key, side_salt, "_salt")
+    key, side_place = f"_key_{suffix}", f"_place_{suffix}"
+    renamed = {c: key if c == "response" else f"{c}_{suffix}" for c in masks.columns}
+    side = masks.withColumnsRenamed(renamed)
+    same = column(name) == F.col(key)
+    if place is None:
+        return df.join(F.broadcast(side), same, "left").drop(key)
+    side = side.withColumn(side_place, F.xxhash64(key))
+    there = F.col("_place") == F.col(side_place)
+    return df.withColumn("_place", place).join(side, there & same, "left").drop(key, side_place, "_place")
 
 
 def _with_masks(
@@ -154,8 +154,8 @@ def _with_masks(
     each response column is one broadcast hash join and ``df`` is never shuffled.
     Beyond that, the few very frequent answers are still looked up by broadcast,
     and only the rest meets its codes by a shuffle. Rows that need no lookup there
-    - missing, empty and frequent answers - take a salt from the ``spread_by``
-    columns: they match nothing and go evenly over all tasks.
+    - missing, empty and frequent answers - go where the digest of the
+    ``spread_by`` columns puts them, which is evenly over all tasks.
     """
     masks = _written_masks(codeframe, categories)
     words = [c for c in masks.columns if c.startswith("mask_")]
@@ -164,7 +164,7 @@ def _with_masks(
     if not small and not df.isStreaming:
         narrow = df.select(F.lit(0).alias("_id"), *[column(c) for c in response_columns])
         hot = _hot_masks(narrow, masks, broadcast_bytes)
-    elsewhere = F.xxhash64(*[column(c) for c in spread_by]).bitwiseOR(F.lit(1))
+    elsewhere = F.xxhash64(*[column(c) for c in spread_by])
     found: dict[str, list[Column]] = {}
     for i, name in enumerate(response_columns):
         suffixes = [f"c{i}"]
@@ -176,7 +176,8 @@ def _with_masks(
                 df = _lookup(df, name, hot, f"h{i}")
                 suffixes.insert(0, f"h{i}")
                 needless = needless | F.col(f"hot_h{i}").isNotNull()
-            df = _lookup(df, name, masks, f"c{i}", salt=F.when(needless, elsewhere).otherwise(0))
+            place = F.when(needless, elsewhere).otherwise(F.xxhash64(column(name)))
+            df = _lookup(df, name, masks, f"c{i}", place)
         found[name] = [F.coalesce(*[F.col(f"{word}_{s}") for s in suffixes]) for word in words]
     return df, found
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.config import UNCATEGORIZED
@@ -19,7 +19,14 @@ def split_columns(df: DataFrame) -> tuple[str, list[str]]:
 def clean_responses(df: DataFrame) -> DataFrame:
     """Every response column cleaned, next to the untouched id: one projection."""
     id_column, response_columns = split_columns(df)
-    cleaned = [clean_text(column(c)).alias(c) for c in response_columns]
+    kinds = dict(df.dtypes)
+
+    def present(name: str) -> Column:
+        """Numbers that are not a number are missing answers."""
+        value = column(name)
+        return F.when(~F.isnan(value), value) if kinds[name] in ("double", "float") else value
+
+    cleaned = [clean_text(present(c)).alias(c) for c in response_columns]
     return df.select(column(id_column), *cleaned)
 
 
