@@ -346,9 +346,9 @@ def keyword_codeframe(answers: DataFrame, categories: list[str]) -> DataFrame:
 
 def apply_all_shuffled(spark, sf_dir):
     """Long distinct answers, with no room to broadcast their codeframe."""
-    codeframe = keyword_codeframe(note_answers(spark, sf_dir), NOTE_CATEGORIES)
-    coded = categorize(clean_responses(notes(spark, sf_dir)), codeframe, NOTE_CATEGORIES, broadcast_bytes=16_384)
-    return coded.drop("r1")
+    answers = materialize(clean_responses(notes(spark, sf_dir)), "cleaned")
+    codeframe = keyword_codeframe(distinct_responses(answers, keep_empty=False), NOTE_CATEGORIES)
+    return categorize(answers, codeframe, NOTE_CATEGORIES, broadcast_bytes=16_384).drop("r1")
 
 
 def apply_all_frequent(spark, sf_dir):

@@ -7,7 +7,7 @@ from themeloom.operators import indicators
 from themeloom.operators.audits import failed_answers, unknown_codes
 from themeloom.operators.indicators import apply_codes, categorize, default_indicators, missing_to_null
 
-NAMES = ["Category1", "Category2", "Uncategorized"]
+NAMES = ["Price", "Staff", "Uncategorized"]
 
 
 def codeframe(spark, codes):
@@ -19,9 +19,9 @@ def single(spark, codes):
 
 
 def test_defaults(spark):
-    df = spark.createDataFrame([("a", "c", "e"), ("b", "d", "f")], "uuid string, response1 string, response2 string")
-    got = default_indicators(df, ["response1", "response2"], NAMES)
-    assert got.columns == df.columns + [f"{c}_{r}" for r in ("response1", "response2") for c in NAMES]
+    df = spark.createDataFrame([("a", "c", "e"), ("b", "d", "f")], "person string, liked string, disliked string")
+    got = default_indicators(df, ["liked", "disliked"], NAMES)
+    assert got.columns == df.columns + [f"{c}_{r}" for r in ("liked", "disliked") for c in NAMES]
     assert set(dict(got.dtypes)[c] for c in got.columns[3:]) == {"bigint"}
     assert [tuple(r)[3:] for r in got.collect()] == [(0, 0, 1, 0, 0, 1)] * 2
 
@@ -29,39 +29,39 @@ def test_defaults(spark):
 def test_missing_affects_its_own_column_only(spark):
     rows = [(None, "c", 0, 0, 1, 1), ("a", None, 1, 0, 0, 0), ("b", None, 0, 1, 0, 0), (None, "d", 0, 0, 0, 1)]
     df = spark.createDataFrame(
-        rows, "r1 string, r2 string, Category1_r1 long, Category2_r1 long, Category1_r2 long, Category2_r2 long"
+        rows, "r1 string, r2 string, Price_r1 long, Staff_r1 long, Price_r2 long, Staff_r2 long"
     )
     got = [tuple(r) for r in missing_to_null(df, "r1", NAMES).collect()]
     assert got == [(r[0], r[1], *((None, None) if r[0] is None else r[2:4]), *r[4:]) for r in rows]
 
 
 def test_single_code(spark):
-    df = spark.createDataFrame([("yes", 0, 1), ("no", 0, 1), ("yes", 0, 1)], "r string, Category1_r long, Uncategorized_r long")
-    names = ["Category1", "Uncategorized"]
-    got = apply_codes(df, "r", single(spark, {"yes": "Category1"}), names)
-    assert sorted(map(tuple, got.collect())) == [("no", 0, 1), ("yes", 1, 0), ("yes", 1, 0)]
-    unknown = apply_codes(df, "r", single(spark, {"yes": "Nothing", "no": None}), names)
+    df = spark.createDataFrame([("worth it", 0, 1), ("rude", 0, 1), ("worth it", 0, 1)], "r string, Price_r long, Uncategorized_r long")
+    names = ["Price", "Uncategorized"]
+    got = apply_codes(df, "r", single(spark, {"worth it": "Price"}), names)
+    assert sorted(map(tuple, got.collect())) == [("rude", 0, 1), ("worth it", 1, 0), ("worth it", 1, 0)]
+    unknown = apply_codes(df, "r", single(spark, {"worth it": "Nothing", "rude": None}), names)
     assert sorted(map(tuple, unknown.collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_multiple_codes(spark):
-    df = default_indicators(spark.createDataFrame([("yes",), ("no",), ("yes",)], "r string"), ["r"], NAMES)
-    got = apply_codes(df, "r", codeframe(spark, {"yes": ["Category1", "Category2"]}), NAMES)
-    assert sorted(map(tuple, got.collect())) == [("no", 0, 0, 1), ("yes", 1, 1, 0), ("yes", 1, 1, 0)]
+    df = default_indicators(spark.createDataFrame([("worth it",), ("rude",), ("worth it",)], "r string"), ["r"], NAMES)
+    got = apply_codes(df, "r", codeframe(spark, {"worth it": ["Price", "Staff"]}), NAMES)
+    assert sorted(map(tuple, got.collect())) == [("rude", 0, 0, 1), ("worth it", 1, 1, 0), ("worth it", 1, 1, 0)]
 
 
 def test_second_column_leaves_the_first_alone(spark):
-    df = spark.createDataFrame([("yes", "no"), ("no", "yes"), ("yes", "no")], "r1 string, r2 string")
+    df = spark.createDataFrame([("worth it", "rude"), ("rude", "worth it"), ("worth it", "rude")], "r1 string, r2 string")
     df = default_indicators(df, ["r1", "r2"], NAMES)
-    got = apply_codes(df, "r2", single(spark, {"no": "Category1"}), NAMES)
+    got = apply_codes(df, "r2", single(spark, {"rude": "Price"}), NAMES)
     rows = sorted(map(tuple, got.collect()))
-    assert rows == [("no", "yes", 0, 0, 1, 0, 0, 1)] + [("yes", "no", 0, 0, 1, 1, 0, 0)] * 2
+    assert rows == [("rude", "worth it", 0, 0, 1, 0, 0, 1)] + [("worth it", "rude", 0, 0, 1, 1, 0, 0)] * 2
 
 
 def test_earlier_indicators_are_kept(spark):
-    df = spark.createDataFrame([("yes", 0, 1, 0)], "r string, Category1_r long, Category2_r long, Uncategorized_r long")
-    got = apply_codes(df, "r", single(spark, {"yes": "Category1"}), NAMES)
-    assert tuple(got.first()) == ("yes", 1, 1, 0)
+    df = spark.createDataFrame([("worth it", 0, 1, 0)], "r string, Price_r long, Staff_r long, Uncategorized_r long")
+    got = apply_codes(df, "r", single(spark, {"worth it": "Price"}), NAMES)
+    assert tuple(got.first()) == ("worth it", 1, 1, 0)
 
 
 WIDE = ["Ring", "Red", "a.b `c`", "Uncategorized", "Error"]

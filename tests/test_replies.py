@@ -6,44 +6,44 @@ from pyspark.sql import functions as F
 from themeloom.functions.replies import parse_category_list, strip_reply, validate_codes
 from themeloom.operators.inference import CodeReply, ThemeReply, strip_reply_text
 
-KNOWN = ["sports", "health", "finance"]
+KNOWN = ["Price", "Staff", "Opening hours"]
 
 # (reply, why it fails as single codes, why it fails as multiple codes)
 REPLIES = [
-    ('["sports", "health"]', None, "not_a_list_of_lists"),
-    ('[["sports"], ["health"]]', "not_a_string", None),
-    ('["sports", "unknown"]', "unknown_category", "not_a_list_of_lists"),
-    ('[["sports"], ["unknown"]]', "not_a_string", "unknown_category"),
-    ('["sports", 123]', "not_a_string", "not_a_list_of_lists"),
-    ('["unknown", 123]', "not_a_string", "not_a_list_of_lists"),
-    ('[["sports"], "health"]', "not_a_string", "not_a_list_of_lists"),
-    ('[["unknown"], [1]]', "not_a_string", "unknown_category"),
-    ('[[1], ["unknown"]]', "not_a_string", "not_a_string"),
+    ('["Price", "Staff"]', None, "not_a_list_of_lists"),
+    ('[["Price"], ["Staff"]]', "not_a_string", None),
+    ('["Price", "Weather"]', "unknown_category", "not_a_list_of_lists"),
+    ('[["Price"], ["Weather"]]', "not_a_string", "unknown_category"),
+    ('["Price", 123]', "not_a_string", "not_a_list_of_lists"),
+    ('["Weather", 123]', "not_a_string", "not_a_list_of_lists"),
+    ('[["Price"], "Staff"]', "not_a_string", "not_a_list_of_lists"),
+    ('[["Weather"], [1]]', "not_a_string", "unknown_category"),
+    ('[[1], ["Weather"]]', "not_a_string", "not_a_string"),
     ("[]", None, None),
     ("[null]", "not_a_string", "not_a_list_of_lists"),
     ("[[]]", "not_a_string", None),
-    ('[["sports", null]]', "not_a_string", "not_a_string"),
-    ('[["sports"], null]', "not_a_string", "not_a_list_of_lists"),
-    ('["sports", null]', "not_a_string", "not_a_list_of_lists"),
-    ('[["sports"], []]', "not_a_string", None),
-    ('{"a": ["sports"]}', "not_a_list", "not_a_list"),
-    ('"sports"', "not_a_list", "not_a_list"),
+    ('[["Price", null]]', "not_a_string", "not_a_string"),
+    ('[["Price"], null]', "not_a_string", "not_a_list_of_lists"),
+    ('["Price", null]', "not_a_string", "not_a_list_of_lists"),
+    ('[["Price"], []]', "not_a_string", None),
+    ('{"a": ["Price"]}', "not_a_list", "not_a_list"),
+    ('"Price"', "not_a_list", "not_a_list"),
     ("null", "not_a_list", "not_a_list"),
     ("12", "not_a_list", "not_a_list"),
     ("true", "not_a_list", "not_a_list"),
-    ('["sports"] as asked', "not_json", "not_json"),
-    ('["sports"]]', "not_json", "not_json"),
-    ('["sports"], ["health"]', "not_json", "not_json"),
-    ('["sports"],"__end__"', "not_json", "not_json"),
-    ("['sports']", "not_json", "not_json"),
-    ('["sports",]', "not_json", "not_json"),
-    ("sports", "not_json", "not_json"),
+    ('["Price"] as asked', "not_json", "not_json"),
+    ('["Price"]]', "not_json", "not_json"),
+    ('["Price"], ["Staff"]', "not_json", "not_json"),
+    ('["Price"],"__end__"', "not_json", "not_json"),
+    ("['Price']", "not_json", "not_json"),
+    ('["Price",]', "not_json", "not_json"),
+    ("Price", "not_json", "not_json"),
     ("", "not_json", "not_json"),
-    (' \n```json\n["sports",\n "health"]\n```\n', None, "not_a_list_of_lists"),
-    ('```\n[["finance"]]\n```', "not_a_string", None),
-    ('["Sports"]', "unknown_category", "not_a_list_of_lists"),
-    ('["sports", "sports"]', None, "not_a_list_of_lists"),
-    ('["\\u0073ports"]', None, "not_a_list_of_lists"),
+    (' \n```json\n["Price",\n "Staff"]\n```\n', None, "not_a_list_of_lists"),
+    ('```\n[["Opening hours"]]\n```', "not_a_string", None),
+    ('["price"]', "unknown_category", "not_a_list_of_lists"),
+    ('["Price", "Price"]', None, "not_a_list_of_lists"),
+    ('["\\u0050rice"]', None, "not_a_list_of_lists"),
     ('[{"a": 1}]', "not_a_string", "not_a_list_of_lists"),
     ("[1.5, true]", "not_a_string", "not_a_list_of_lists"),
 ]
@@ -80,11 +80,11 @@ def test_missing_reply_is_invalid(spark):
 
 
 def test_strict_length(spark):
-    df = spark.createDataFrame([('["sports"]', 1), ('["sports"]', 2)], "reply string, n int")
+    df = spark.createDataFrame([('["Price"]', 1), ('["Price"]', 2)], "reply string, n int")
     checked = validate_codes(df, "reply", KNOWN, False, expected="n").orderBy("n").collect()
     assert [r.reason for r in checked] == [None, "wrong_length"]
     reader = CodeReply(KNOWN, strict_length=True)
-    assert [in_task('["sports"]', reader, n)[0] for n in (1, 2)] == [None, "wrong_length"]
+    assert [in_task('["Price"]', reader, n)[0] for n in (1, 2)] == [None, "wrong_length"]
 
 
 def test_category_lists(spark):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.sources.encodings import detect_encodings, repaired, spark_charset
+from themeloom.sources.encodings import UTF_16, detect_encodings, repaired, spark_charset
 from themeloom.tables import column
 
 # Cell texts that mean a missing answer, matched exactly.
@@ -32,12 +32,13 @@ def read_csv(
     """Every column as text. Quotes are doubled, and may enclose line breaks.
 
     ``multi_line=False`` lets Spark split large files, for data that has no line
-    breaks inside answers. ``names`` gives the columns of a file without a header.
+    breaks inside answers; UTF-16 is read whole all the same, as its line ends are
+    no single bytes. ``names`` gives the columns of a file without a header.
     ``file_order`` adds three columns that sort rows as the files hold them.
     """
     reader = (
         spark.read.option("header", header)
-        .option("multiLine", multi_line)
+        .option("multiLine", multi_line or encoding == UTF_16)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", spark_charset(encoding))
