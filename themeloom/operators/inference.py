@@ -199,8 +199,8 @@ def run_requests(
     answered = read_ledger(spark, ledger_path).where(F.col("status") == "ok").select("request_key")
     pending = requests.select("request_key", "wave").join(answered, "request_key", "left_anti")
     pending = materialize(pending.repartition("wave"), "pending-requests", partition_by="wave")
-    first, last = pending.agg(F.min("wave"), F.max("wave")).first()
-    for number in () if first is None else range(first, last + 1):
+    waves = sorted(row.wave for row in pending.select("wave").distinct().collect())
+    for number in waves:
         wave = F.col("wave") == number
         asked = requests.where(wave).join(pending.where(wave), ["wave", "request_key"], "left_semi")
         if settings.paced:
@@ -208,7 +208,7 @@ def run_requests(
                 asked,
                 settings.tokens_per_minute,
                 settings.requests_per_minute,
-                start_full=number == first,
+                start_full=number == waves[0],
             )
         else:
             planned = asked.select(
