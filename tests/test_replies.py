@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,28 @@ def test_strip(spark, reply, plain, fence_only):
     got = df.select(strip_reply(F.col("r")), strip_reply(F.col("r"), fence_only=True)).first()
     assert tuple(got) == (plain, fence_only)
     assert (strip_reply_text(reply), strip_reply_text(reply, fence_only=True)) == (plain, fence_only)
+
+
+def test_random_replies_agree(spark):
+    """Lists of codes and scraps of JSON, cut and spliced at random."""
+    rng = random.Random(7)
+    scraps = ["[", "]", '"Price"', '"x"', ",", ",", " ", "null", "1", "1.5", "true", "{", "}", ":", '"a":1', "```",
+              "json", "\n", "\\", '"', "\t", "-0", "1e400", '"\\u0050rice"', "é", "\x0b", " "]
+    names = [*KNOWN, "x"]
+
+    def reply():
+        if rng.random() < 0.5:
+            return "".join(rng.choice(scraps) for _ in range(rng.randint(0, 8)))
+        codes = [rng.choice(names) if rng.random() < 0.6 else rng.sample(names, rng.randint(0, 2)) for _ in range(3)]
+        text = json.dumps(codes)
+        at = rng.randint(0, len(text))
+        return text if rng.random() < 0.6 else text[:at] + rng.choice(scraps) + text[at + rng.randint(0, 1) :]
+
+    texts = list(dict.fromkeys(reply() for _ in range(6000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, reply string").repartition(8)
+    for is_multicode in (False, True):
+        reader = CodeReply(KNOWN, is_multicode)
+        checked = validate_codes(df, "reply", KNOWN, is_multicode).collect()
+        assert len(checked) == len(texts)
+        for row in checked:
+            assert in_task(row.reply, reader) == (row.reason, row.codes), row.reply
