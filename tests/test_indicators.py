@@ -36,7 +36,8 @@ def test_missing_affects_its_own_column_only(spark):
 
 
 def test_single_code(spark):
-    df = spark.createDataFrame([("worth it", 0, 1), ("rude", 0, 1), ("worth it", 0, 1)], "r string, Price_r long, Uncategorized_r long")
+    rows = [("worth it", 0, 1), ("rude", 0, 1), ("worth it", 0, 1)]
+    df = spark.createDataFrame(rows, "r string, Price_r long, Uncategorized_r long")
     names = ["Price", "Uncategorized"]
     got = apply_codes(df, "r", single(spark, {"worth it": "Price"}), names)
     assert sorted(map(tuple, got.collect())) == [("rude", 0, 1), ("worth it", 1, 0), ("worth it", 1, 0)]

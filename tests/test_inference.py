@@ -1,9 +1,7 @@
 import time
 
 import pytest
-from pyspark.sql import functions as F
-
-from themeloom.clients import ChatClient, FirstWordClient, KeywordClient, ScriptedClient
+from themeloom.clients import ChatClient, FirstWordClient, KeywordClient, RateLimited, ScriptedClient
 from themeloom.config import CodingSettings
 from themeloom.operators.coding import build_codeframe
 from themeloom.operators.inference import CodeReply, coding_requests, read_ledger, run_requests
@@ -34,6 +32,14 @@ def test_every_kind_of_failure_is_tried_again(spark):
     assert (row.attempts, row.status, row.last_error) == (6, "ok", "busy")
 
 
+def test_being_slowed_down_is_no_attempt(spark):
+    row = ask(spark, [RateLimited("429")] * 9 + ['["Red", "Blue"]'])
+    assert (row.attempts, row.status, row.last_error) == (1, "ok", None)
+    few = CodingSettings(paced=False, backoff_seconds=0.0, rate_waits=2, max_attempts=2)
+    row = ask(spark, [RateLimited("429")], few)
+    assert (row.attempts, row.status, row.last_error) == (2, "error", "429")
+
+
 def test_after_the_last_attempt_all_answers_are_failed(spark):
     row = ask(spark, ["sorry"])
     assert (row.attempts, row.status, row.last_error) == (6, "error", "not_json")
@@ -190,15 +196,22 @@ def test_hosted_client_sends_one_message(monkeypatch):
         ChatClient()
     sent = []
 
+    class Busy(Exception):
+        pass
+
     class Completions:
         def create(self, **request):
             sent.append(request)
+            if "busy" in str(request):
+                raise Busy("later")
             message = types.SimpleNamespace(content=None if "empty" in str(request) else "hi")
             return types.SimpleNamespace(choices=[types.SimpleNamespace(message=message)])
 
     chat = types.SimpleNamespace(completions=Completions())
-    fake = types.SimpleNamespace(OpenAI=lambda **_: types.SimpleNamespace(chat=chat))
+    fake = types.SimpleNamespace(OpenAI=lambda **_: types.SimpleNamespace(chat=chat), RateLimitError=Busy)
     monkeypatch.setitem(sys.modules, "openai", fake)
     assert ChatClient("m").complete("hello") == "hi"
     assert ChatClient("m").complete("empty") == ""
+    with pytest.raises(RateLimited, match="later"):
+        ChatClient("m").complete("busy")
     assert sent[0] == {"model": "m", "messages": [{"role": "user", "content": "hello"}]}

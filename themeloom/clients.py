@@ -13,6 +13,10 @@ from collections.abc import Sequence
 from typing import Protocol
 
 
+class RateLimited(Exception):
+    """Raised by a client when the service asks to slow down."""
+
+
 class ModelClient(Protocol):
     def complete(self, prompt: str) -> str: ...
 
@@ -32,10 +36,14 @@ class ChatClient:
         except ImportError as error:
             raise RuntimeError("ChatClient needs the openai package on the executors") from error
         self._model = model
+        self._slow_down = openai.RateLimitError
         self._chat = openai.OpenAI(max_retries=0).chat.completions
 
     def complete(self, prompt: str) -> str:
-        answer = self._chat.create(model=self._model, messages=[{"role": "user", "content": prompt}])
+        try:
+            answer = self._chat.create(model=self._model, messages=[{"role": "user", "content": prompt}])
+        except self._slow_down as error:
+            raise RateLimited(str(error)) from error
         return answer.choices[0].message.content or ""
 
 

@@ -17,7 +17,9 @@ class CodingSettings:
     ``requests_per_task`` bounds what one lost task has to ask again, and
     together with ``concurrency`` sets how many requests one wave holds.
     ``expected_reply_tokens`` is added to every request when the rate budget is
-    planned, because replies are charged too but not known in advance.
+    planned, because replies are charged too but not known in advance. A request
+    the service turns away for its rate waits up to ``rate_waits`` times without
+    that counting as an attempt.
     """
 
     # Defaults that decide prompts, batches and limits.
@@ -38,6 +40,7 @@ class CodingSettings:
     paced: bool = True
     backoff_seconds: float = 1.0
     backoff_limit_seconds: float = 60.0
+    rate_waits: int = 20
     strict_length: bool = False
     fence_only: bool = False
     broadcast_bytes: int = 128 * 1024 * 1024

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeloom.clients import ModelClient
+from themeloom.clients import ModelClient, RateLimited
 from themeloom.config import FAILED, CodingSettings
 from themeloom.functions.prompts import coding_prompt, estimate_tokens
 from themeloom.functions.replies import REPLY_NOISE
@@ -79,6 +79,22 @@ def strip_reply_text(reply: str, fence_only: bool = False) -> str:
     return reply
 
 
+def _back_off(settings: CodingSettings, tries: int) -> None:
+    """A random wait of up to twice as long after each try."""
+    longest = min(settings.backoff_limit_seconds, settings.backoff_seconds * 2**tries)
+    time.sleep(random.uniform(0, longest))
+
+
+def _complete(client: ModelClient, prompt: str, settings: CodingSettings) -> str:
+    """The client's reply; being asked to slow down is waited out."""
+    for wait in range(settings.rate_waits):
+        try:
+            return client.complete(prompt)
+        except RateLimited:
+            _back_off(settings, wait)
+    return client.complete(prompt)
+
+
 def _ask(client: ModelClient, request, reader: CodeReply | ThemeReply, settings: CodingSettings) -> tuple:
     """One ledger row: ask until a reply passes, at most ``max_attempts`` times."""
     failed = [[FAILED]] * request.answers
@@ -87,7 +103,7 @@ def _ask(client: ModelClient, request, reader: CodeReply | ThemeReply, settings:
     reply, error = None, None
     for attempt in range(1, settings.max_attempts + 1):
         try:
-            reply = client.complete(request.prompt)
+            reply = _complete(client, request.prompt, settings)
             if not reply:
                 raise ValueError("empty_reply")
             try:
@@ -99,8 +115,7 @@ def _ask(client: ModelClient, request, reader: CodeReply | ThemeReply, settings:
         except Exception as problem:  # any failure of the service counts as an attempt
             error = str(problem) or type(problem).__name__
         if attempt < settings.max_attempts:
-            longest = min(settings.backoff_limit_seconds, settings.backoff_seconds * 2 ** (attempt - 1))
-            time.sleep(random.uniform(0, longest))
+            _back_off(settings, attempt - 1)
     return request.request_key, failed, reply, settings.max_attempts, "error", error
 
 
