@@ -26,4 +26,4 @@ def build_codeframe(coded: DataFrame, is_multicode: bool) -> DataFrame:
     )
     if is_multicode:
         return codeframe
-    return codeframe.select("response", F.element_at("categories", 1).alias("category"))
+    return codeframe.select("response", F.try_element_at("categories", F.lit(1)).alias("category"))
