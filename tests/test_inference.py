@@ -1,3 +1,4 @@
+import functools
 import time
 
 import pytest
@@ -26,6 +27,11 @@ def test_good_reply_at_once(spark):
     assert (row.attempts, row.status, row.last_error, row.codes) == (1, "ok", None, [["Red"], ["Blue"]])
 
 
+def test_factories_may_be_partial(spark):
+    client = functools.partial(ScriptedClient, ['["Red", "Blue"]'])
+    assert code_batches(batches(spark, ["red", "blue"]), CATEGORIES, client, FAST).first().status == "ok"
+
+
 def test_every_kind_of_failure_is_tried_again(spark):
     replies = ["sorry", '["Green"]', '{"a": 1}', "", RuntimeError("busy"), '["Red", "Blue"]']
     row = ask(spark, replies)

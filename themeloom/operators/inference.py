@@ -119,6 +119,14 @@ def _ask(client: ModelClient, request, reader: CodeReply | ThemeReply, settings:
     return request.request_key, failed, reply, settings.max_attempts, "error", error
 
 
+def _ship(name: str) -> None:
+    """Send a module's code with the job, unless executors have it installed."""
+    module = sys.modules[name]
+    installed = name.split(".")[0] in sys.stdlib_module_names or "site-packages" in str(getattr(module, "__file__", ""))
+    if not installed:
+        cloudpickle.register_pickle_by_value(module)
+
+
 def ask_model(
     requests: DataFrame,
     client_factory: Callable[[], ModelClient],
@@ -130,10 +138,8 @@ def ask_model(
     ``concurrency`` partitions, each asking one request at a time in admission
     order. Evaluating the result calls the model: write it before using it.
     """
-    # Tasks get this package and the caller's client with the job, so executors
-    # need neither installed.
-    for module in ("themeloom", client_factory.__module__):
-        cloudpickle.register_pickle_by_value(sys.modules[module])
+    _ship("themeloom")
+    _ship(getattr(client_factory, "func", client_factory).__module__)
 
     def ask_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, started = client_factory(), time.time()
