@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.best_fit import pack_matrix
+from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.packing import pack_documents
 
 
@@ -24,7 +25,12 @@ def op2_pack_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_matrix(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_min_slack": op1_pack_min_slack,
     "op2_pack_matrix": op2_pack_matrix,
+    "op3_near_duplicates": op3_near_duplicates,
 }

@@ -1,3 +1,31 @@
 """The same results in DuckDB SQL, for the operators that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                        ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+    FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b
+      ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (
+    SELECT a, b FROM both_ways
+    UNION
+    SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a),
+least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(doc_id, b), doc_id) AS component_id,
+       doc_id = coalesce(least(doc_id, b), doc_id) AS kept
+FROM sets LEFT JOIN least_of ON doc_id = a"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": NEAR_DUPLICATES,
+}
