@@ -44,3 +44,31 @@ def near_duplicates(rows, percent=80):
                     links.append((a, b))
     label = components(ids, links)
     return sorted((d, len(sets[d]), label[d], label[d] == d) for d in ids)
+
+
+def remove_repeats(rows, threshold):
+    """(doc_id, n_bytes, n_removed, spans, kept) of (doc_id, text)."""
+    first = {}
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    for d, b in texts:
+        for i in range(len(b) - threshold + 1):
+            s = b[i : i + threshold]
+            first[s] = min(first.get(s, d), d)
+    out = []
+    for d, b in texts:
+        gone = bytearray(len(b))
+        for i in range(len(b) - threshold + 1):
+            if first[b[i : i + threshold]] < d:
+                gone[i : i + threshold] = b"\x01" * threshold
+        spans, i = [], 0
+        while i < len(b):
+            if gone[i]:
+                j = i
+                while j < len(b) and gone[j]:
+                    j += 1
+                spans.append((i, j))
+                i = j
+            else:
+                i += 1
+        out.append((d, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return sorted(out)

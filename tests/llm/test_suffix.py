@@ -1,0 +1,75 @@
+"""Repeated strings against a dictionary of all of them."""
+
+import hashlib
+import random
+
+import pytest
+
+from themeloom.llm import suffix
+from themeloom.llm.queries import op4_remove_repeats
+from themeloom.llm.suffix import remove_repeats
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def result(df):
+    return sorted(
+        (r.doc_id, r.n_bytes, r.n_removed, [tuple(s) for s in r.spans], bytes(r.kept)) for r in df.collect()
+    )
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+@pytest.mark.parametrize("threshold", [50, 7, 2])
+def test_random_texts(spark, threshold):
+    rng = random.Random(threshold)
+    shared = ["".join(rng.choices("ab é", k=rng.randrange(3 * threshold))) for _ in range(12)]
+    rows = []
+    for k in range(90):
+        parts = [rng.choice(shared) if rng.random() < 0.6 else "".join(rng.choices("cdefg\n", k=20)) for _ in range(6)]
+        rows.append((rng.randrange(10**12), "".join(parts)))
+    rows += [(k - 50, rows[k][1]) for k in range(20)]
+    assert result(remove_repeats(frame(spark, rows), threshold)) == brute.remove_repeats(rows, threshold)
+
+
+def test_small_blocks_and_slices(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 900), ("SLICE_BYTES", 130), ("RANGE_BYTES", 2000), ("BLOCK_ROWS", 4)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdefgh ", k=1200))
+    rows = []
+    for k in range(40):
+        a, b = sorted(rng.sample(range(1200), 2))
+        rows.append((k, base[a:b] + "".join(rng.choices("xyz", k=30)) + base[b - a :][:200]))
+    assert result(remove_repeats(frame(spark, rows, 4))) == brute.remove_repeats(rows, 50)
+
+
+def test_odd_rows(spark):
+    long = "x" * 70
+    rows = [(3, long), (1, None), (2, ""), (5, "y" * 49), (6, "y" * 49), (7, "z" * 50), (8, "z" * 51), (9, long[:50])]
+    assert result(remove_repeats(frame(spark, rows))) == brute.remove_repeats(rows, 50)
+    more = [(d, t, "k", 1) for d, t in rows] + [(None, "z" * 60, "k", 2), (8, "z" * 51, "k", 3)]
+    found = remove_repeats(spark.createDataFrame(more, "doc_id long, text string, block string, part int")).collect()
+    assert [(r.n_removed, bytes(r.kept)) for r in found if r.doc_id is None] == [(0, b"z" * 60)]
+    assert [r.n_removed for r in found if r.doc_id == 8] == [51, 51]
+    assert remove_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefghij klmnop", k=2_600_000))
+    rows = [(1, long), (2, "q" + long[1_000_000:1_000_300] + "q"), (3, long[:60] + "Q" + long[-70:])]
+    found = result(remove_repeats(frame(spark, rows)))
+    assert [(r[0], r[2], r[3]) for r in found] == [
+        (1, 0, []), (2, 300, [(1, 301)]), (3, 130, [(0, 60), (61, 131)])
+    ]
+
+
+def test_query_on_the_supplied_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = [(d, n, removed, len(spans), hashlib.sha256(kept).hexdigest())
+            for d, n, removed, spans, kept in brute.remove_repeats(rows, 50)]
+    assert sorted(tuple(r) for r in op4_remove_repeats(spark, SF).collect()) == want

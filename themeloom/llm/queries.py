@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themeloom.llm.best_fit import pack_matrix
 from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.packing import pack_documents
+from themeloom.llm.suffix import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_pack_min_slack": op1_pack_min_slack,
     "op2_pack_matrix": op2_pack_matrix,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_remove_repeats": op4_remove_repeats,
 }

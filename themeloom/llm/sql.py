@@ -26,6 +26,32 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(doc_id, b),
        doc_id = coalesce(least(doc_id, b), doc_id) AS kept
 FROM sets LEFT JOIN least_of ON doc_id = a"""
 
+# Texts as hexadecimal, two letters a byte. Removed bytes are the union of 50-byte strings.
+REMOVE_REPEATS = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (
+    SELECT doc_id, h, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 49, 0))) AS i FROM texts),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE doc_id > d),
+marked AS (
+    SELECT doc_id, i,
+           CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS starts
+    FROM hits),
+numbered AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span),
+edges AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (
+    SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+           string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+    FROM edges JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
+    "op4_remove_repeats": REMOVE_REPEATS,
 }
