@@ -9,6 +9,8 @@ from themeloom.llm.best_fit import pack_matrix
 from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.packing import pack_documents
 from themeloom.llm.suffix import remove_repeats
+from themeloom.llm.topk import top_k
+from themeloom.llm.url_rules import RULE_SCHEMA, RULES, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +37,20 @@ def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
+
+
 QUERIES = {
     "op1_pack_min_slack": op1_pack_min_slack,
     "op2_pack_matrix": op2_pack_matrix,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_remove_repeats": op4_remove_repeats,
+    "op6_top_k": op6_top_k,
+    "op10_url_rules": op10_url_rules,
 }

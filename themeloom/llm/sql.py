@@ -7,7 +7,7 @@ WITH RECURSIVE texts AS (
     FROM documents),
 sets AS (
     SELECT doc_id, CASE WHEN len(w) < 2 THEN w
-                        ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+                        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
     FROM texts),
 shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
 links AS (
@@ -29,9 +29,14 @@ FROM sets LEFT JOIN least_of ON doc_id = a"""
 # Texts as hexadecimal, two letters a byte. Removed bytes are the union of 50-byte strings.
 REMOVE_REPEATS = r"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- Short stretches first, as a place far into a long text is slow to reach.
+stretches AS (
+    SELECT doc_id, 500 * c AS at, substr(h, 1000 * c + 1, 1098) AS h
+    FROM (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 1000) AS BIGINT))) AS c FROM texts)),
 places AS (
-    SELECT doc_id, h, unnest(range(0, greatest(CAST(length(h) / 2 AS BIGINT) - 49, 0))) AS i FROM texts),
-strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM places),
+    SELECT doc_id, h, at,
+           unnest(range(0, least(500, greatest(CAST(length(h) / 2 AS BIGINT) - 49, 0)))) AS i FROM stretches),
+strings AS (SELECT doc_id, at + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM places),
 firsts AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s HAVING count(*) > 1),
 hits AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE doc_id > d),
 marked AS (
@@ -51,7 +56,44 @@ SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM texts LEFT JOIN cut USING (doc_id)"""
 
+TOP_K = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id != c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5"""
+
+URL_RULES = """
+WITH rules(verdict, host, path) AS (VALUES
+    ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+stems AS (
+    SELECT row_number() OVER () AS n, page_id,
+           regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END,
+                          '^[^?#]*') AS stem
+    FROM pages),
+places AS (
+    SELECT n, page_id, translate(regexp_extract(stem, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                 'abcdefghijklmnopqrstuvwxyz') AS host,
+           substr(stem, length(regexp_extract(stem, '^[^/]*')) + 1) AS path
+    FROM stems),
+fits AS (
+    SELECT n, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+           arg_max(verdict, length(rules.host || rules.path)) AS verdict
+    FROM places JOIN rules
+      ON (places.host = rules.host OR ends_with(places.host, '.' || rules.host))
+     AND starts_with(places.path, rules.path)
+    GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM places LEFT JOIN fits USING (n)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_remove_repeats": REMOVE_REPEATS,
+    "op6_top_k": TOP_K,
+    "op10_url_rules": URL_RULES,
 }
