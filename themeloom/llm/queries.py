@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.best_fit import pack_matrix
+from themeloom.llm.language import identify_languages
+from themeloom.llm.main_text import extract_main_text
 from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.packing import pack_documents
+from themeloom.llm.quality import judge_quality
 from themeloom.llm.suffix import remove_repeats
 from themeloom.llm.topk import top_k
 from themeloom.llm.url_rules import RULE_SCHEMA, RULES, judge_urls
@@ -42,6 +45,21 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = identify_languages(documents, documents.where(~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
 
@@ -52,5 +70,8 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_remove_repeats": op4_remove_repeats,
     "op6_top_k": op6_top_k,
+    "op7_language_id": op7_language_id,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
 }

@@ -31,12 +31,12 @@ REMOVE_REPEATS = r"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 -- Short stretches first, as a place far into a long text is slow to reach.
 stretches AS (
-    SELECT doc_id, 500 * c AS at, substr(h, 1000 * c + 1, 1098) AS h
+    SELECT doc_id, 500 * c AS base, substr(h, 1000 * c + 1, 1098) AS h
     FROM (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 1000) AS BIGINT))) AS c FROM texts)),
 places AS (
-    SELECT doc_id, h, at,
+    SELECT doc_id, h, base,
            unnest(range(0, least(500, greatest(CAST(length(h) / 2 AS BIGINT) - 49, 0)))) AS i FROM stretches),
-strings AS (SELECT doc_id, at + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM places),
+strings AS (SELECT doc_id, base + i AS i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM places),
 firsts AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s HAVING count(*) > 1),
 hits AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE doc_id > d),
 marked AS (
