@@ -10,11 +10,9 @@ def words(text):
     return SPACE.findall(text or "")
 
 
-def shingles(text):
+def shingles(text, n=2):
     found = words((text or "").translate(LOWER))
-    if len(found) < 2:
-        return set(found)
-    return set(zip(found, found[1:]))
+    return {tuple(found[k : k + n]) for k in range(max(len(found) - n + 1, 1))} if found else set()
 
 
 def components(nodes, links):
@@ -30,9 +28,9 @@ def components(nodes, links):
     return label
 
 
-def near_duplicates(rows, percent=80):
+def near_duplicates(rows, percent=80, words=2):
     """(doc_id, n_shingles, component_id, kept) of (doc_id, text) with distinct ids."""
-    sets = {d: shingles(t) for d, t in rows}
+    sets = {d: shingles(t, words) for d, t in rows}
     ids = sorted(sets)
     links = []
     for i, a in enumerate(ids):

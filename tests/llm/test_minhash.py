@@ -7,7 +7,7 @@ import pytest
 
 from themeloom.llm import minhash
 from themeloom.llm.graph import connected_components
-from themeloom.llm.minhash import Shingler, chunk_keys, near_duplicates, signature, similar, tile_links
+from themeloom.llm.minhash import Shingler, chunk_keys, first_documents, near_duplicates, signature, similar, tile_links
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -73,7 +73,7 @@ def test_groups_of_near_copies(spark, monkeypatch, block_rows):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
     rows = near_copies(random.Random(4), 6, 50, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert result(near_duplicates(df)) == brute.near_duplicates(rows)
+    assert result(near_duplicates(df, words=2)) == brute.near_duplicates(rows)
 
 
 def test_odd_rows(spark):
@@ -83,24 +83,24 @@ def test_odd_rows(spark):
     ]
     more = [(n, t, "k", t) for n, t in rows] + [(None, "a b c d e f", "k", None), (None, None, "k", "a")]
     df = spark.createDataFrame(more, "doc_id long, text string, key string, set_id string")
-    found = near_duplicates(df).collect()
+    found = near_duplicates(df, words=2).collect()
     assert sorted(tuple(r) for r in found if r.doc_id is not None) == brute.near_duplicates(rows)
     assert sorted((r.n_shingles, r.component_id, r.kept) for r in found if r.doc_id is None) == [
         (0, None, True), (5, None, True),
     ]
-    assert near_duplicates(df.limit(0)).count() == 0
+    assert near_duplicates(df.limit(0), words=2).count() == 0
 
 
 def test_rows_with_one_id_are_one_document(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "k l m n o"), (8, "k l m n o"), (8, "k l m n o"), (9, "q r s")]
-    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)
     assert result(found) == [(1, 4, 1, True), (5, 4, 1, False), (5, 4, 1, False), (8, 4, 1, False), (8, 4, 1, False),
                              (9, 2, 9, True)]
 
 
 def test_supplied_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    assert result(near_duplicates(df)) == brute.near_duplicates([(r.doc_id, r.text) for r in df.collect()])
+    assert result(near_duplicates(df, words=2)) == brute.near_duplicates([(r.doc_id, r.text) for r in df.collect()])
 
 
 def test_tile_links_span_the_links():
@@ -109,3 +109,16 @@ def test_tile_links_span_the_links():
         list(range(12)), np.zeros(12), np.stack([signature(s) for s in sets]), sets, 80
     )
     assert len(links) == 11
+
+
+def test_shingles_of_five_words(spark):
+    rows = near_copies(random.Random(8), 4, 12, 150) + [(900, "a b c"), (901, "A b C"), (902, "a b c d e f"), (903, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(near_duplicates(df)) == brute.near_duplicates(rows, words=5)
+
+
+def test_first_documents_keep_their_columns(spark):
+    rows = [(3, "a b c d e f", "x"), (1, "A b c d e f", "y"), (None, "a b c d e f", "z"), (None, None, "z"), (7, "q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped_id string")
+    assert set(map(tuple, first_documents(df).collect())) == set(rows[1:])
+    assert first_documents(df).columns == df.columns

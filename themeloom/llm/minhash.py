@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-A document's set holds its distinct word pairs; MinHash turns it into ``HASHES``
+A document's set holds its distinct shingles of some words; MinHash turns it into ``HASHES``
 symbols of 16 bits. Two sets of similarity ``s`` agree in a symbol with
 probability ``s``, so the signature distance (symbols that differ) of a pair at
 0.8 is about a fifth of the symbols.
@@ -21,8 +21,8 @@ sets: in blocks of bounded size, nearest signatures first, skipping what is alre
 linked. So every link between different sets counts for the components, while at
 most one link per node and tile is written.
 
-Text is lowered for A-Z, words are split at ASCII white space. A text of one word
-has that word as its only shingle; null, empty and blank texts have none and are
+Text is lowered for A-Z, words are split at ASCII white space. A text of fewer words
+has all of them as its only shingle; null, empty and blank texts have none and are
 linked with nothing. Rows with one ``doc_id`` are one document; each is returned.
 Rows without ``doc_id`` are linked with nothing, have no component and are kept.
 Other columns are ignored; an empty table gives no rows.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
 from themeloom.llm.graph import connected_components
-from themeloom.tables import materialize
+from themeloom.tables import column, materialize
 
 HASHES = 84
 CHUNK = 7
@@ -65,16 +65,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted hashes of the distinct word pairs of texts; words are told apart exactly."""
+    """Sorted hashes of the distinct shingles of texts; words are told apart exactly."""
 
-    def __init__(self, most_words: int = 500_000):
+    def __init__(self, words: int = 2, most_words: int = 500_000):
+        self.words = words
         self.most_words = most_words
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.hashes = np.zeros(0, dtype=np.uint64)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if len(self.known) > self.most_words:
-            self.__init__(self.most_words)
+            self._forget()
         first, known = len(self.known), self.known
         rows = [[known.setdefault(w, len(known)) for w in (text or b"").lower().split()] for text in texts]
         new = map(xxhash.xxh3_64_intdigest, itertools.islice(known, first, None))
@@ -82,11 +86,19 @@ class Shingler:
         return [self._set(np.array(row, dtype=np.int64)) for row in rows]
 
     def _set(self, words: np.ndarray) -> np.ndarray:
-        if len(words) < 2:
-            return mixed(self.hashes[words] ^ np.uint64(0x5851F42D4C957F2D))
-        pairs = np.unique(words[:-1] << 32 | words[1:])
-        left, right = self.hashes[pairs >> 32], self.hashes[pairs & 0xFFFFFFFF]
-        return np.sort(mixed(mixed(left) + right))
+        n = max(len(words) - self.words + 1, 1) if len(words) else 0
+        if self.words == 2 and len(words) > 1:
+            # Only distinct pairs are hashed, and counted without relying on the hashes.
+            pairs = np.unique(words[:-1] << 32 | words[1:])
+            return np.sort(self._hashed([self.hashes[pairs >> 32], self.hashes[pairs & 0xFFFFFFFF]]))
+        columns = [self.hashes[words[k : k + n]] for k in range(min(self.words, len(words)))]
+        return np.unique(self._hashed(columns)) if n else np.zeros(0, dtype=np.uint64)
+
+    def _hashed(self, columns: list[np.ndarray]) -> np.ndarray:
+        hashed = np.full(len(columns[0]), len(columns), dtype=np.uint64)
+        for column in columns:
+            hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + column)
+        return hashed
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -99,8 +111,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary, shingles binary"
 
 
-def _sketch_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+def _sketch_task(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler(words)
     for batch in cut_by_bytes(batches, "text", 4 << 20):
         sets = shingler.sets(blobs(batch.column("text")))
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -263,9 +275,17 @@ def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row; links have ``percent`` similarity or more."""
-    sketches = materialize(documents.select("doc_id", "text").mapInArrow(_sketch_task, SKETCH_SCHEMA), "sketches")
+def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row.
+
+    Linked documents have sets of shingles of ``words`` words with ``percent`` similarity or more.
+    """
+
+    def sketch(batches):
+        return _sketch_task(batches, words)
+
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = materialize(source.mapInArrow(sketch, SKETCH_SCHEMA), "sketches")
     rows = sketches.select("doc_id", "n_shingles", "set_id", "signature")
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))
@@ -298,3 +318,11 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def first_documents(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows of the documents that ``near_duplicates`` keeps, with all their columns."""
+    found = near_duplicates(documents, percent, words)
+    dropped = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    return documents.join(dropped, "doc_id", "left_anti").select(*[column(name) for name in documents.columns])

@@ -274,6 +274,14 @@ SCHEMA = (
 )
 
 
+def _verdicts(texts: list[bytes | None], model: Model | None, keep_from: float):
+    """Counts, base failures, probabilities (None without a model) and verdicts."""
+    counts = np.array([count_text(text) for text in texts], dtype=np.int64).reshape(len(texts), 5)
+    failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED_PERCENT * counts[:, 0])
+    p = model.probabilities(texts) if model else None
+    return counts, failed, p, ~failed if p is None else ~failed & (p >= keep_from)
+
+
 def judge_quality(
     documents: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, rows_per_class: int = ROWS_PER_CLASS
 ) -> DataFrame:
@@ -288,20 +296,30 @@ def judge_quality(
 
     def run(batches):
         for batch in cut_by_bytes(batches, "text", 1 << 20):
-            texts = blobs(batch.column("text"))
-            counts = np.array([count_text(text) for text in texts], dtype=np.int64).reshape(len(texts), 5)
-            failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED_PERCENT * counts[:, 0])
-            p = model.probabilities(texts) if model else None
-            kept = ~failed if p is None else ~failed & (p >= keep_from)
+            counts, failed, p, kept = _verdicts(blobs(batch.column("text")), model, keep_from)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     *(pa.array(counts[:, k]) for k in range(5)),
                     pa.array(failed),
-                    pa.nulls(len(texts), pa.float64()) if p is None else pa.array(p),
+                    pa.nulls(batch.num_rows, pa.float64()) if p is None else pa.array(p),
                     pa.array(kept),
                 ],
                 [part.split()[0] for part in SCHEMA.split(", ")],
             )
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def kept_documents(
+    documents: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, rows_per_class: int = ROWS_PER_CLASS
+) -> DataFrame:
+    """The rows of the documents that ``judge_quality`` keeps, with all their columns."""
+    model = train(documents, labels, rows_per_class)
+
+    def run(batches):
+        for batch in cut_by_bytes(batches, "text", 1 << 20):
+            *_, kept = _verdicts(blobs(batch.column("text")), model, keep_from)
+            yield batch.filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -9,6 +9,7 @@ from themeloom.llm.best_fit import pack_matrix
 from themeloom.llm.language import identify_languages
 from themeloom.llm.main_text import extract_main_text
 from themeloom.llm.minhash import near_duplicates
+from themeloom.llm.mixing import draw_documents
 from themeloom.llm.packing import pack_documents
 from themeloom.llm.quality import judge_quality
 from themeloom.llm.suffix import remove_repeats
@@ -32,7 +33,7 @@ def op2_pack_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80, words=2)
 
 
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256.0)
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_pack_matrix": op2_pack_matrix,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_remove_repeats": op4_remove_repeats,
+    "op5_mix_sources": op5_mix_sources,
     "op6_top_k": op6_top_k,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,

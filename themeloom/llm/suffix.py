@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.arrow import blobs
 from themeloom.llm.minhash import mixed
-from themeloom.tables import materialize, scratch_path
+from themeloom.tables import column, materialize, quoted, scratch_path
 
 BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 60_000  # documents of a block are numbered in 16 bits
@@ -53,7 +53,7 @@ SLICE_BYTES = (1 << 20) - 4096
 RANGE_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 
-BLOCK_SCHEMA = "block string, n_bytes long, doc_ids binary, known binary, sizes binary, data binary"
+BLOCK_SCHEMA = "block string, n_bytes long, doc_ids binary, known binary, sizes binary, data binary, others binary"
 KEY_SCHEMA = "part int, block string, keys binary, docs binary, which binary"
 REPLY_SCHEMA = "block string, part int, bits binary"
 
@@ -380,36 +380,54 @@ def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in blocks; columns other than id and text go along as they are."""
     context = TaskContext.get()
     task, count = context.partitionId() if context else 0, 0
     ids: list[int | None] = []
     texts: list[bytes] = []
+    others: list[pa.RecordBatch] = []
     size = 0
 
     def flushed() -> pa.RecordBatch:
         nonlocal count, size
+        compress = zstandard.ZstdCompressor(level=5).compress
         row = {
             "block": f"{task}-{count}",
             "n_bytes": size,
             "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(),
             "known": np.array([i is not None for i in ids], bool).tobytes(),
             "sizes": np.array([len(t) for t in texts], "<i8").tobytes(),
-            "data": zstandard.ZstdCompressor(level=5).compress(b"".join(texts)),
+            "data": compress(b"".join(texts)),
+            "others": None,
         }
-        types = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        if others:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, others[0].schema) as stream:
+                for batch in others:
+                    stream.write_batch(batch)
+            row["others"] = compress(sink.getvalue().to_pybytes())
+        types = (pa.string(), pa.int64(), *[pa.binary()] * 5)
         count, size = count + 1, 0
-        ids.clear()
-        texts.clear()
+        for held in (ids, texts, others):
+            held.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), blobs(batch.column("text"))):
+        rest = batch.select([name for name in batch.schema.names if name not in ("repeat_id", "repeat_text")])
+        first = 0
+        pairs = zip(batch.column("repeat_id").to_pylist(), blobs(batch.column("repeat_text")))
+        for k, (doc_id, text) in enumerate(pairs):
             text = text or b""
             if texts and (size + len(text) > BLOCK_BYTES or len(texts) == BLOCK_ROWS):
+                if rest.num_columns and k > first:
+                    others.append(rest.slice(first, k - first))
+                first = k
                 yield flushed()
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
+        if rest.num_columns and batch.num_rows > first:
+            others.append(rest.slice(first))
     if texts:
         yield flushed()
 
@@ -455,12 +473,17 @@ class Repeats(NamedTuple):
     parts: int
 
 
-def find_repeats(documents: DataFrame, threshold: int = 50) -> Repeats:
+def find_repeats(documents: DataFrame, threshold: int = 50, others: list[str] | None = None) -> Repeats:
+    """The documents in blocks with the replies of all rounds; columns ``others`` are carried along."""
     if threshold < 2:
         raise ValueError("threshold must be at least 2")
     spark = documents.sparkSession
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    source = documents.select(
+        F.col("doc_id").cast("long").alias("repeat_id"),
+        F.col("text").alias("repeat_text"),
+        *[column(name) for name in others or []],
+    )
+    total = source.agg(F.coalesce(F.sum(F.octet_length("repeat_text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / RANGE_BYTES))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     blocks = _bucketed(source.mapInArrow(_to_blocks, BLOCK_SCHEMA), buckets)
@@ -478,43 +501,92 @@ def find_repeats(documents: DataFrame, threshold: int = 50) -> Repeats:
     return Repeats(_with_replies(blocks, replies), threshold, parts)
 
 
-CUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+class Cut(NamedTuple):
+    """A document's removed spans, as byte offsets, and the bytes that are left."""
+
+    spans: list[tuple[int, int]]
+    kept: bytes
+
+
+def _cuts(row: dict, threshold: int, parts: int) -> tuple[Block, list[Cut]]:
+    block = Block.read(row)
+    replies = [row[kind] or [] for kind in ("names", "runs", "strings")]
+    begin, end = Rounds(block, threshold, parts).removed(*replies)
+    ends = np.cumsum(block.sizes)
+    starts = ends - block.sizes
+    data, cuts = block.data.tobytes(), []
+    for s, e, a, b in zip(
+        starts.tolist(), ends.tolist(), np.searchsorted(begin, starts).tolist(), np.searchsorted(begin, ends).tolist()
+    ):
+        spans = list(zip(begin[a:b].tolist(), end[a:b].tolist()))
+        edges = [s, *itertools.chain.from_iterable(spans), e]
+        kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
+        cuts.append(Cut([(x - s, y - s) for x, y in spans], kept))
+    return block, cuts
+
+
+CUT_SCHEMA = (
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+)
 
 
 def remove_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
     """Per row: ``doc_id``, sizes, the bytes kept, and the removed spans as byte offsets."""
     repeats = find_repeats(documents, threshold)
     parts = repeats.parts
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
         for row in _block_rows(batches):
-            block = Block.read(row)
-            begin, end = Rounds(block, threshold, parts).removed(
-                row["names"] or [], row["runs"] or [], row["strings"] or []
-            )
-            ends = np.cumsum(block.sizes)
-            starts = ends - block.sizes
-            firsts = np.searchsorted(begin, starts)
-            lasts = np.searchsorted(begin, ends)
-            data = block.data.tobytes()
-            out: dict[str, list] = {name: [] for name in ("n_removed", "n_spans", "kept", "spans")}
-            for s, e, a, b in zip(starts.tolist(), ends.tolist(), firsts.tolist(), lasts.tolist()):
-                spans = list(zip(begin[a:b].tolist(), end[a:b].tolist()))
-                edges = [s, *itertools.chain.from_iterable(spans), e]
-                out["kept"].append(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2])))
-                out["n_removed"].append(sum(y - x for x, y in spans))
-                out["n_spans"].append(len(spans))
-                out["spans"].append([{"start": x - s, "end": y - s} for x, y in spans])
+            block, cuts = _cuts(row, threshold, parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(block.doc_ids, mask=~block.known),
                     pa.array(block.sizes),
-                    pa.array(out["n_removed"], pa.int64()),
-                    pa.array(out["n_spans"], pa.int64()),
-                    pa.array(out["kept"], pa.binary()),
-                    pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sum(y - x for x, y in one.spans) for one in cuts], pa.int64()),
+                    pa.array([len(one.spans) for one in cuts], pa.int64()),
+                    pa.array([one.kept for one in cuts], pa.binary()),
+                    pa.array([[{"start": x, "end": y} for x, y in one.spans] for one in cuts], span_type),
                 ],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
     return repeats.rows.mapInArrow(cut, CUT_SCHEMA)
+
+
+def documents_without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
+    """The documents with their columns, the removed bytes cut out of ``text`` and ``n_chars`` counted anew.
+
+    A character cut in two is dropped. Texts without a removed byte, null ones among
+    them, and rows of any kind stay as they are.
+    """
+    names = documents.columns
+    others = [name for name in names if name not in ("doc_id", "text")]
+    # Nulls are told from empty texts by a flag, as blocks hold bytes only.
+    flagged = documents.withColumn("repeat null", F.col("text").isNull())
+    repeats = find_repeats(flagged, threshold, [*others, "repeat null"])
+    parts, schema = repeats.parts, documents.schema
+    id_type = schema["doc_id"].dataType
+
+    def cut(batches):
+        for row in _block_rows(batches):
+            block, cuts = _cuts(row, threshold, parts)
+            data = zstandard.ZstdDecompressor().decompress(row["others"])
+            rest = pa.ipc.open_stream(data).read_all().combine_chunks()
+            nulls = rest.column("repeat null").to_pylist()
+            texts = [None if null else one.kept.decode(errors="ignore") for one, null in zip(cuts, nulls)]
+            columns = {name: rest.column(name) for name in others}
+            columns["doc_id"] = pa.array(block.doc_ids, mask=~block.known)
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                old = columns["n_chars"].to_pylist()
+                new = [len(t) if one.spans else n for t, one, n in zip(texts, cuts, old)]
+                columns["n_chars"] = pa.array(new, columns["n_chars"].type)
+            table = pa.table([columns[name] for name in names], names=names)
+            yield from table.to_batches()
+
+    out = documents.select(
+        *[F.col("doc_id").cast("long").alias("doc_id") if name == "doc_id" else column(name) for name in names]
+    ).schema
+    found = repeats.rows.mapInArrow(cut, out)
+    return found.select(*[found[quoted(n)].cast(id_type).alias(n) if n == "doc_id" else column(n) for n in names])
