@@ -160,7 +160,7 @@ def pack_matrix(
     end_id: int = END_ID,
     pad_id: int = 0,
     window: int = 4096,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per sequence; ids and positions are little-endian unsigned 32-bit."""
     path = path or tokenizer_path()

@@ -186,7 +186,7 @@ def pack_documents(
     path: str | None = None,
     end_id: int = END_ID,
     window: int = 4096,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per piece of a document, with its ids (little-endian unsigned 32-bit) and its place.
 

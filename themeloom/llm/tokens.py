@@ -29,7 +29,7 @@ class WordEncoder:
     and a comma or full stop after a letter or digit is a token of its own.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.most_words = most_words
@@ -43,10 +43,16 @@ class WordEncoder:
 
     def _apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of ids of each."""
-        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
-        texts = [b" ".join(word + b" " + MARK for word in group).decode() for group in groups]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), dtype=np.uint32)
+        parts = []
+        # A few thousand words at a time, as encodings take far more room than their ids.
+        for at in range(0, len(words), 4096):
+            texts = [
+                b" ".join(word + b" " + MARK for word in words[k : min(k + 256, at + 4096)]).decode()
+                for k in range(at, min(at + 4096, len(words)), 256)
+            ]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            parts += [np.array(e.ids, dtype=np.uint32) for e in found]
+        ids = np.concatenate(parts)
         is_mark = ids == self.mark
         ends = np.flatnonzero(is_mark)
         if len(ends) != len(words):
