@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +35,20 @@ from themeloom.operators.reshape import (
     clean_responses,
     distinct_responses,
     promptable_categories,
+    promptable_rows,
     split_columns,
     unpivot_responses,
 )
 from themeloom.operators.sampling import sample_array, sample_n
 from themeloom.plans.jobs import (
-    categorize_responses,
+    categorized_output,
     code_batches,
     create_codeframe,
     generate_categories,
     propose_categories,
 )
 from themeloom.sources.csv_tables import (
+    category_rows,
     read_categories,
     read_codeframe_multi,
     read_codeframe_single,
@@ -58,8 +61,9 @@ from themeloom.tables import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SINGLE = CodingSettings(question=QUESTION, concurrency=8, paced=False, backoff_seconds=0.0)
-MULTI = CodingSettings(question=QUESTION, concurrency=8, paced=False, backoff_seconds=0.0, is_multicode=True)
+SINGLE = CodingSettings(question=QUESTION, concurrency=8, calls_per_task=1, paced=False, backoff_seconds=0.0)
+MULTI = replace(SINGLE, is_multicode=True)
+SMALL_REQUESTS = replace(SINGLE, tokens_per_minute=2_000)
 NOTE_PROMPTABLE = promptable_categories(NOTE_CATEGORIES)
 REDACTIONS = [
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+", "<mail $1>"),
@@ -82,8 +86,12 @@ def written(df: DataFrame, label: str, **options) -> str:
 
 
 def read_responses_query(spark, sf_dir):
-    path = written(derived(spark, sf_dir, CELLS, "documents"), "cells")
-    return read_responses(spark, path)
+    """Files of one folder that name their columns in two orders."""
+    cells = derived(spark, sf_dir, CELLS, "documents")
+    folder = scratch_path(spark, "cells")
+    write_csv(cells.where("r2 < 'src5'"), f"{folder}/a")
+    write_csv(cells.where("NOT r2 < 'src5'").select("id", "r2", "r1"), f"{folder}/b")
+    return read_responses(spark, f"{folder}/*")
 
 
 def decode_text(spark, sf_dir):
@@ -106,13 +114,17 @@ def part_types(spark, sf_dir) -> DataFrame:
     return kinds.orderBy("category").unionByName(extra)
 
 
-def listed(spark, values: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "ord INT, category STRING")
+def read_categories_query(spark, sf_dir):
+    """A long list: part types and every order with lines."""
+    orders = F.concat(F.lit("Order "), F.col("l_orderkey"))
+    more = table(spark, sf_dir, "lineitem").select(orders.alias("category")).distinct().orderBy("category")
+    path = written(more.unionByName(part_types(spark, sf_dir)), "categories", header=False, one_file=True)
+    return category_rows(spark, path)
 
 
-def read_categories_query(spark, sf_dir):
-    path = written(part_types(spark, sf_dir), "categories", header=False, one_file=True)
-    return listed(spark, read_categories(spark, path))
+def categories_file(spark, names: list[str]) -> str:
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(name) for name in names])).alias("category"))
+    return written(rows, "categories", header=False, one_file=True)
 
 
 def part_answers(spark, sf_dir) -> DataFrame:
@@ -134,7 +146,7 @@ def repeated_keys(spark, sf_dir):
 
 def python_lists(spark, sf_dir):
     """A codeframe file whose lists are written with single quotes, or not at all."""
-    text = F.concat(F.lit("['"), F.col("p_type"), F.lit("', \""), F.col("p_brand"), F.lit("'s\"]"))
+    text = F.concat(F.lit("['"), F.col("p_type"), F.lit(r"\u00e9\\', " + '"'), F.col("p_brand"), F.lit("'s\"]"))
     value = F.when(F.col("p_size") > 10, text).alias("value")
     part = table(spark, sf_dir, "part").orderBy("p_partkey")
     path = written(part.select(F.col("p_name").alias("key"), value), "lists")
@@ -188,7 +200,7 @@ def reassemble(spark, sf_dir):
 
 def promptable_query(spark, sf_dir):
     path = written(part_types(spark, sf_dir), "categories", header=False, one_file=True)
-    return listed(spark, promptable_categories(read_categories(spark, path)))
+    return promptable_rows(category_rows(spark, path))
 
 
 def redact_query(spark, sf_dir):
@@ -247,7 +259,8 @@ def costs(spark, sf_dir) -> DataFrame:
 
 
 def budget_query(spark, sf_dir):
-    return plan_requests(costs(spark, sf_dir), tokens_per_minute=6_000, requests_per_minute=4, block_rows=100)
+    charged = costs(spark, sf_dir).withColumn("cost", F.col("cost") + SINGLE.expected_reply_tokens)
+    return plan_requests(charged, tokens_per_minute=6_000, requests_per_minute=4, block_rows=100)
 
 
 def call_model_query(spark, sf_dir):
@@ -280,6 +293,15 @@ def retry_query(spark, sf_dir):
     )
 
 
+def oversize_query(spark, sf_dir):
+    """Batches over the token limit are asked answer by answer."""
+    coded = code_batches(note_batches(spark, sf_dir), NOTE_PROMPTABLE, lambda: KeywordClient(False), SMALL_REQUESTS)
+    codes = F.transform("codes", lambda c: F.array_join(c, "+"))
+    return coded.select(
+        "batch_id", joined("responses"), F.array_join(codes, "|").alias("codes"), "status", "last_error"
+    )
+
+
 def strip_query(spark, sf_dir):
     reply = F.concat(F.lit(" \n```json\n"), "text", F.lit("json`\n``` \t"))
     return table(spark, sf_dir, "documents").select("doc_id", strip_reply(reply).alias("reply"))
@@ -344,19 +366,21 @@ def keyword_codeframe(answers: DataFrame, categories: list[str]) -> DataFrame:
     return answers.select("response", codes.alias("categories"))
 
 
-def apply_all_shuffled(spark, sf_dir):
+def apply_all_shuffled(spark, sf_dir, is_multicode: bool = True):
     """Long distinct answers, with no room to broadcast their codeframe."""
     answers = materialize(clean_responses(notes(spark, sf_dir)), "cleaned")
     codeframe = keyword_codeframe(distinct_responses(answers, keep_empty=False), NOTE_CATEGORIES)
-    return categorize(answers, codeframe, NOTE_CATEGORIES, broadcast_bytes=16_384).drop("r1")
+    if not is_multicode:
+        codeframe = codeframe.select("response", F.element_at("categories", 1).alias("category"))
+    return categorize(answers, codeframe, NOTE_CATEGORIES, broadcast_bytes=0)
 
 
-def apply_all_frequent(spark, sf_dir):
+def apply_all_frequent(spark, sf_dir, broadcast_bytes: int = 128 * 1024 * 1024):
     """A few answers that fill the whole table."""
     answers = clean_responses(lines(spark, sf_dir))
     codes = F.when(F.col("response") == "n", F.array(F.lit("Red"))).otherwise(F.array(F.lit("Gear"), F.lit("Ring")))
     codeframe = distinct_responses(answers).where(F.col("response") != "r").withColumn("categories", codes)
-    return categorize(answers, codeframe, PART_CATEGORIES)
+    return categorize(answers, codeframe, PART_CATEGORIES, broadcast_bytes)
 
 
 def failed_query(spark, sf_dir):
@@ -368,6 +392,21 @@ def unknown_query(spark, sf_dir):
     return unknown_codes(part_codeframe(part_answers(spark, sf_dir), is_multicode=True), PART_CATEGORIES)
 
 
+def with_missing(codeframe: DataFrame) -> DataFrame:
+    """A single codeframe, with no code for some answers and a failed one for others."""
+    code = F.when(F.col("response").contains("rod"), F.lit(None)).otherwise(F.col("category"))
+    return codeframe.withColumn("category", code)
+
+
+def failed_single_query(spark, sf_dir):
+    return failed_answers(with_missing(part_codeframe(part_answers(spark, sf_dir), is_multicode=False)))
+
+
+def unknown_single_query(spark, sf_dir):
+    codeframe = with_missing(part_codeframe(part_answers(spark, sf_dir), is_multicode=False))
+    return unknown_codes(codeframe, PART_CATEGORIES)
+
+
 # --- jobs, from file to file -----------------------------------------------
 
 
@@ -376,12 +415,12 @@ def generate_categories_job(spark, sf_dir):
     settings = CodingSettings(question=QUESTION, sample_size=100, number_of_categories=25, paced=False, seed="7")
     categories = generate_categories(responses, FirstWordClient, settings)
     path = written(categories.orderBy("ord").select("category"), "categories", header=False, one_file=True)
-    return listed(spark, read_categories(spark, path))
+    return category_rows(spark, path)
 
 
 def build_codeframe_job(spark, sf_dir, is_multicode: bool):
     responses = read_responses(spark, written(notes(spark, sf_dir), "responses"))
-    names = written(listed(spark, NOTE_CATEGORIES).orderBy("ord").select("category"), "names", header=False, one_file=True)
+    names = categories_file(spark, NOTE_CATEGORIES)
     settings = MULTI if is_multicode else SINGLE
     codeframe = create_codeframe(
         responses, read_categories(spark, names), lambda: KeywordClient(is_multicode), settings
@@ -393,10 +432,10 @@ def build_codeframe_job(spark, sf_dir, is_multicode: bool):
     return read_codeframe_single(spark, path)
 
 
-def categorized_output_job(spark, sf_dir):
+def categorized_output_job(spark, sf_dir, is_multicode: bool):
     responses = read_responses(spark, written(parts(spark, sf_dir), "responses"))
-    codeframe = read_codeframe_multi(spark, codeframe_file(spark, sf_dir, is_multicode=True))
-    coded = categorize_responses(responses, codeframe, PART_CATEGORIES)
+    names, codes = categories_file(spark, PART_CATEGORIES), codeframe_file(spark, sf_dir, is_multicode)
+    coded, _, _ = categorized_output(spark, responses, names, codes, MULTI if is_multicode else SINGLE)
     path = written(coded, "categorized", rows_from=responses)
     return spark.read.schema(coded.schema).option("header", True).csv(path)
 
@@ -429,6 +468,7 @@ QUERIES: dict[str, Query] = {
     "M7_parse_category_list": parse_query,
     "M8_validate_codes": validate_query,
     "M9_retry_then_error": retry_query,
+    "M9_oversize_split": oversize_query,
     "M10_generate_categories": propose_query,
     "M11_build_codeframe": build_codeframe_query,
     "C1_default_indicators": default_query,
@@ -437,11 +477,16 @@ QUERIES: dict[str, Query] = {
     "C4_apply_multi": lambda spark, sf_dir: apply_query(spark, sf_dir, True),
     "C5_apply_all": apply_all,
     "C5_apply_all_shuffled": apply_all_shuffled,
+    "C5_apply_all_shuffled_single": lambda spark, sf_dir: apply_all_shuffled(spark, sf_dir, False),
     "C5_apply_all_frequent": apply_all_frequent,
+    "C5_apply_all_frequent_shuffled": lambda spark, sf_dir: apply_all_frequent(spark, sf_dir, 0),
     "C6_failed_audit": failed_query,
+    "C6_failed_audit_single": failed_single_query,
     "C7_unknown_audit": unknown_query,
+    "C7_unknown_audit_single": unknown_single_query,
     "J1_generate_categories_job": generate_categories_job,
     "J2_build_codeframe_job": lambda spark, sf_dir: build_codeframe_job(spark, sf_dir, False),
     "J2_build_codeframe_job_multi": lambda spark, sf_dir: build_codeframe_job(spark, sf_dir, True),
-    "J3_categorized_output_job": categorized_output_job,
+    "J3_categorized_output_job": lambda spark, sf_dir: categorized_output_job(spark, sf_dir, True),
+    "J3_categorized_output_job_single": lambda spark, sf_dir: categorized_output_job(spark, sf_dir, False),
 }

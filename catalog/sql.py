@@ -64,7 +64,7 @@ def in_batch(expression: str, separator: str) -> str:
     return f"string_agg({expression}, {text(separator)} ORDER BY i)"
 
 
-# --- prompts ---------------------------------------------------------------
+# --- prompts (fixed values: the wording that is sent) ---------------------------------------------------------------
 
 CATEGORY_HEAD = (
     "List the 20 most relevant thematic categories for this sample of survey responses.\n"
@@ -122,6 +122,13 @@ def first_hit(response: str, categories: list[str]) -> str:
 PART_CODE_ROWS = ("coded", PART_CODES.format(answers="answers"))
 
 
+SINGLE_CODES = (
+    "singles",
+    "SELECT response, CASE WHEN NOT contains(response, 'rod') THEN nullif(split_part(codes, '|', 1), '') END "
+    "AS category FROM coded",
+)
+
+
 def code_list(codes: str) -> str:
     """A bar-joined text as a list, empty for an empty text."""
     return f"list_filter(string_split({codes}, '|'), lambda c: c <> '')"
@@ -190,6 +197,8 @@ MISSING = ", ".join(
 )
 PART_APPLIED = applied((*PART_ANSWERS, PART_CODE_ROWS), "codes", PART_CATEGORIES)
 
+PART_APPLIED_SINGLE = applied((*PART_ANSWERS, PART_CODE_ROWS), "split_part(codes, '|', 1)", PART_CATEGORIES)
+
 
 # --- replies ---------------------------------------------------------------
 
@@ -236,7 +245,7 @@ BUDGET = (
         (
             "charged",
             "SELECT *, cost > 6000 AS oversize, CASE WHEN cost > 6000 THEN 0 ELSE cost END AS tokens, "
-            "CASE WHEN cost > 6000 THEN 0 ELSE 1 END AS one FROM costs",
+            "CASE WHEN cost > 6000 THEN 0 ELSE 1 END AS one FROM (SELECT batch_id, cost + 60 AS cost FROM costs) AS asked",
         ),
         ("held", f"SELECT *, greatest({micros('tokens', 6000)}, {micros('one', 4)}) AS hold FROM charged"),
         (
@@ -276,6 +285,14 @@ def proposed(count: int) -> str:
     return with_tables(NOTE_ROWS, LONG, DISTINCT, SAMPLE, words, named)
 
 
+TYPES_AND_ORDERS = """
+WITH listed AS (
+    SELECT DISTINCT concat('Order ', CAST(l_orderkey AS VARCHAR)) AS category, 0 AS later FROM lineitem
+    UNION ALL
+    SELECT DISTINCT concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))), 1 FROM part
+    UNION ALL SELECT 'Other', 2 UNION ALL SELECT 'Bad response', 3 UNION ALL SELECT 'Uncategorized', 4)
+SELECT CAST(row_number() OVER (ORDER BY later, category) - 1 AS INTEGER) AS ord, category FROM listed"""
+
 PART_TYPES = "SELECT DISTINCT concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) AS category FROM part"
 
 
@@ -296,10 +313,10 @@ ORACLE_SQL: dict[str, str] = {
     "S1_read_responses": f"SELECT id, r1, CASE WHEN r2 NOT IN ('N/A', 'null') THEN r2 END AS r2 "
     f"FROM ({CELLS.format(documents='documents')}) AS cells",
     "S2_decode_text": "SELECT CAST(doc_id AS VARCHAR) AS id, text AS r1 FROM documents",
-    "S3_read_categories": type_list(["Other", "Bad response", "Uncategorized"]),
+    "S3_read_categories": TYPES_AND_ORDERS,
     "S4_read_codeframe_single": "SELECT p_name AS response, max_by(p_type, p_partkey) AS category FROM part GROUP BY 1",
     "S5_read_codeframe_multi": "SELECT p_name AS response, max_by(CASE WHEN p_size > 10 THEN "
-    "concat(p_type, '|', p_brand, '''s') ELSE '' END, p_partkey) AS categories FROM part GROUP BY 1",
+    "concat(p_type, 'é\\|', p_brand, '''s') ELSE '' END, p_partkey) AS categories FROM part GROUP BY 1",
     "S6_write_table": with_tables(NOTE_ROWS) + f"SELECT id, r1, nullif(r2, '') AS r2, {NOTE_DEFAULTS} FROM cleaned",
     "S7_write_codeframe": with_tables(*PART_ANSWERS, PART_CODE_ROWS)
     + "SELECT response AS key, CASE WHEN codes = '' THEN '[]' "
@@ -346,6 +363,27 @@ ORACLE_SQL: dict[str, str] = {
     "CAST(CASE WHEN refused THEN 6 WHEN wrong THEN 2 ELSE 1 END AS BIGINT) AS attempts, "
     "CASE WHEN refused THEN 'error' ELSE 'ok' END AS status, "
     "CASE WHEN refused THEN 'not_json' WHEN wrong THEN 'unknown_category' END AS last_error FROM asked",
+    "M9_oversize_split": with_tables(
+        *NOTE_BATCHES,
+        PROMPTS,
+        COSTS,
+        (
+            "parts",
+            "SELECT m.batch_id, CASE WHEN split THEN i ELSE 0 END AS part, CASE WHEN split THEN 0 ELSE i END AS i, "
+            "response FROM members AS m JOIN (SELECT batch_id, cost + 60 > 2000 AND n > 1 AS split FROM costs JOIN "
+            "(SELECT batch_id, count(*) AS n FROM members GROUP BY batch_id) AS sizes USING (batch_id)) AS s "
+            "USING (batch_id)",
+        ),
+        (
+            "asked",
+            f"SELECT batch_id, {in_batch('response', '|')} AS responses, "
+            f"{in_batch(first_hit('response', NOTE_PROMPTABLE), '|')} AS codes, {in_batch(text('Error'), '|')} AS errors, "
+            f"(length({coding_prompt(SINGLE_HEAD)}) + 3) // 4 + 70 > 2000 AS refused FROM parts GROUP BY batch_id, part",
+        ),
+    )
+    + "SELECT batch_id, responses, CASE WHEN refused THEN errors ELSE codes END AS codes, "
+    "CASE WHEN refused THEN 'error' ELSE 'ok' END AS status, "
+    "CASE WHEN refused THEN 'over_token_limit' END AS last_error FROM asked",
     "M10_generate_categories": proposed(20)
     + "SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS ord, category FROM named",
     "M11_build_codeframe": with_tables(
@@ -363,8 +401,16 @@ ORACLE_SQL: dict[str, str] = {
     "C3_apply_single": applied_to_r1("split_part(codes, '|', 1)"),
     "C4_apply_multi": applied_to_r1("codes"),
     "C5_apply_all": PART_APPLIED,
-    "C5_apply_all_shuffled": applied((*NOTE_ANSWERS, KEYWORD_CODES), "codes", NOTE_CATEGORIES, keep="id, r2"),
+    "C5_apply_all_shuffled": applied((*NOTE_ANSWERS, KEYWORD_CODES), "codes", NOTE_CATEGORIES),
+    "C5_apply_all_shuffled_single": applied((*NOTE_ANSWERS, KEYWORD_CODES), "split_part(codes, '|', 1)", NOTE_CATEGORIES),
     "C5_apply_all_frequent": applied((LINE_ROWS, LONG, DISTINCT, ANSWERS, LINE_CODES), "codes", PART_CATEGORIES),
+    "C5_apply_all_frequent_shuffled": applied(
+        (LINE_ROWS, LONG, DISTINCT, ANSWERS, LINE_CODES), "codes", PART_CATEGORIES
+    ),
+    "C6_failed_audit_single": with_tables(*PART_ANSWERS, PART_CODE_ROWS, SINGLE_CODES)
+    + "SELECT response, category FROM singles WHERE category = 'Error'",
+    "C7_unknown_audit_single": with_tables(*PART_ANSWERS, PART_CODE_ROWS, SINGLE_CODES)
+    + f"SELECT response, category AS code FROM singles WHERE category IS NULL OR category NOT IN ({IN_LIST})",
     "C6_failed_audit": with_tables(*PART_ANSWERS, PART_CODE_ROWS)
     + "SELECT response, codes AS categories FROM coded WHERE codes = 'Error'",
     "C7_unknown_audit": with_tables(
@@ -378,6 +424,8 @@ ORACLE_SQL: dict[str, str] = {
     "J2_build_codeframe_job_multi": with_tables(*NOTE_ANSWERS)
     + f"SELECT response, {hits('response', NOTE_PROMPTABLE, '|')} AS categories FROM answers",
     # CSV holds no difference between an empty cell and a missing one.
+    "J3_categorized_output_job_single": f"SELECT * REPLACE (nullif(r1, '') AS r1, nullif(r2, '') AS r2) "
+    f"FROM ({PART_APPLIED_SINGLE}) AS applied",
     "J3_categorized_output_job": f"SELECT * REPLACE (nullif(r1, '') AS r1, nullif(r2, '') AS r2) "
     f"FROM ({PART_APPLIED}) AS applied",
 }

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,9 +9,6 @@ from themeloom.operators import indicators
 from themeloom.operators.audits import failed_answers, unknown_codes
 from themeloom.operators.indicators import apply_codes, categorize, default_indicators, missing_to_null
 
-NAMES = ["Price", "Staff", "Uncategorized"]
-
-
 def codeframe(spark, codes):
     return spark.createDataFrame(list(codes.items()), "response string, categories array<string>")
 
@@ -18,53 +17,6 @@ def single(spark, codes):
     return spark.createDataFrame(list(codes.items()), "response string, category string")
 
 
-def test_defaults(spark):
-    df = spark.createDataFrame([("a", "c", "e"), ("b", "d", "f")], "person string, liked string, disliked string")
-    got = default_indicators(df, ["liked", "disliked"], NAMES)
-    assert got.columns == df.columns + [f"{c}_{r}" for r in ("liked", "disliked") for c in NAMES]
-    assert set(dict(got.dtypes)[c] for c in got.columns[3:]) == {"bigint"}
-    assert [tuple(r)[3:] for r in got.collect()] == [(0, 0, 1, 0, 0, 1)] * 2
-
-
-def test_missing_affects_its_own_column_only(spark):
-    rows = [(None, "c", 0, 0, 1, 1), ("a", None, 1, 0, 0, 0), ("b", None, 0, 1, 0, 0), (None, "d", 0, 0, 0, 1)]
-    df = spark.createDataFrame(
-        rows, "r1 string, r2 string, Price_r1 long, Staff_r1 long, Price_r2 long, Staff_r2 long"
-    )
-    got = [tuple(r) for r in missing_to_null(df, "r1", NAMES).collect()]
-    assert got == [(r[0], r[1], *((None, None) if r[0] is None else r[2:4]), *r[4:]) for r in rows]
-
-
-def test_single_code(spark):
-    rows = [("worth it", 0, 1), ("rude", 0, 1), ("worth it", 0, 1)]
-    df = spark.createDataFrame(rows, "r string, Price_r long, Uncategorized_r long")
-    names = ["Price", "Uncategorized"]
-    got = apply_codes(df, "r", single(spark, {"worth it": "Price"}), names)
-    assert sorted(map(tuple, got.collect())) == [("rude", 0, 1), ("worth it", 1, 0), ("worth it", 1, 0)]
-    unknown = apply_codes(df, "r", single(spark, {"worth it": "Nothing", "rude": None}), names)
-    assert sorted(map(tuple, unknown.collect())) == sorted(map(tuple, df.collect()))
-
-
-def test_multiple_codes(spark):
-    df = default_indicators(spark.createDataFrame([("worth it",), ("rude",), ("worth it",)], "r string"), ["r"], NAMES)
-    got = apply_codes(df, "r", codeframe(spark, {"worth it": ["Price", "Staff"]}), NAMES)
-    assert sorted(map(tuple, got.collect())) == [("rude", 0, 0, 1), ("worth it", 1, 1, 0), ("worth it", 1, 1, 0)]
-
-
-def test_second_column_leaves_the_first_alone(spark):
-    df = spark.createDataFrame([("worth it", "rude"), ("rude", "worth it"), ("worth it", "rude")], "r1 string, r2 string")
-    df = default_indicators(df, ["r1", "r2"], NAMES)
-    got = apply_codes(df, "r2", single(spark, {"rude": "Price"}), NAMES)
-    rows = sorted(map(tuple, got.collect()))
-    assert rows == [("rude", "worth it", 0, 0, 1, 0, 0, 1)] + [("worth it", "rude", 0, 0, 1, 1, 0, 0)] * 2
-
-
-def test_earlier_indicators_are_kept(spark):
-    df = spark.createDataFrame([("worth it", 0, 1, 0)], "r string, Price_r long, Staff_r long, Uncategorized_r long")
-    got = apply_codes(df, "r", single(spark, {"worth it": "Price"}), NAMES)
-    assert tuple(got.first()) == ("worth it", 1, 1, 0)
-
-
 WIDE = ["Ring", "Red", "a.b `c`", "Uncategorized", "Error"]
 CODES = {
     "one": ["Ring"],
@@ -84,18 +36,62 @@ CODES = {
 }
 
 
-def replayed(answer, names):
+def replayed(answer, names, codes=CODES):
     """Indicators of one answer, code by code."""
     if answer is None:
         return (None,) * len(names)
     values = {name: int(name == "Uncategorized") for name in names}
-    for code in (CODES.get(answer) or []) if answer else []:
+    for code in (codes.get(answer) or []) if answer else []:
         if code in values:
             values["Uncategorized"] = 0
             values[code] = 1
     return tuple(values[name] for name in names)
 
 
+def table_of(spark, width, seed):
+    """Rows of random answers, known, unknown and missing, under odd column names."""
+    rng = random.Random(seed)
+    columns = [f"q.{k} `x`" for k in range(width)]
+    rows = [(str(i), *(rng.choice([*CODES, None, "never seen"]) for _ in columns)) for i in range(60)]
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in ["id", *columns])
+    return spark.createDataFrame(rows, schema), rows, columns
+
+
+def test_defaults_and_missing_answers(spark):
+    df, rows, columns = table_of(spark, 3, 1)
+    got = default_indicators(df, columns, WIDE)
+    assert got.columns == df.columns + [f"{c}_{r}" for r in columns for c in WIDE]
+    assert {kind for _, kind in got.dtypes[len(df.columns) :]} == {"bigint"}
+    plain = replayed("never seen", WIDE)
+    assert {tuple(r) for r in got.collect()} == {(*r, *plain * 3) for r in rows}
+    middle = missing_to_null(got, columns[1], WIDE)
+    want = {(*r, *plain, *(plain if r[2] is not None else (None,) * len(WIDE)), *plain) for r in rows}
+    assert {tuple(r) for r in middle.collect()} == want
+
+
+@pytest.mark.parametrize("room", [10**8, 0])
+@pytest.mark.parametrize("form", ["multi", "single"])
+def test_codes_set_on_one_column(spark, room, form):
+    """Other columns keep their indicators, and so does this one where no code says otherwise."""
+    df, rows, columns = table_of(spark, 2, 2)
+    before = default_indicators(df, columns, WIDE).withColumn(f"Red_{columns[0]}", F.lit(1).cast("long"))
+    frame = codeframe(spark, CODES)
+    codes = CODES
+    if form == "single":
+        codes = {a: [c[0]] if c else [None] for a, c in CODES.items()}
+        frame = single(spark, {a: c[0] for a, c in codes.items()})
+    got = apply_codes(before, columns[0], frame, WIDE, broadcast_bytes=room)
+    plain = replayed("never seen", WIDE)
+
+    def own(answer):
+        new = list(replayed(answer, WIDE, codes)) if answer is not None else list(plain)
+        new[WIDE.index("Red")] = 1
+        return tuple(new)
+
+    assert got.columns == before.columns
+    assert {tuple(r) for r in got.collect()} == {(*r, *own(r[1]), *plain) for r in rows}
+
+
 @pytest.mark.parametrize("room", ["broadcast", "shuffle"])
 @pytest.mark.parametrize("extra", [0, 150])
 def test_all_rules_in_both_plans(spark, room, extra):
@@ -151,32 +147,59 @@ def test_small_codeframe_never_shuffles_the_responses(spark, tmp_path):
 def test_large_codeframe_spreads_a_hot_answer(spark, tmp_path):
     """What is shuffled under any one key stays small although two keys hold most rows."""
     df, codes = skewed(spark, tmp_path)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        coded = categorize(df, codes, ["A", "B", "Uncategorized"], broadcast_bytes=100_000)
-        plan = executed_plan(coded)
-        assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
-        assert "hashpartitioning(_place" in plan
-        counts = {tuple(r)[:3]: r[3] for r in coded.groupBy("A_r", "B_r", "Uncategorized_r").count().collect()}
-        assert counts == {(0, 1, 0): 20_000, (1, 0, 0): 20_000, (None, None, None): 20_000}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_hot_answers_are_few_and_flagged(spark, tmp_path, monkeypatch):
+    coded = categorize(df, codes, ["A", "B", "Uncategorized"], broadcast_bytes=0)
+    plan = executed_plan(coded)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "hashpartitioning(_place" in plan
+    counts = {tuple(r)[:3]: r[3] for r in coded.groupBy("A_r", "B_r", "Uncategorized_r").count().collect()}
+    assert counts == {(0, 1, 0): 20_000, (1, 0, 0): 20_000, (None, None, None): 20_000}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = indicators._shuffled_lookup(
+        df, "r", indicators._written_masks(codes, ["A", "B", "Uncategorized"]), "c", hot(spark, df), 8, ["id"]
+    )
+    sizes = [r[1] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2 * 60_000 / 8
+
+
+def hot(spark, df):
+    return indicators.hot_digests(df, 8)
+
+
+def test_hot_answers_are_counted_over_all_rows(spark, tmp_path):
+    df, _ = skewed(spark, tmp_path)
+    (digest,) = hot(spark, df)
+    assert digest == spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert indicators.hot_digests(df.where("false"), 8) == []
+    every = spark.range(40).select("id", (F.col("id") % 4).cast("string").alias("r"))
+    assert len(indicators.hot_digests(every, 8)) == 4
+
+
+def test_stream_with_a_large_codeframe(spark, tmp_path):
+    from themeloom.config import CodingSettings
+    from themeloom.streaming.coding import categorize_stream
+
     df, codes = skewed(spark, tmp_path)
-    masks = indicators._written_masks(codes, ["A", "B", "Uncategorized"])
-    for rows in (1_000_000, 20_000):  # every row, and a part of them
-        monkeypatch.setattr(indicators, "COUNTED_ROWS", rows)
-        hot = indicators._hot_masks(df, masks, 10**6).collect()
-        assert [(r.response, r.mask_0, r.hot) for r in hot] == [("hot", 2, True)]
-    assert indicators._hot_masks(df, masks, 10) is None
+    frame = codes.select("response", F.array("category").alias("categories"))
+    arriving = spark.readStream.schema(df.schema).parquet(str(tmp_path / "skewed"))
+    query = categorize_stream(
+        arriving, frame, ["A", "B", "Uncategorized"], str(tmp_path / "out"), str(tmp_path / "state"),
+        CodingSettings(broadcast_bytes=0), availableNow=True,
+    )
+    query.awaitTermination()
+    counts = spark.read.parquet(str(tmp_path / "out")).groupBy("A_r", "B_r", "Uncategorized_r").count()
+    assert {tuple(r)[:3]: r[3] for r in counts.collect()} == {
+        (0, 1, 0): 20_000, (1, 0, 0): 20_000, (None, None, None): 20_000,
+    }
 
 
 def test_audits(spark):
     multi = codeframe(spark, {"a": ["Error"], "b": ["Red", "Nope"], "c": ["Red"], "d": []})
     assert [r.response for r in failed_answers(multi).collect()] == ["a"]
     assert {tuple(r) for r in unknown_codes(multi, ["Red", "Error"]).collect()} == {("b", "Nope")}
+    gaps = codeframe(spark, {"a": ["Red", None], "b": None})
+    assert {tuple(r) for r in unknown_codes(gaps, ["Red"]).collect()} == {("a", None)}
+    assert {tuple(r) for r in unknown_codes(single(spark, {"a": None}), ["Red"]).collect()} == {("a", None)}
     one = single(spark, {"a": "Error", "b": "Nope", "c": "Red"})
     assert [r.response for r in failed_answers(one).collect()] == ["a"]
     assert {tuple(r) for r in unknown_codes(one, ["Red"]).collect()} == {("a", "Error"), ("b", "Nope")}

@@ -1,15 +1,19 @@
 import functools
+import random
 import time
+from collections import namedtuple
+from dataclasses import replace
 
 import pytest
 from themeloom.clients import ChatClient, FirstWordClient, KeywordClient, RateLimited, ScriptedClient
 from themeloom.config import CodingSettings
-from themeloom.operators.coding import build_codeframe
-from themeloom.operators.inference import CodeReply, coding_requests, read_ledger, run_requests
+from themeloom.functions.prompts import token_counter
+from themeloom.operators.coding import build_codeframe, coding_report
+from themeloom.operators.inference import CodeReply, Pace, coding_requests, read_ledger, run_requests
 from themeloom.plans.jobs import code_batches, create_codeframe, generate_categories
 from themeloom.tables import scratch_path
 
-FAST = CodingSettings(question="Why?", paced=False, backoff_seconds=0.0, concurrency=2)
+FAST = CodingSettings(question="Why?", paced=False, backoff_seconds=0.0, concurrency=2, calls_per_task=1)
 CATEGORIES = ["Red", "Blue", "Other"]
 
 
@@ -39,11 +43,8 @@ def test_every_kind_of_failure_is_tried_again(spark):
 
 
 def test_being_slowed_down_is_no_attempt(spark):
-    row = ask(spark, [RateLimited("429")] * 9 + ['["Red", "Blue"]'])
+    row = ask(spark, [RateLimited("429")] * 90 + ['["Red", "Blue"]'])
     assert (row.attempts, row.status, row.last_error) == (1, "ok", None)
-    few = CodingSettings(paced=False, backoff_seconds=0.0, rate_waits=2, max_attempts=2)
-    row = ask(spark, [RateLimited("429")], few)
-    assert (row.attempts, row.status, row.last_error) == (2, "error", "429")
 
 
 def test_after_the_last_attempt_all_answers_are_failed(spark):
@@ -63,11 +64,122 @@ def test_lengths_are_free_unless_strict(spark):
 
 
 def test_request_over_the_limit_is_not_sent(spark):
-    small = CodingSettings(paced=False, tokens_per_minute=20)
-    row = ask(spark, [RuntimeError("must not be asked")], small)
+    small = replace(FAST, tokens_per_minute=20)
+    row = ask(spark, [RuntimeError("must not be asked")], small, answers=["a red one"])
     assert (row.attempts, row.status, row.last_error) == (0, "error", "over_token_limit")
 
 
+def test_a_long_answer_costs_its_neighbours_nothing(spark):
+    """A batch over the limit is asked answer by answer."""
+    settings = replace(FAST, tokens_per_minute=300)
+    many = batches(spark, ["apple red", "x" * 2000, "blue"], ["red"])
+    coded = code_batches(many, CATEGORIES, lambda: KeywordClient(False), settings)
+    found = {r.responses[0]: (r.status, r.codes) for r in coded.collect()}
+    assert found == {
+        "apple red": ("ok", [["Red"]]), "x" * 2000: ("error", [["Error"]]), "blue": ("ok", [["Blue"]]),
+        "red": ("ok", [["Red"]]),
+    }
+    report = coding_report(coded).first()
+    assert (report.answers, report.coded, report.unpaired, report.over_limit, report.failed) == (4, 3, 0, 1, 0)
+
+
+def test_report_counts_answers_lost_to_short_replies(spark):
+    coded = code_batches(batches(spark, ["red", "blue"]), CATEGORIES, lambda: ScriptedClient(['["Red"]']), FAST)
+    report = coding_report(coded).first()
+    assert (report.answers, report.coded, report.unpaired, report.over_limit, report.failed) == (2, 1, 1, 0, 0)
+
+
+def test_another_model_or_reading_asks_again(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+
+    def asked(settings, reply):
+        coded = code_batches(batches(spark, ["red", "blue"]), CATEGORIES, lambda: ScriptedClient([reply]), settings, ledger)
+        row = coded.first()
+        return row.status, row.codes
+
+    assert asked(FAST, '["Red"]') == ("ok", [["Red"]])
+    assert asked(FAST, '["Blue", "Blue"]') == ("ok", [["Red"]])  # from the ledger
+    strict = replace(FAST, strict_length=True)
+    assert asked(strict, '["Blue", "Blue"]') == ("ok", [["Blue"], ["Blue"]])
+    assert asked(replace(FAST, model="other"), '["Other", "Red"]') == ("ok", [["Other"], ["Red"]])
+
+
+def test_a_hosted_model_needs_a_ledger_of_its_own(spark):
+    with pytest.raises(ValueError, match="ledger path"):
+        code_batches(batches(spark, ["red"]), CATEGORIES, functools.partial(ChatClient, "m"), FAST)
+
+
+@pytest.mark.parametrize("n", [12, 120])
+def test_jobs_and_files_do_not_grow_with_the_requests(spark, tmp_path, n):
+    ledger = tmp_path / "ledger"
+    settings = replace(FAST, requests_per_task=1, most_waves=4)
+    many = batches(spark, *[[f"red {i}"] for i in range(n)])
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    coded = code_batches(many, CATEGORIES, lambda: KeywordClient(False), settings, str(ledger))
+    assert coded.count() == n
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+    assert jobs <= 40
+    parts = [p for p in ledger.glob("part-*") if not p.name.startswith(".")]
+    assert len(parts) <= 4 * settings.tasks + 8
+    assert not [p for p in ledger.iterdir() if p.is_dir()]
+
+
+def test_calls_in_flight_share_a_task(spark):
+    class Slow(KeywordClient):
+        def complete(self, prompt):
+            time.sleep(0.5)
+            return super().complete(prompt)
+
+    settings = replace(FAST, concurrency=8, calls_per_task=8)
+    assert settings.tasks == 1
+    many = batches(spark, *[[f"red {i}"] for i in range(16)])
+    start = time.time()
+    assert code_batches(many, CATEGORIES, lambda: Slow(False), settings).where("status = 'ok'").count() == 16
+    one_by_one = 16 * 0.5
+    assert time.time() - start < one_by_one
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_attempts_keep_both_limits(seed):
+    """Tasks that fail, are slowed down or run again never take more than the limits give."""
+    rng = random.Random(seed)
+    settings = CodingSettings(tokens_per_minute=6_000, requests_per_minute=60, concurrency=3, calls_per_task=1)
+    Request = namedtuple("Request", "cost admit_us")
+    costs = [rng.randint(20, 400) for _ in range(240)]
+    line, requests = 0.0, []
+    for cost in costs:  # as the plan admits them
+        line += 60 * max(cost / 6_000, 1 / 60)
+        requests.append(Request(cost, int(max(0.0, line - 60) * 1e6)))
+    sent = []
+    for task in range(settings.tasks):
+        own = requests[task :: settings.tasks]
+        pace, now = Pace(settings, 0.0, again=False), 0.0
+        for k, request in enumerate(own):
+            if task == 1 and k == 40:  # lost: all is asked again
+                pace = Pace(settings, 0.0, again=True)
+                for repeated in own[:40]:
+                    now = pace.send_time(repeated, True, now)
+                    sent.append((now, repeated.cost))
+            for attempt in range(rng.choice([1, 1, 1, 2, 4])):
+                now = pace.send_time(request, attempt == 0, now)
+                sent.append((now, request.cost))
+    left, last = {"tokens": 6_000.0, "requests": 60.0}, 0.0
+    for at, cost in sorted(sent):
+        for name, limit, used in (("tokens", 6_000, cost), ("requests", 60, 1)):
+            left[name] = min(limit, left[name] + (at - last) * limit / 60) - used
+            assert left[name] >= -1e-3, (name, at)
+        last = at
+
+
+def test_a_given_tokenizer_plans_the_requests(spark):
+    count = token_counter(lambda: str.split)
+    settings = replace(FAST, token_counter=count, expected_reply_tokens=5)
+    row = coding_requests(batches(spark, ["red", "blue"]), CATEGORIES, settings).first()
+    assert row.cost == len(row.prompt.split()) + 15
+    coded = code_batches(batches(spark, ["red"]), CATEGORIES, lambda: KeywordClient(False), settings)
+    assert coded.first().status == "ok"
+
+
 class CountingClient(KeywordClient):
     """Leaves one file per call in a folder."""
 
@@ -88,7 +200,7 @@ def test_ledger_answers_each_prompt_once(spark, tmp_path):
     calls.mkdir()
     folder = str(calls)
     many = batches(spark, *[[f"red {i}", f"blue {i}"] for i in range(23)])
-    settings = CodingSettings(question="Why?", paced=False, concurrency=2, requests_per_task=3)
+    settings = replace(FAST, requests_per_task=3)
     first = code_batches(many.where("batch_id < 10"), CATEGORIES, lambda: CountingClient(folder), settings, ledger)
     assert first.count() == 10 and first.count() == 10  # two actions, no new calls
     assert len(list(calls.iterdir())) == 10
@@ -115,7 +227,7 @@ def test_failed_requests_are_tried_by_the_next_run(spark, tmp_path):
 def test_waves_hold_concurrency_and_survive_a_stop(spark, tmp_path):
     """A client that dies in a later wave leaves the earlier waves in the ledger."""
     ledger = str(tmp_path / "ledger")
-    settings = CodingSettings(question="Why?", paced=False, concurrency=2, requests_per_task=2, max_attempts=1)
+    settings = replace(FAST, requests_per_task=2, max_attempts=1)
 
     class Dying(KeywordClient):
         def complete(self, prompt):
@@ -132,7 +244,7 @@ def test_waves_hold_concurrency_and_survive_a_stop(spark, tmp_path):
 
 
 def test_paced_requests_wait_for_their_time(spark):
-    settings = CodingSettings(question="Why?", concurrency=2, requests_per_minute=120)
+    settings = CodingSettings(question="Why?", concurrency=2, calls_per_task=1, requests_per_minute=120)
     many = batches(spark, *[[f"red {i}"] for i in range(124)])
     requests = coding_requests(many, CATEGORIES, settings)
     start = time.time()
@@ -166,6 +278,13 @@ def test_codeframe_pairs_up_to_the_shorter_side(spark):
     assert rows == {"a": ["X"], "b": ["Y", "Z"], "d": ["X"], "e": []}
 
 
+def test_distinct_answers_need_no_shuffle(spark):
+    df = coded(spark, (0, ["a", "b"], [["X"], ["Y"]]), (1, ["", "c"], [["X"], ["Z"]]))
+    codeframe = build_codeframe(df, False, distinct=True)
+    assert "Exchange" not in codeframe._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in codeframe.collect()} == {("a", "X"), ("b", "Y"), ("c", "Z")}
+
+
 def test_last_batch_decides_a_repeated_answer(spark):
     df = coded(spark, (5, ["a"], [["New"]]), (1, ["a"], [["Old"]]), (5, ["b", "b"], [["1"], ["2"]]))
     rows = {r.response: r.category for r in build_codeframe(df, False).collect()}

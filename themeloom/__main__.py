@@ -11,33 +11,33 @@ are Parquet. Ledgers make the first two restartable.
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.clients import ModelClient
+from themeloom.clients import ChatClient, ModelClient
 from themeloom.config import CodingSettings
-from themeloom.operators.audits import failed_answers, unknown_codes
-from themeloom.plans.jobs import categorize_responses, create_codeframe, generate_categories
+from themeloom.operators.audits import failed_answers
+from themeloom.plans.jobs import categorized_output, create_codeframe, generate_categories
 from themeloom.sources.csv_tables import (
     read_categories,
-    read_codeframe_multi,
-    read_codeframe_single,
     read_responses,
     write_codeframe,
     write_csv,
     write_parquet,
 )
-from themeloom.tables import materialize
+from themeloom.tables import clear_scratch, materialize
 
 log = logging.getLogger("themeloom")
 
 
-def _client_factory(name: str) -> Callable[[], ModelClient]:
+def _client_factory(name: str, model: str) -> Callable[[], ModelClient]:
     module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
+    factory = getattr(importlib.import_module(module), attribute)
+    return functools.partial(factory, model) if factory is ChatClient else factory
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -60,14 +60,21 @@ def _parser() -> argparse.ArgumentParser:
         if job != "apply-codeframe":
             command.add_argument("--question", default=defaults.question)
             command.add_argument("--client", default="themeloom.clients:ChatClient", help="module:factory")
-            command.add_argument("--ledger", help="table of paid replies to go on from")
-            for name in ("concurrency", "requests_per_minute", "tokens_per_minute", "max_attempts"):
+            command.add_argument("--model", default=defaults.model)
+            command.add_argument("--ledger", help="table of paid replies to go on from; a hosted model needs one")
+            command.add_argument("--fence-only", action="store_true", help="keep json and backticks inside names")
+            command.add_argument("--seed", default=defaults.seed, help="of the sample of answers")
+            for name in (
+                "concurrency", "calls_per_task", "requests_per_minute", "tokens_per_minute",
+                "expected_reply_tokens", "max_attempts",
+            ):
                 command.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(defaults, name))
         if job == "generate-categories":
             command.add_argument("--count", type=int, default=defaults.number_of_categories)
             command.add_argument("--sample-size", type=int, default=defaults.sample_size)
         if job == "build-codeframe":
             command.add_argument("--batch-size", type=int, default=defaults.batch_size)
+            command.add_argument("--strict-length", action="store_true", help="a reply must have a code per answer")
     return parser
 
 
@@ -88,29 +95,36 @@ def main(arguments: Sequence[str] | None = None) -> None:
     options = _parser().parse_args(arguments)
     logging.basicConfig(level=logging.INFO, format="%(message)s")
     spark = SparkSession.builder.appName(f"themeloom {options.job}").getOrCreate()
+    try:
+        _run(spark, options)
+    finally:
+        clear_scratch(spark)
+
+
+def _run(spark: SparkSession, options: argparse.Namespace) -> None:
     settings = _settings(options)
     mode = "overwrite" if options.overwrite else "error"
     responses = _responses(spark, options)
 
     if options.job == "generate-categories":
-        categories = generate_categories(responses, _client_factory(options.client), settings, options.ledger)
+        categories = generate_categories(responses, _client_factory(options.client, settings.model), settings, options.ledger)
         rows = materialize(categories, "categories").orderBy("ord").select("category")
         write_csv(rows, options.categories, header=False, one_file=True, mode=mode)
         return
 
-    names = read_categories(spark, options.categories)
     if options.job == "build-codeframe":
-        codeframe = create_codeframe(responses, names, _client_factory(options.client), settings, options.ledger)
+        names = read_categories(spark, options.categories)
+        codeframe = create_codeframe(
+            responses, names, _client_factory(options.client, settings.model), settings, options.ledger
+        )
         codeframe = materialize(codeframe, "codeframe")
         write_codeframe(codeframe, options.codeframe, mode=mode)
         log.info("%d answers could not be coded", failed_answers(codeframe).count())
         return
 
-    read = read_codeframe_multi if settings.is_multicode else read_codeframe_single
-    codeframe = materialize(read(spark, options.codeframe), "codeframe")
-    log.info("%d answers were not coded", failed_answers(codeframe).count())
-    log.info("%d codes are not among the categories", unknown_codes(codeframe, names).count())
-    coded = categorize_responses(responses, codeframe, names, settings)
+    coded, failed, unknown = categorized_output(spark, responses, options.categories, options.codeframe, settings)
+    log.info("%d answers were not coded", failed.count())
+    log.info("%d codes are not among the categories", unknown.count())
     write = write_parquet if options.out.endswith(".parquet") else write_csv
     write(coded, options.out, rows_from=responses, mode=mode)
 

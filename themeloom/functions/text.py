@@ -44,25 +44,3 @@ def redact_text(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
         text = F.regexp_replace(text, f"(?s){pattern}", literal)
     return text
 
-
-# Settings whose assigned path or text is replaced, with the
-# placeholder each one gets.
-PATH_SETTINGS = {
-    "OPEN_END_DATA_FILE_PATH_LOAD": "path/to/your/data.csv",
-    "CATEGORIES_FILE_PATH_SAVE": "path/to/save/categories.csv",
-    "CATEGORIES_FILE_PATH_LOAD": "path/to/load/categories.csv",
-    "CODEFRAME_FILE_PATH_SAVE": "path/to/save/codeframe.csv",
-    "CODEFRAME_FILE_PATH_LOAD": "path/to/load/codeframe.csv",
-    "CATEGORIZED_DATA_FILE_PATH_SAVE": "path/to/save/categorized/data.csv",
-}
-TEXT_SETTINGS = {"QUESTIONNAIRE_QUESTION": "your_questionnaire_question?"}
-
-
-def settings_rules() -> list[tuple[str, str]]:
-    """Redaction rules for settings files: one per setting above."""
-    paths = [
-        (rf'{name} = Path\(\s*".*?"\s*\)', f'{name} = Path("{value}")')
-        for name, value in PATH_SETTINGS.items()
-    ]
-    texts = [(f'{name} = ".*?"', f'{name} = "{value}"') for name, value in TEXT_SETTINGS.items()]
-    return paths + texts

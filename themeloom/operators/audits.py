@@ -18,9 +18,9 @@ def failed_answers(codeframe: DataFrame) -> DataFrame:
 
 
 def unknown_codes(codeframe: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """``(response, code)`` for every code that is not among the categories."""
+    """``(response, code)`` for every code that is not among the categories, missing ones too."""
     if "categories" in codeframe.columns:
         codes = codeframe.select("response", F.explode("categories").alias("code"))
     else:
         codes = codeframe.select("response", F.col("category").alias("code"))
-    return codes.where(~F.col("code").isin(list(categories)))
+    return codes.where(F.col("code").isNull() | ~F.col("code").isin(list(categories)))

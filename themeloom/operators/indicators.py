@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,8 +14,8 @@ from themeloom.operators.reshape import unpivot_responses
 from themeloom.tables import column, materialize, measured_bytes
 
 WORD_BITS = 62  # categories per mask column
-HOT_ANSWERS = 1_000  # an answer is hot when it fills more than 1/1,000 of all cells
-COUNTED_ROWS = 1_000_000  # rows looked at to tell the hot answers
+HOT_SHARE = 4  # an answer is hot when it fills more than 1/4 of an average shuffle partition
+STREAM_SPREAD = 8  # places every answer of a stream is spread over, as none can be counted before
 
 
 def indicator_name(category: str, response_column: str) -> str:
@@ -34,7 +35,8 @@ def _check_names(df: DataFrame, added: list[str]) -> None:
     sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
     names = df.columns + added
     seen = names if sensitive else [n.lower() for n in names]
-    clashes = sorted({n for n, key in zip(names, seen) if seen.count(key) > 1})
+    counts = Counter(seen)
+    clashes = sorted({n for n, key in zip(names, seen) if counts[key] > 1})
     if clashes:
         raise ValueError(f"columns would share a name (see spark.sql.caseSensitive): {clashes}")
 
@@ -93,51 +95,54 @@ def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
     return materialize(counted.select("response", checked.alias(words[0]), *words[1:]), "code-masks")
 
 
-def _hot_masks(df: DataFrame, masks: DataFrame, limit_bytes: int) -> DataFrame | None:
-    """``(response, mask_0, .., hot)`` of the few answers that fill much of the table.
+def hot_digests(answers: DataFrame, partitions: int) -> list[int]:
+    """Digests of the answers that fill much of a shuffle partition: at most four per partition.
 
-    At most ``HOT_ANSWERS`` answers can each hold more than that share of the
-    cells, coded or not. They are only looked up another way than the rest, so
-    about ``COUNTED_ROWS`` rows are enough to tell them, and no result depends on
-    which ones are found. The few rows are written once and measured; if they are
-    too large to broadcast there are none, and all answers go through the shuffle
-    join, where adaptive execution splits large partitions.
+    One pass over ``(id, response columns)``, counting 8-byte digests, which the
+    tasks combine before the shuffle.
     """
-    rows = df.count()
-    counted = df.sample(COUNTED_ROWS / rows, seed=1) if rows > COUNTED_ROWS else df
-    cells = min(rows, COUNTED_ROWS) * (len(df.columns) - 1)
-    counts = unpivot_responses(counted).groupBy("response").agg(F.count(F.lit(1)).alias("_cells"))
-    frequent = counts.where(F.col("_cells") * HOT_ANSWERS > cells).select("response")
-    frequent = materialize(frequent, "frequent-answers")
-    if measured_bytes(frequent) > limit_bytes:
-        return None
-    coded = masks.join(F.broadcast(frequent), "response", "left_semi")
-    return materialize(
-        frequent.join(coded, "response", "left").withColumn("hot", F.lit(True)), "frequent-masks"
-    )
+    digest = F.xxhash64("response").alias("digest")
+    counts = unpivot_responses(answers).where(F.col("response") != "").groupBy(digest).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "answer-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * F.lit(HOT_SHARE * partitions) > F.lit(total))
+    return [row.digest for row in hot.select("digest").collect()]
 
 
-def _lookup(
-    df: DataFrame,
-    name: str,
-    masks: DataFrame,
-    suffix: str,
-    place: Column | None = None,
+def _broadcast_lookup(df: DataFrame, name: str, masks: DataFrame, suffix: str) -> DataFrame:
+    """Left join one response column to its masks, as ``mask_<w>_<suffix>``."""
+    key = f"_key_{suffix}"
+    side = masks.withColumnsRenamed({c: key if c == "response" else f"{c}_{suffix}" for c in masks.columns})
+    return df.join(F.broadcast(side), column(name) == F.col(key), "left").drop(key)
+
+
+def _shuffled_lookup(
+    df: DataFrame, name: str, masks: DataFrame, suffix: str, hot: list[int] | None, spread: int, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Left join one response column to its masks, as ``mask_<w>_<suffix>``.
+    """The same where rows and masks meet by the digest of the answer.
 
-    Without a ``place`` the masks are broadcast. With one, rows and masks meet
-    where the digest of the answer puts them, which also sorts faster than text.
+    The masks of a hot answer are sent to ``spread`` places, and each of its rows to
+    the one that the digest of ``spread_by`` names; so are rows that need no lookup,
+    which meet no masks anywhere. ``hot=None`` spreads every answer.
     """
     key, side_place = f"_key_{suffix}", f"_place_{suffix}"
-    renamed = {c: key if c == "response" else f"{c}_{suffix}" for c in masks.columns}
-    side = masks.withColumnsRenamed(renamed)
-    same = column(name) == F.col(key)
-    if place is None:
-        return df.join(F.broadcast(side), same, "left").drop(key)
-    side = side.withColumn(side_place, F.xxhash64(key))
-    there = F.col("_place") == F.col(side_place)
-    return df.withColumn("_place", place).join(side, there & same, "left").drop(key, side_place, "_place")
+    side = masks.withColumnsRenamed({c: key if c == "response" else f"{c}_{suffix}" for c in masks.columns})
+
+    def is_hot(digest: Column) -> Column:
+        return F.lit(True) if hot is None else digest.isin(hot) if hot else F.lit(False)
+
+    every = F.sequence(F.lit(0), F.lit(spread - 1))
+    salts = F.when(is_hot(F.xxhash64(key)), every).otherwise(F.array(F.lit(0)))
+    side = side.withColumn("_salt", F.explode(salts))
+    side = side.withColumn(side_place, F.xxhash64(F.xxhash64(key), "_salt")).drop("_salt")
+    own = F.xxhash64(*[column(c) for c in spread_by])
+    digest = F.xxhash64(column(name))
+    salt = F.when(is_hot(digest), F.pmod(own, F.lit(spread)).cast("int")).otherwise(F.lit(0))
+    needless = column(name).isNull() | (column(name) == "")
+    df = df.withColumn("_place", F.when(needless, own).otherwise(F.xxhash64(digest, salt)))
+    same = (F.col("_place") == F.col(side_place)) & (column(name) == F.col(key))
+    # The size was measured; Spark's own estimate from compressed files must not bring the broadcast back.
+    return df.join(side.hint("merge"), same, "left").drop(key, side_place, "_place")
 
 
 def _with_masks(
@@ -152,33 +157,23 @@ def _with_masks(
 
     The codeframe is turned into masks, written once and measured. While it fits,
     each response column is one broadcast hash join and ``df`` is never shuffled.
-    Beyond that, the few very frequent answers are still looked up by broadcast,
-    and only the rest meets its codes by a shuffle. Rows that need no lookup there
-    - missing, empty and frequent answers - go where the digest of the
-    ``spread_by`` columns puts them, which is evenly over all tasks.
+    Beyond that rows meet their codes by a shuffle, in which the few very frequent
+    answers, and missing and empty ones, are spread evenly over all tasks.
     """
     masks = _written_masks(codeframe, categories)
     words = [c for c in masks.columns if c.startswith("mask_")]
     small = measured_bytes(masks) <= broadcast_bytes
-    hot = None
+    hot, spread = None, STREAM_SPREAD
     if not small and not df.isStreaming:
-        narrow = df.select(F.lit(0).alias("_id"), *[column(c) for c in response_columns])
-        hot = _hot_masks(narrow, masks, broadcast_bytes)
-    elsewhere = F.xxhash64(*[column(c) for c in spread_by])
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = hot_digests(df.select(F.lit(0).alias("_id"), *[column(c) for c in response_columns]), spread)
     found: dict[str, list[Column]] = {}
     for i, name in enumerate(response_columns):
-        suffixes = [f"c{i}"]
         if small:
-            df = _lookup(df, name, masks, f"c{i}")
+            df = _broadcast_lookup(df, name, masks, f"c{i}")
         else:
-            needless = column(name).isNull() | (column(name) == "")
-            if hot is not None:
-                df = _lookup(df, name, hot, f"h{i}")
-                suffixes.insert(0, f"h{i}")
-                needless = needless | F.col(f"hot_h{i}").isNotNull()
-            place = F.when(needless, elsewhere).otherwise(F.xxhash64(column(name)))
-            df = _lookup(df, name, masks, f"c{i}", place)
-        found[name] = [F.coalesce(*[F.col(f"{word}_{s}") for s in suffixes]) for word in words]
+            df = _shuffled_lookup(df, name, masks, f"c{i}", hot, spread, spread_by)
+        found[name] = [F.col(f"{word}_c{i}") for word in words]
     return df, found
 
 
@@ -257,9 +252,10 @@ def apply_codes(
     names = _unique(categories)
     coded, found = _with_masks(df, [response_column], codeframe, names, broadcast_bytes, df.columns)
     own = {indicator_name(c, response_column): c for c in names}
+    place = {c: i for i, c in enumerate(names)}
 
     def updated(name: str) -> Column:
-        bit = _indicator(found[response_column], names.index(own[name]))
+        bit = _indicator(found[response_column], place[own[name]])
         change = bit.isNotNull() if own[name] == UNCATEGORIZED else bit == 1
         return F.when(change, bit).otherwise(column(name)).alias(name)
 

@@ -51,8 +51,16 @@ def distinct_responses(df: DataFrame, keep_empty: bool = True) -> DataFrame:
     return answers.distinct()
 
 
+def promptable_rows(categories: DataFrame) -> DataFrame:
+    """The rows of ``category`` a model may use: all but the helper one, which must be there."""
+    helper = F.col("category") == UNCATEGORIZED
+    present = categories.agg(F.coalesce(F.max(helper), F.lit(False))).scalar()
+    missing = F.raise_error(F.lit(f"the categories must include {UNCATEGORIZED!r}")).cast("boolean")
+    return categories.where(F.when(present, ~helper).otherwise(missing))
+
+
 def promptable_categories(categories: list[str]) -> list[str]:
-    """The categories a model may use: all but the helper one, which must be there."""
+    """The same on names that are on the driver because prompts and columns are made of them."""
     if UNCATEGORIZED not in categories:
         raise ValueError(f"the categories must include {UNCATEGORIZED!r}")
     return [c for c in categories if c != UNCATEGORIZED]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.clients import ModelClient
+from themeloom.clients import ChatClient, ModelClient
 from themeloom.config import DEFAULT_CATEGORIES, FAILED, CodingSettings
 from themeloom.functions.prompts import category_prompt
+from themeloom.operators.audits import failed_answers, unknown_codes
 from themeloom.operators.batching import make_batches
 from themeloom.operators.coding import build_codeframe
 from themeloom.operators.indicators import categorize
@@ -22,7 +23,15 @@ from themeloom.operators.inference import (
 )
 from themeloom.operators.reshape import clean_responses, distinct_responses, promptable_categories
 from themeloom.operators.sampling import sample_array
-from themeloom.tables import scratch_path
+from themeloom.sources.csv_tables import read_categories, read_codeframe_multi, read_codeframe_single
+from themeloom.tables import materialize, scratch_path
+
+
+def _ledger_path(spark: SparkSession, path: str | None, client_factory: Callable[[], ModelClient], label: str) -> str:
+    """Where replies are kept; those of a hosted model are paid for, so not among scratch tables."""
+    if path is None and getattr(client_factory, "func", client_factory) is ChatClient:
+        raise ValueError("give a ledger path for a hosted model, so that paid replies outlive the job")
+    return path or scratch_path(spark, label)
 
 
 def propose_categories(
@@ -37,10 +46,13 @@ def propose_categories(
     one category ``Error``.
     """
     spark = sample.sparkSession
-    ledger_path = ledger_path or scratch_path(spark, "category-ledger")
-    prompt = category_prompt(F.col("responses"), settings.question, settings.number_of_categories)
+    ledger_path = _ledger_path(spark, ledger_path, client_factory, "category-ledger")
+
+    def prompt_of(responses: Column) -> Column:
+        return category_prompt(responses, settings.question, settings.number_of_categories)
+
     batch = sample.select(F.lit(0).cast("long").alias("batch_id"), F.col("sample").alias("responses"))
-    request = with_request(batch, prompt, settings)
+    request = with_request(batch, prompt_of, settings, split=False)
     ledger = run_requests(request, client_factory, ThemeReply(), settings, ledger_path)
     reply = ledger.join(request.select("request_key"), "request_key", "left_semi")
     proposed = F.when(F.col("status") == "ok", F.flatten("codes")).otherwise(F.array(F.lit(FAILED)))
@@ -72,7 +84,7 @@ def code_batches(
     The requests are written once: asking and pairing both start from that table.
     """
     spark = batches.sparkSession
-    ledger_path = ledger_path or scratch_path(spark, "coding-ledger")
+    ledger_path = _ledger_path(spark, ledger_path, client_factory, "coding-ledger")
     requests = coding_requests(batches, categories, settings)
     reader = CodeReply(tuple(categories), settings.is_multicode, settings.strict_length)
     ledger = run_requests(requests, client_factory, reader, settings, ledger_path)
@@ -95,7 +107,7 @@ def create_codeframe(
     batches = make_batches(answers, settings.batch_size)
     allowed = promptable_categories(list(categories))
     coded = code_batches(batches, allowed, client_factory, settings, ledger_path)
-    return build_codeframe(coded, settings.is_multicode)
+    return build_codeframe(coded, settings.is_multicode, distinct=True)
 
 
 def categorize_responses(
@@ -106,3 +118,18 @@ def categorize_responses(
 ) -> DataFrame:
     """The cleaned response table with its indicator columns."""
     return categorize(clean_responses(responses), codeframe, categories, settings.broadcast_bytes)
+
+
+def categorized_output(
+    spark: SparkSession,
+    responses: DataFrame,
+    categories_path: str,
+    codeframe_path: str,
+    settings: CodingSettings = CodingSettings(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From files: the indicator table, the answers that failed, and the codes not among the categories."""
+    names = read_categories(spark, categories_path)
+    read = read_codeframe_multi if settings.is_multicode else read_codeframe_single
+    codeframe = materialize(read(spark, codeframe_path), "codeframe")
+    coded = categorize_responses(responses, codeframe, names, settings)
+    return coded, failed_answers(codeframe), unknown_codes(codeframe, names)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from themeloom.sources.encodings import UTF_16, detect_encodings, repaired, spark_charset
-from themeloom.tables import column
+from themeloom.tables import column, materialize, quoted
 
 # Cell texts that mean a missing answer, matched exactly.
 NA_TOKENS = (
@@ -17,6 +17,9 @@ NA_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Escapes that mean the same in Python and here.
+SHARED_ESCAPES = r"""\\(?:[\\'"nrtbf]|u[0-9a-fA-F]{4})"""
+
 _ORDER = ("_file", "_block", "_line")
 
 
@@ -44,7 +47,7 @@ def read_csv(
         .option("encoding", spark_charset(encoding))
     )
     if names:
-        reader = reader.schema(", ".join(f"{name} STRING" for name in names))
+        reader = reader.schema(", ".join(f"{quoted(name)} STRING" for name in names))
     df = reader.csv(path)
     texts = [repaired(column(c), encoding).alias(c) for c in df.columns]
     if not file_order:
@@ -55,53 +58,71 @@ def read_csv(
     return df.select(*texts, *[value.alias(name) for value, name in zip(order, _ORDER)])
 
 
+# A list of files up to this length is broadcast; a longer one is joined by shuffle.
+BROADCAST_FILES = 100_000
+
+
+def _own_files(df: DataFrame, files: DataFrame, n_files: int) -> DataFrame:
+    """The rows of ``df``, with its ``_file``, that come from the files listed."""
+    listed = files.select(F.col("path").alias("_file"))
+    return df.join(F.broadcast(listed) if n_files <= BROADCAST_FILES else listed, "_file", "left_semi")
+
+
 def read_responses(
     spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """A response table: header row, id first, answers after, missing ones NULL.
 
-    Without ``encoding`` every file's own is detected. Quoted line breaks make a
-    file one task's work, so convert large inputs to Parquet once and go on there.
+    Without ``encoding`` every file's own is detected. Files may name the same
+    columns in another order; the first group of files gives the order. Quoted line
+    breaks make a file one task's work, so convert large inputs to Parquet once
+    and go on there.
     """
-    if encoding:
-        parts = [read_csv(spark, path, encoding=encoding, multi_line=multi_line)]
+    files = materialize(detect_encodings(spark, path), "files")
+    kind = F.lit(encoding) if encoding else F.col("encoding")
+    files = files.withColumn("encoding", kind).where(F.col("encoding").isNotNull())
+    # One row per encoding and header: few, however many files.
+    groups = files.groupBy("encoding", "header").agg(F.min("path").alias("sample"), F.count("*").alias("n"))
+    groups = groups.orderBy("sample").collect()
+    if len(groups) <= 1:
+        found = groups[0].encoding if groups else encoding or "utf-8"
+        df = read_csv(spark, path, encoding=found, multi_line=multi_line)
     else:
-        files = detect_encodings(spark, path)
-        found = sorted(row.encoding for row in files.select("encoding").distinct().collect())
-        if len(found) <= 1:
-            parts = [read_csv(spark, path, encoding=name, multi_line=multi_line) for name in found or ["utf-8"]]
-        else:
-            by_encoding = {row.encoding: row.paths for row in _paths_by_encoding(files).collect()}
-            parts = [
-                read_csv(spark, by_encoding[name], encoding=name, multi_line=multi_line) for name in found
-            ]
-    df = reduce(DataFrame.union, parts)
+        parts = []
+        for group in groups:
+            names = read_csv(spark, group.sample, encoding=group.encoding, multi_line=multi_line).columns
+            part = read_csv(
+                spark, path, encoding=group.encoding, multi_line=multi_line, names=names, file_order=True
+            )
+            own = files.where((F.col("encoding") == group.encoding) & F.col("header").eqNullSafe(F.lit(group.header)))
+            parts.append(_own_files(part, own, group.n).select(*[column(name) for name in names]))
+        df = reduce(DataFrame.unionByName, parts)
     return df.select(
         *[F.when(~column(c).isin(list(NA_TOKENS)), column(c)).alias(c) for c in df.columns]
     )
 
 
-def _paths_by_encoding(files: DataFrame) -> DataFrame:
-    """File names only: the list that Spark's reader needs on the driver anyway."""
-    return files.groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+def category_rows(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """``(ord, category)``: the first column of a headerless file, in file order, missing ones dropped.
 
+    The numbering runs in one task; categories become columns, so they are few.
+    """
+    files = materialize(detect_encodings(spark, path), "files")
+    kind = F.lit(encoding) if encoding else F.col("encoding")
+    files = files.withColumn("encoding", kind)
+    found = files.groupBy("encoding").agg(F.count("*").alias("n")).orderBy("encoding").collect()
+    parts = []
+    for group in found or [Row(encoding="utf-8", n=0)]:
+        part = read_csv(spark, path, header=False, encoding=group.encoding, names=["category"], file_order=True)
+        own = files.where(F.col("encoding") == group.encoding)
+        parts.append(_own_files(part, own, group.n) if len(found) > 1 else part)
+    rows = reduce(DataFrame.unionByName, parts).where(~F.col("category").isin(list(NA_TOKENS)))
+    return rows.select((F.row_number().over(Window.orderBy(*_ORDER)) - 1).alias("ord"), "category")
 
-def read_categories(
-    spark: SparkSession, path: str, encoding: str | None = None, most: int = 2_000
-) -> list[str]:
-    """The first column of a headerless file, in file order, missing ones dropped.
 
-    The values become column names, so they are needed on the driver; a file of
-    more than ``most`` rows is refused.
-    """
-    if encoding is None:
-        encoding = detect_encodings(spark, path).agg(F.max("encoding")).first()[0] or "utf-8"
-    rows = read_csv(spark, path, header=False, encoding=encoding, names=["category"], file_order=True)
-    kept = rows.where(~F.col("category").isin(list(NA_TOKENS)))
-    found = kept.orderBy(*_ORDER).select("category").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} categories in {path}")
-    return [row.category for row in found]
+def read_categories(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
+    """The names of ``category_rows`` on the driver, where columns and prompts are made of them."""
+    return [row.category for row in category_rows(spark, path, encoding).orderBy("ord").collect()]
 
 
 def _read_codeframe(spark: SparkSession, path: str) -> DataFrame:
@@ -128,13 +149,15 @@ def read_codeframe_multi(spark: SparkSession, path: str) -> DataFrame:
     """``(response, categories)`` from list texts, unique on ``response``.
 
     Lists may be written with single or double quotes. A missing list is empty; a
-    malformed one is an error, as are numeric escapes, which would be misread.
+    malformed one is an error, as is any escape that JSON and Python do not read alike.
     """
     value = F.col("value")
     guarded = F.concat(F.lit("["), value, F.lit(',["__end__"]]'))
     parsed = F.from_json(guarded, "array<array<string>>", {"allowBackslashEscapingAnyCharacter": "true"})
     whole = (F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2)) == F.array(F.lit("__end__")))
-    readable = F.coalesce(whole, F.lit(False)) & ~value.rlike(r"\\x[0-9a-fA-F]{2}")
+    # Whatever backslash is left once these escapes are gone means something else.
+    others = F.regexp_replace(value, SHARED_ESCAPES, "")
+    readable = F.coalesce(whole, F.lit(False)) & ~F.contains(others, F.lit("\\"))
     malformed = F.raise_error(F.concat(F.lit("malformed list in codeframe: "), value))
     lists = (
         F.when(value.isNull(), F.array().cast("array<string>"))
@@ -188,6 +211,12 @@ def codeframe_rows(codeframe: DataFrame) -> DataFrame:
     return codeframe.select(F.col("response").alias("key"), value.alias("value"))
 
 
-def write_codeframe(codeframe: DataFrame, path: str, header: bool = True, mode: str = "error") -> None:
+def write_codeframe(
+    codeframe: DataFrame,
+    path: str,
+    header: bool = True,
+    mode: str = "error",
+    rows_from: DataFrame | None = None,
+) -> None:
     """Write a codeframe as ``key,value``; an empty one is an error."""
-    write_csv(codeframe_rows(codeframe), path, header=header, mode=mode)
+    write_csv(codeframe_rows(codeframe), path, header=header, mode=mode, rows_from=rows_from)

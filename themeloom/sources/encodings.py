@@ -18,7 +18,7 @@ _C1_WESTERN = "".join(bytes([b]).decode(WESTERN, errors="replace") for b in _C1_
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, encoding)`` per file.
+    """``(path, encoding, header)`` per file; the header is the file's first line as bytes.
 
     The text source hands over the raw bytes of each line and splits large files,
     so every byte is checked, in parallel, and only three flags per file and task
@@ -35,14 +35,18 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
         marked.alias("marked"),
         F.contains(raw, F.lit(b"\x00")).alias("zeros"),
         F.is_valid_utf8("value").alias("valid"),
+        # The first line of the file's first block, in the order its one task reads it.
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("place"),
+        raw.alias("line"),
     )
     files = lines.groupBy("path").agg(
-        F.bool_or("marked").alias("marked"), F.bool_or("zeros").alias("zeros"), F.bool_and("valid").alias("valid")
+        F.bool_or("marked").alias("marked"), F.bool_or("zeros").alias("zeros"), F.bool_and("valid").alias("valid"),
+        F.min_by("line", "place").alias("header"),
     )
     encoding = (
         F.when(F.col("marked") & F.col("zeros"), UTF_16).when(F.col("valid"), UTF_8).otherwise(WESTERN)
     )
-    return files.select("path", encoding.alias("encoding"))
+    return files.select("path", encoding.alias("encoding"), "header")
 
 
 def spark_charset(encoding: str) -> str:
