@@ -71,7 +71,7 @@ def near_copies(rng, n_groups, n_copies, n_words):
 @pytest.mark.parametrize("block_rows", [2048, 16])
 def test_groups_of_near_copies(spark, monkeypatch, block_rows):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
-    rows = near_copies(random.Random(4), 6, 50, 120)
+    rows = near_copies(random.Random(4), 6, 70, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert result(near_duplicates(df, words=2)) == brute.near_duplicates(rows)
 
@@ -106,7 +106,7 @@ def test_supplied_documents(spark):
 def test_tile_links_span_the_links():
     sets = [np.arange(k, 100 + k, dtype=np.uint64) for k in range(0, 60, 5)]
     links = tile_links(
-        list(range(12)), np.zeros(12), np.stack([signature(s) for s in sets]), sets, 80
+        list(range(12)), np.zeros(12), list(range(12)), np.stack([signature(s) for s in sets]), sets, 80
     )
     assert len(links) == 11
 
@@ -122,3 +122,20 @@ def test_first_documents_keep_their_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, dropped_id string")
     assert set(map(tuple, first_documents(df).collect())) == set(rows[1:])
     assert first_documents(df).columns == df.columns
+
+
+def test_known_groups_are_not_confirmed_again():
+    sets = [np.arange(k, 100 + k, dtype=np.uint64) for k in range(0, 60, 5)]
+    signatures = np.stack([signature(s) for s in sets])
+    groups = [0] * 6 + [1] * 6
+    assert len(tile_links(list(range(12)), np.zeros(12), groups, signatures, sets, 80)) == 1
+
+
+def test_chains_of_copies_over_many_blocks(spark, monkeypatch):
+    """Each text is like its neighbours only, so no hub joins the group."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    words = [f"w{k}" for k in range(1200)]
+    rows = [(k, " ".join(words[10 * k : 10 * k + 100])) for k in range(90)]
+    rows += [(200 + k, " ".join(words[600 + 40 * k : 700 + 40 * k])) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near_duplicates(df, words=2)) == brute.near_duplicates(rows)

@@ -36,7 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
@@ -184,9 +184,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def tile_links(nodes, blocks, signatures, sets, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links in one tile: within its only block, or between its two blocks."""
-    root = list(range(len(nodes)))
+def tile_links(nodes, blocks, groups, signatures, sets, percent: int) -> list[tuple[int, int]]:
+    """A spanning set of the links in one tile: within its only block, or between its two blocks.
+
+    Rows of one of ``groups`` are known to be linked already.
+    """
+    firsts: dict[int, int] = {}
+    root = [firsts.setdefault(group, k) for k, group in enumerate(groups)]
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -215,64 +219,111 @@ def tile_links(nodes, blocks, signatures, sets, percent: int) -> list[tuple[int,
     return links
 
 
+def hub(signatures: np.ndarray) -> int:
+    """The row whose symbols are most often those that most rows have."""
+    common = np.zeros(len(signatures), dtype=np.int64)
+    for symbols in signatures.T:
+        _, which, counts = np.unique(symbols, return_inverse=True, return_counts=True)
+        common += counts[which]
+    return int(common.argmax())
+
+
+TILE_COLUMNS = ("super", "low", "high", "node", "block", "known", "n_blocks")
+LINK_SCHEMA = "super long, a long, b long"
+
+
 def _tile_task(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of each tile; the rows of a tile come one after another."""
+    """Links of each tile, and the hub of a block (``b`` null) whose group has others; a tile's rows come together."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("super", "low", "high", "node", "block")]
+            columns = [batch.column(name).to_pylist() for name in TILE_COLUMNS]
             yield from zip(*columns, blobs(batch.column("signature")), blobs(batch.column("shingles")))
 
-    for _, group in itertools.groupby(rows(), key=lambda row: row[:3]):
+    for key, group in itertools.groupby(rows(), key=lambda row: row[:3]):
         members = list(group)
-        if len(members) < 2:
-            continue
-        links = tile_links(
-            [row[3] for row in members],
-            np.array([row[4] for row in members]),
-            np.frombuffer(b"".join(row[5] for row in members), "<u2").reshape(-1, HASHES),
-            [np.frombuffer(row[6], "<u8") for row in members],
-            percent,
-        )
+        nodes = [row[3] for row in members]
+        signatures = np.frombuffer(b"".join(row[7] for row in members), "<u2").reshape(-1, HASHES)
+        links: list[tuple[int, int | None]] = []
+        if len(members) > 1:
+            blocks = np.array([row[4] for row in members])
+            sets = [np.frombuffer(row[8], "<u8") for row in members]
+            links += tile_links(nodes, blocks, [row[5] for row in members], signatures, sets, percent)
+        if key[1] == key[2] and members[0][6] > 1:
+            links.append((nodes[hub(signatures)], None))
         if links:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"]
+                [pa.array(column, pa.int64()) for column in ([key[0]] * len(links), *zip(*links))], ["super", "a", "b"]
             )
 
 
-def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links among the ``node, signature, shingles`` of each group ``super``, confirmed on full sets.
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """The links of tiles ``super, low, high``, written once."""
+
+    def run(batches):
+        return _tile_task(batches, percent)
+
+    keys = ["super", "low", "high"]
+    tiles = rows.select(*TILE_COLUMNS, "signature", "shingles")
+    return materialize(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINK_SCHEMA), "links")
+
+
+def _every(n_blocks) -> Column:
+    return F.explode(F.sequence(F.lit(0), n_blocks - 1))
 
-    A group beyond one block is dealt into blocks by a hash of the node, and every
-    pair of blocks is a tile of its own, so no task holds more than two blocks.
+
+def _blocks_of(rows: Column, size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links among the ``node, signature, shingles`` of each group ``super``, confirmed on full sets.
+
+    A group beyond one block is dealt into blocks by a hash of the node. Each block
+    is a tile; then the hub of every block, the node most like the others, meets all
+    other blocks. That mostly joins a group of copies however large. Only nodes that
+    are not in the group's largest component by then meet all nodes of the group, in
+    tiles of two blocks, so no link that matters is left out and the pairs looked at
+    grow with the square of the group only where copies of copies keep falling apart.
     """
     sizes = members.groupBy("super").agg(
-        F.greatest(
-            F.lit(1),
-            F.ceil(F.count("*") / BLOCK_ROWS),
-            F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES),
-        ).cast("int").alias("n_blocks")
-    )
+        _blocks_of(F.count("*"), F.sum(F.octet_length("shingles").cast("long"))).alias("n_blocks")
+    )
     placed = (
         members.join(sizes, "super")
         .withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            "super",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "node",
-            "block",
-            "signature",
-            "shingles",
-        )
+        .withColumn("known", F.col("node"))
     )
-    keys = ["super", "low", "high"]
-
-    def run(batches):
-        return _tile_task(batches, percent)
-
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    found = _tiles(placed.withColumns({"low": F.col("block"), "high": F.col("block")}), percent)
+    links, hubs = found.where("b IS NOT NULL"), found.where("b IS NULL").select("super", F.col("a").alias("node"))
+    if hubs.isEmpty():
+        return links.select("a", "b")
+    large = materialize(placed.where("n_blocks > 1"), "large-groups")
+    from_hubs = large.join(hubs, ["super", "node"], "left_semi").withColumn("low", _every(F.col("n_blocks")))
+    to_all = large.withColumn("low", F.col("block"))
+    met = from_hubs.withColumn("block", F.lit(-1)).unionByName(to_all.withColumn("block", F.lit(-2)))
+    links = links.unionByName(_tiles(met.withColumn("high", F.lit(-1)), percent)).select("a", "b")
+
+    joined = connected_components(links.join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi"))
+    known = F.coalesce("component", "node").alias("known")
+    now = large.drop("known").join(joined, "node", "left").select("super", "node", "block", "n_blocks", known, "signature", "shingles")
+    now = materialize(now, "large-groups")
+    main = now.groupBy("super", "known").agg(F.count("*").alias("n")).groupBy("super").agg(
+        F.max_by("known", F.struct("n", "known")).alias("main")
+    )
+    rest = now.join(main, "super").where("known != main").drop("main")
+    counted = rest.groupBy("super").agg(
+        _blocks_of(F.count("*"), F.sum(F.octet_length("shingles").cast("long"))).alias("n_rest")
+    )
+    # Sources are what is left over, targets are all nodes of such a group.
+    sources = rest.join(counted, "super").withColumns(
+        {"low": F.pmod(F.xxhash64("node", F.lit(1)), "n_rest").cast("int"), "high": _every(F.col("n_blocks"))}
+    )
+    targets = now.join(counted, "super").withColumns({"high": F.col("block"), "low": _every(F.col("n_rest"))})
+    pairs = sources.withColumn("block", F.lit(-1)).unionByName(targets.withColumn("block", F.lit(-2)))
+    # The bounds differ, so that no tile is taken for a block of its own.
+    last = _tiles(pairs.withColumn("high", -F.col("high") - 2).drop("n_rest"), percent)
+    return links.unionByName(last.select("a", "b"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
