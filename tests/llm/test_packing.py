@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from themeloom.llm.best_fit import RoomTree, pack_matrix
 from themeloom.llm.packing import closest_fill, cut_rest, fill_windows, pack_documents, Piece
 from themeloom.llm.queries import op1_pack_min_slack
-from themeloom.llm.tokens import END_ID, encoder, tokenizer_path
+from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
 
 ODD_TEXTS = [
     None, "", " ", "\t\n", "0 10 a0b 0", "It's we'll 'S x's, y.,", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b.",
@@ -33,7 +33,7 @@ def test_words_apart_equal_whole_texts(tokenizer):
     rng = random.Random(3)
     alphabet = list("aAbeE.,'0 1  \n\té|<>-") + ["'s", "<|endoftext|>", "ß", "Σ", "́", " ", "the "]
     texts = ODD_TEXTS + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(600)]
-    ids, begins = encoder(tokenizer_path()).encode([t if t is None else t.encode() for t in texts], END_ID)
+    ids, begins = WordEncoder(tokenizer_path()).encode([t if t is None else t.encode() for t in texts], END_ID)
     for k, text in enumerate(texts):
         assert ids[begins[k] : begins[k + 1]].tolist() == whole(tokenizer, text), repr(text)
 

@@ -7,11 +7,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+# Rows of a text in one Arrow batch. Spark's default of 10,000 takes tens of megabytes,
+# several times over, in each running task.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(rows: DataFrame, task, schema) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts; the session keeps that setting."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return rows.mapInArrow(task, schema)
 
 
 def blobs(column: pa.Array) -> list[bytes | None]:
     """A string or binary column as bytes objects, without decoding."""
-    return column.cast(pa.binary() if pa.types.is_string(column.type) else column.type).to_pylist()
+    return (column.cast(pa.binary()) if pa.types.is_string(column.type) else column).to_pylist()
 
 
 def cut_by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
+from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
 from themeloom.llm.packing import SEQUENCES_PER_TASK, Piece
-from themeloom.llm.tokens import END_ID, encoder, tokenizer_path
+from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
 
 SCHEMA = (
     "sequence_id long, n_tokens int, input_ids binary, position_ids binary, "
@@ -124,7 +124,7 @@ def _matrix_batch(rows: list[list[Piece]], first_id: int, window: int, pad_id: i
 def _matrix_task(
     batches: Iterable[pa.RecordBatch], path: str, end_id: int, pad_id: int, window: int, chunk_bytes: int
 ) -> Iterator[pa.RecordBatch]:
-    words = encoder(path)
+    words = WordEncoder(path)
     context = TaskContext.get()
     next_id = (context.partitionId() if context else 0) * SEQUENCES_PER_TASK
     again: list[Piece] = []
@@ -168,7 +168,7 @@ def pack_matrix(
     def run(batches):
         return _matrix_task(batches, path, end_id, pad_id, window, chunk_bytes)
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)
 
 
 def write_matrix(rows: DataFrame, folder: str) -> None:

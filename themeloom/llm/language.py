@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import blobs, cut_by_bytes
+from themeloom.llm.arrow import blobs, cut_by_bytes, map_texts
 
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 12.0
@@ -213,7 +213,7 @@ def train(documents: DataFrame, rows_per_language: int = 1500, seed: int = 7) ->
         shares = [x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / sizes[lang])))]
         draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         sample = rows.where(draw < F.create_map(*shares)[F.col("lang")]).select("lang", "text")
-        counts = sample.mapInArrow(_count_task, COUNT_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        counts = map_texts(sample, _count_task, COUNT_SCHEMA).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         found = counts.toArrow()
         column = np.searchsorted(languages, found.column("lang").to_pylist()) if len(found) else []
         table = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
@@ -284,4 +284,4 @@ def identify_languages(
                 ["doc_id", "lang_pred", "score", "n_letters", "spans"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)

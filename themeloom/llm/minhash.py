@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
+from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
 from themeloom.llm.graph import connected_components
 from themeloom.tables import column, materialize
 
@@ -144,15 +144,25 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches put together until they have some rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def _key_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of nodes; of those that share one within a batch only the least goes on.
 
     The others are tied to it by a key of the pair's own, so each batch sends a key
     once however many nodes have it.
     """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _gathered(batches, 10_000):
         nodes = np.asarray(batch.column("node"))
         signatures = np.frombuffer(b"".join(blobs(batch.column("signature"))), "<u2").reshape(-1, HASHES)
         keys = chunk_keys(signatures)
@@ -336,7 +346,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5) ->
         return _sketch_task(batches, words)
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(source.mapInArrow(sketch, SKETCH_SCHEMA), "sketches")
+    sketches = materialize(map_texts(source, sketch, SKETCH_SCHEMA), "sketches")
     rows = sketches.select("doc_id", "n_shingles", "set_id", "signature")
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))

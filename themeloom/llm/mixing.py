@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import blobs, cut_by_bytes
+from themeloom.llm.arrow import blobs, cut_by_bytes, map_texts
 from themeloom.tables import column
 
 TOPICS = 8
@@ -85,7 +85,7 @@ def _topic_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cells_of(documents: DataFrame) -> DataFrame:
     """``doc_id, source, lang, tokens, topic`` of each document."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    return rows.mapInArrow(_topic_task, "doc_id long, source string, lang string, tokens long, topic string")
+    return map_texts(rows, _topic_task, "doc_id long, source string, lang string, tokens long, topic string")
 
 
 def grouped(name: str, targets: dict[str, float]) -> Column:

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
-from themeloom.llm.tokens import END_ID, encoder, tokenizer_path
+from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
+from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -148,7 +148,7 @@ ARROW_SCHEMA = pa.schema(
 def _pack_task(
     batches: Iterable[pa.RecordBatch], path: str, end_id: int, window: int, chunk_bytes: int
 ) -> Iterator[pa.RecordBatch]:
-    words = encoder(path)
+    words = WordEncoder(path)
     context = TaskContext.get()
     next_id = (context.partitionId() if context else 0) * SEQUENCES_PER_TASK
     rest: list[Piece] = []
@@ -201,4 +201,4 @@ def pack_documents(
     def run(batches):
         return _pack_task(batches, path, end_id, window, chunk_bytes)
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes
+from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
 from themeloom.llm.minhash import mixed
 from themeloom.llm.suffix import Names
 
@@ -244,7 +244,7 @@ def train(
         sample = some if sample is None else sample.unionByName(some)
     # The sample has at most two times rows_per_class ids.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    features = texts.select("doc_id", "quality", "text").mapInArrow(_feature_task, FEATURE_SCHEMA)
+    features = map_texts(texts.select("doc_id", "quality", "text"), _feature_task, FEATURE_SCHEMA)
     found = features.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     target = np.array(found.column("quality").to_pylist(), dtype=np.float64)
     held = np.arange(len(target)) % 3 == 0
@@ -308,7 +308,7 @@ def judge_quality(
                 [part.split()[0] for part in SCHEMA.split(", ")],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)
 
 
 def kept_documents(
@@ -322,4 +322,4 @@ def kept_documents(
             *_, kept = _verdicts(blobs(batch.column("text")), model, keep_from)
             yield batch.filter(pa.array(kept))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_texts(documents, run, documents.schema)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import blobs
+from themeloom.llm.arrow import blobs, map_texts
 from themeloom.llm.minhash import mixed
 from themeloom.tables import column, materialize, quoted, scratch_path
 
@@ -486,7 +486,7 @@ def find_repeats(documents: DataFrame, threshold: int = 50, others: list[str] |
     total = source.agg(F.coalesce(F.sum(F.octet_length("repeat_text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / RANGE_BYTES))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
-    blocks = _bucketed(source.mapInArrow(_to_blocks, BLOCK_SCHEMA), buckets)
+    blocks = _bucketed(map_texts(source, _to_blocks, BLOCK_SCHEMA), buckets)
     replies: dict[str, DataFrame] = {}
     steps: list[tuple[str, Callable[[Rounds, dict], Entries]]] = [
         ("names", lambda rounds, row: rounds.names()),

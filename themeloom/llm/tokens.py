@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 import numpy as np
@@ -29,7 +28,7 @@ class WordEncoder:
     and a comma or full stop after a letter or digit is a token of its own.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.most_words = most_words
@@ -119,9 +118,3 @@ class WordEncoder:
         ids[is_end] = end_id
         ids[~is_end] = self.flat[places]
         return ids, begins
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker; its words stay known from task to task."""
-    return WordEncoder(path)
