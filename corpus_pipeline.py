@@ -7,8 +7,6 @@ they are; only the removal of repeated passages rewrites ``text`` and ``n_chars`
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from themeloom.llm.minhash import first_documents
@@ -16,7 +14,7 @@ from themeloom.llm.mixing import mixed_documents
 from themeloom.llm.packing import pack_documents
 from themeloom.llm.quality import kept_documents
 from themeloom.llm.suffix import documents_without_repeats
-from themeloom.tables import shared_folder
+from themeloom.tables import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/themeloom/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
