@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,18 +10,34 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-# Rows of a text in one Arrow batch. Spark's default of 10,000 takes tens of megabytes,
-# several times over, in each running task.
-BATCH_ROWS = 2000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows and bytes of one Arrow batch. Spark's defaults of 10,000 rows and 64 MB are held
+# several times over in each running task.
+BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b",
+}
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; a Python worker serves many tasks of many operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_texts(rows: DataFrame, task, schema) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts; the session keeps that setting."""
-    conf = rows.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
-        conf.set(BATCH_SETTING, str(BATCH_ROWS))
-    return rows.mapInArrow(task, schema)
+    """``mapInArrow`` with batches small enough for long texts; the session keeps these settings."""
+    for name, limit in BATCH_LIMITS.items():
+        rows.sparkSession.conf.set(name, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return rows.mapInArrow(run, schema)
 
 
 def blobs(column: pa.Array) -> list[bytes | None]:

@@ -67,7 +67,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted hashes of the distinct shingles of texts; words are told apart exactly."""
 
-    def __init__(self, words: int = 2, most_words: int = 500_000):
+    def __init__(self, words: int = 2, most_words: int = 150_000):
         self.words = words
         self.most_words = most_words
         self._forget()
@@ -113,7 +113,7 @@ SKETCH_SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary,
 
 def _sketch_task(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(words)
-    for batch in cut_by_bytes(batches, "text", 4 << 20):
+    for batch in cut_by_bytes(batches, "text", 2 << 20):
         sets = shingler.sets(blobs(batch.column("text")))
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         full = sizes > 0
@@ -275,7 +275,8 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
 
     keys = ["super", "low", "high"]
     tiles = rows.select(*TILE_COLUMNS, "signature", "shingles")
-    return materialize(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINK_SCHEMA), "links")
+    dealt = tiles.repartition(*keys).sortWithinPartitions(*keys)
+    return materialize(map_texts(dealt, run, LINK_SCHEMA), "links")
 
 
 def _every(n_blocks) -> Column:
@@ -316,8 +317,8 @@ def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
 
     joined = connected_components(links.join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi"))
     known = F.coalesce("component", "node").alias("known")
-    now = large.drop("known").join(joined, "node", "left").select("super", "node", "block", "n_blocks", known, "signature", "shingles")
-    now = materialize(now, "large-groups")
+    columns = ["super", "node", "block", "n_blocks", known, "signature", "shingles"]
+    now = materialize(large.drop("known").join(joined, "node", "left").select(*columns), "large-groups")
     main = now.groupBy("super", "known").agg(F.count("*").alias("n")).groupBy("super").agg(
         F.max_by("known", F.struct("n", "known")).alias("main")
     )
@@ -351,7 +352,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5) ->
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     heads = full.join(classes, "set_id").where("doc_id = node").select("node", "signature")
-    keys = heads.mapInArrow(_key_task, "key long, node long")
+    keys = map_texts(heads, _key_task, "key long, node long")
     pivots = keys.withColumn("pivot", F.min("node").over(Window.partitionBy("key")))
     met = pivots.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     groups = materialize(

@@ -51,7 +51,7 @@ BUDGET = 0.7
 class TopicCounter:
     """Tokens and topic of texts; a word's group is worked out once per task."""
 
-    def __init__(self, most_words: int = 500_000):
+    def __init__(self, most_words: int = 150_000):
         self.most_words = most_words
         self.known: dict[bytes, int] = {}
         self.groups = np.zeros(0, dtype=np.int64)
@@ -72,7 +72,7 @@ class TopicCounter:
 
 def _topic_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = TopicCounter()
-    for batch in cut_by_bytes(batches, "text", 4 << 20):
+    for batch in cut_by_bytes(batches, "text", 2 << 20):
         tokens, topics = counter.count(blobs(batch.column("text")))
         columns = [batch.column(k) for k in range(batch.num_columns)]
         names = list(batch.schema.names)

@@ -156,7 +156,7 @@ FEATURE_SCHEMA = "doc_id long, quality int, buckets binary, shares binary"
 
 def _feature_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text as its distinct buckets and the share of each among its n-grams."""
-    for batch in cut_by_bytes(batches, "text", 1 << 20):
+    for batch in cut_by_bytes(batches, "text", 1 << 19):
         texts = blobs(batch.column("text"))
         keys, shares = [], []
         for grams in grams_of(texts):
@@ -295,7 +295,7 @@ def judge_quality(
     model = train(documents, labels, rows_per_class)
 
     def run(batches):
-        for batch in cut_by_bytes(batches, "text", 1 << 20):
+        for batch in cut_by_bytes(batches, "text", 1 << 19):
             counts, failed, p, kept = _verdicts(blobs(batch.column("text")), model, keep_from)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -318,7 +318,7 @@ def kept_documents(
     model = train(documents, labels, rows_per_class)
 
     def run(batches):
-        for batch in cut_by_bytes(batches, "text", 1 << 20):
+        for batch in cut_by_bytes(batches, "text", 1 << 19):
             *_, kept = _verdicts(blobs(batch.column("text")), model, keep_from)
             yield batch.filter(pa.array(kept))
 

@@ -460,9 +460,9 @@ def _round(blocks: DataFrame, kind: str, keys_of: Callable[[Rounds, dict], Entri
     def judge(batches):
         return _judge_task(batches, kind)
 
-    sent = blocks.mapInArrow(send, KEY_SCHEMA)
-    judged = sent.repartition("part").sortWithinPartitions("part").mapInArrow(judge, REPLY_SCHEMA)
-    return materialize(judged, kind)
+    sent = map_texts(blocks, send, KEY_SCHEMA)
+    ranges = sent.repartition("part").sortWithinPartitions("part")
+    return materialize(map_texts(ranges, judge, REPLY_SCHEMA), kind)
 
 
 class Repeats(NamedTuple):
@@ -551,7 +551,7 @@ def remove_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    return repeats.rows.mapInArrow(cut, CUT_SCHEMA)
+    return map_texts(repeats.rows, cut, CUT_SCHEMA)
 
 
 def documents_without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
@@ -588,5 +588,5 @@ def documents_without_repeats(documents: DataFrame, threshold: int = 50) -> Data
     out = documents.select(
         *[F.col("doc_id").cast("long").alias("doc_id") if name == "doc_id" else column(name) for name in names]
     ).schema
-    found = repeats.rows.mapInArrow(cut, out)
+    found = map_texts(repeats.rows, cut, out)
     return found.select(*[found[quoted(n)].cast(id_type).alias(n) if n == "doc_id" else column(n) for n in names])

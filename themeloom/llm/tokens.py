@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +29,9 @@ class WordEncoder:
     and a comma or full stop after a letter or digit is a token of its own.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 200_000):
+        # A task has one core; more threads would only take memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.most_words = most_words
