@@ -114,7 +114,8 @@ class Words:
 
 
 def _bucket(a, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    x = np.asarray(a, np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = np.asarray(a, np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15)
+    x = x + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x + c.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(49)).astype(np.int64)
 
