@@ -107,7 +107,8 @@ def _run(spark: SparkSession, options: argparse.Namespace) -> None:
     responses = _responses(spark, options)
 
     if options.job == "generate-categories":
-        categories = generate_categories(responses, _client_factory(options.client, settings.model), settings, options.ledger)
+        factory = _client_factory(options.client, settings.model)
+        categories = generate_categories(responses, factory, settings, options.ledger)
         rows = materialize(categories, "categories").orderBy("ord").select("category")
         write_csv(rows, options.categories, header=False, one_file=True, mode=mode)
         return
