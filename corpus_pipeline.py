@@ -33,7 +33,7 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics have their target shares of the tokens."""
+    """Documents drawn by the targets of source, language and topic, each at most once, so rare cells stay below them."""
     return mixed_documents(docs)
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from themeloom.llm.mixing import TOPICS, draw_documents, mixed_documents, mixing_table, cells_of, probabilities, rake
+from themeloom.llm.mixing import TARGETS, TOPICS, attained_shares, draw_documents, mixed_documents, mixing_table
+from themeloom.llm.mixing import cells_of, probabilities, rake
 from themeloom.llm.queries import op5_mix_sources
 from tests.llm import brute
 
@@ -74,3 +75,31 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in chosen)
     assert draw_documents(df.limit(0)).count() == mixed_documents(df.limit(0)).count() == 0
     assert mixing_table(cells_of(df.limit(0))) == []
+
+
+def test_copies_hold_the_targets_and_the_budget(spark):
+    rows = op5_mix_sources(spark, SF).collect()
+    total = sum(r.tokens for r in rows)
+    report = {(d, v): (target, *shares) for d, v, target, *shares in attained_shares(spark.read.parquet(f"{SF}/documents.parquet"))}
+    assert sum(r.tokens * r.expected_copies for r in rows) == pytest.approx(0.7 * total)
+    assert sum(r.tokens * r.copies for r in rows) == pytest.approx(0.7 * total, rel=0.1)
+    assert any(r.expected_copies > 1 for r in rows)
+    for dimension, targets in TARGETS.items():
+        # No document has another language, so the four share the whole.
+        present = sum(targets.values()) if dimension == "lang" else 1.0
+        for value, target in targets.items():
+            expected = sum(r.tokens * r.expected_copies for r in rows if r[dimension] == value) / (0.7 * total)
+            once = sum(r.tokens * r.probability for r in rows if r[dimension] == value) / (0.7 * total)
+            assert expected == pytest.approx(target / present, abs=1e-6)
+            assert report[dimension, value][::2] == pytest.approx((target, expected), abs=1e-6)
+            assert report[dimension, value][3] == pytest.approx(once, abs=1e-6)
+    for r in rows:
+        assert int(r.expected_copies) <= r.copies <= int(r.expected_copies) + 1
+
+
+def test_repeated_rows_are_the_copies(spark):
+    rows = [(k, "a b c " * 5, "src0" if k < 3 else "src1", "en") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    copies = {r.doc_id: r.copies for r in draw_documents(df).collect() if r.copies}
+    found = [r.doc_id for r in mixed_documents(df, repeats=True).collect()]
+    assert {d: found.count(d) for d in found} == copies and max(copies.values()) > 1

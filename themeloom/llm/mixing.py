@@ -5,10 +5,19 @@ shares of the tokens; values without a target of their own share the group ``oth
 so the number of cells is bounded by the targets given. One pass over the documents
 counts the tokens of each cell; the table of cells is fitted by turns to each
 dimension's targets until all hold. A cell's wanted tokens over its tokens is the
-weight of its documents, and the probability of a document is the weight times a
-factor, at most 1, chosen so that the expected tokens are the ``budget``, a share of
-all. A document is drawn if the hash of its id falls below its probability, so equal
-ids are drawn together and any run on any cluster draws the same.
+weight of its documents. There are two draws, and each is expected to spend the
+``budget``, a share of all tokens:
+
+* with repetition: a document is expected ``expected_copies`` times, its weight times
+  the budget. That is above 1 where a cell has fewer tokens than its share, so the
+  targets hold. ``copies`` is the whole part, and one more if the hash of the id falls
+  below the rest;
+* without: the ``probability`` of a document is its weight times a factor, at most 1.
+  Cells that reach 1 stay below their share and the others make up for it, so the
+  targets do not hold. A document is ``kept`` if the hash falls below the probability.
+
+``attained_shares`` gives both draws' shares next to the targets. Both take equal ids
+together, and any run on any cluster draws the same.
 
 The ``topic`` is one of ``TOPICS`` groups of words (by a hash of the lowered word): the
 one with most words of the whole text, the first among equals. Tokens are words
@@ -140,10 +149,10 @@ def probabilities(tokens: np.ndarray, fitted: np.ndarray, budget: float) -> np.n
     return np.minimum(1.0, weight * factor) if np.isfinite(factor) else (weight > 0).astype(np.float64)
 
 
-def mixing_table(
-    cells: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET
-) -> list[tuple[str, str, str, float, float]]:
-    """``source, lang, topic, weight, probability`` of each cell that documents fall into."""
+def _fitted_cells(
+    cells: DataFrame, targets: dict[str, dict[str, float]], budget: float
+) -> list[tuple[str, str, str, float, float, float, float]]:
+    """``source, lang, topic, weight, probability, expected copies, tokens`` of each cell that documents fall into."""
     groups = [grouped(name, targets[name]).alias(name) for name in DIMENSIONS]
     rows = cells.select(*groups, "tokens").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).collect()
     values = [[*targets[name], OTHER] for name in DIMENSIONS]
@@ -155,7 +164,40 @@ def mixing_table(
     fitted = rake(tokens, shares)
     chance = probabilities(tokens, fitted, budget)
     weight = np.divide(fitted * tokens.sum(), tokens, out=np.zeros_like(fitted), where=tokens > 0)
-    return [(*key, float(weight[place]), float(chance[place])) for key, place in sorted(at.items())]
+    copies = weight * min(budget, 1.0)
+    return [
+        (*key, float(weight[place]), float(chance[place]), float(copies[place]), float(tokens[place]))
+        for key, place in sorted(at.items())
+    ]
+
+
+def mixing_table(
+    cells: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET
+) -> list[tuple[str, str, str, float, float, float]]:
+    """``source, lang, topic, weight, probability, expected copies`` of each cell that documents fall into."""
+    return [row[:6] for row in _fitted_cells(cells, targets, budget)]
+
+
+def attained_shares(
+    documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET
+) -> list[tuple[str, str, float, float, float, float]]:
+    """``dimension, value, target, share of the documents, share with repetition, share without`` as expected."""
+    rows = _fitted_cells(cells_of(documents), targets, budget)
+    report = []
+    for axis, name in enumerate(DIMENSIONS):
+        for value in [*targets[name], OTHER]:
+            target = targets[name].get(value, max(0.0, 1 - sum(targets[name].values())))
+            shares = []
+            for factor in (lambda r: 1.0, lambda r: r[5], lambda r: r[4]):
+                all_tokens = sum(r[6] * factor(r) for r in rows)
+                shares.append(sum(r[6] * factor(r) for r in rows if r[axis] == value) / all_tokens if all_tokens else 0.0)
+            report.append((name, value, target, *shares))
+    return report
+
+
+def drawn_copies(draw: Column, expected: Column) -> Column:
+    """A whole number of copies: the whole part of those expected, and one more if the draw is below the rest."""
+    return (F.floor(expected) + (draw < expected - F.floor(expected)).cast("long")).cast("long")
 
 
 def draw_documents(
@@ -164,29 +206,41 @@ def draw_documents(
     budget: float = BUDGET,
     seed: int = 5,
 ) -> DataFrame:
-    """``doc_id, source, lang, topic, tokens, weight, probability, kept`` of each document."""
+    """``doc_id, source, lang, topic, tokens, weight, expected_copies, copies, probability, kept`` of each document."""
     spark = documents.sparkSession
     cells = cells_of(documents)
     table = spark.createDataFrame(
         mixing_table(cells, targets, budget),
-        "source_group string, lang_group string, topic_group string, weight double, probability double",
+        "source_group string, lang_group string, topic_group string, "
+        "weight double, probability double, expected_copies double",
     )
     keyed = cells.withColumns({f"{name}_group": grouped(name, targets[name]) for name in DIMENSIONS})
     # One row per cell, bounded by the targets.
     found = keyed.join(F.broadcast(table), [f"{name}_group" for name in DIMENSIONS], "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return found.select(
-        "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", (draw < F.col("probability")).alias("kept")
+        "doc_id",
+        "source",
+        "lang",
+        "topic",
+        "tokens",
+        "weight",
+        "expected_copies",
+        drawn_copies(draw, F.col("expected_copies")).alias("copies"),
+        "probability",
+        (draw < F.col("probability")).alias("kept"),
     )
 
 
-def mixed_documents(documents: DataFrame, targets=TARGETS, budget: float = BUDGET, seed: int = 5) -> DataFrame:
-    """The rows of the documents that are drawn, with all their columns."""
+def mixed_documents(
+    documents: DataFrame, targets=TARGETS, budget: float = BUDGET, seed: int = 5, repeats: bool = False
+) -> DataFrame:
+    """The rows of the documents that are drawn, with all their columns; with ``repeats``, each as often as its copies."""
     spark = documents.sparkSession
     names = [f"mixing {name}" for name in DIMENSIONS]
     table = spark.createDataFrame(
-        [(*row[:3], row[4]) for row in mixing_table(cells_of(documents), targets, budget)],
-        ", ".join(f"`{name}` string" for name in names) + ", `mixing probability` double",
+        [(*row[:3], row[5] if repeats else row[4]) for row in mixing_table(cells_of(documents), targets, budget)],
+        ", ".join(f"`{name}` string" for name in names) + ", `mixing rate` double",
     )
 
     @F.pandas_udf("string")
@@ -204,5 +258,10 @@ def mixed_documents(documents: DataFrame, targets=TARGETS, budget: float = BUDGE
     )
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # One row per cell, bounded by the targets.
-    found = keyed.join(F.broadcast(table), names).where(draw < column("mixing probability"))
+    found = keyed.join(F.broadcast(table), names)
+    if not repeats:
+        return found.where(draw < column("mixing rate")).select(*[column(c) for c in documents.columns])
+    copies = drawn_copies(draw, column("mixing rate"))
+    found = found.withColumn("mixing copies", copies).where(column("mixing copies") > 0)
+    found = found.withColumn("mixing copy", F.explode(F.sequence(F.lit(1).cast("long"), column("mixing copies"))))
     return found.select(*[column(c) for c in documents.columns])
