@@ -76,3 +76,18 @@ def test_null_rows_and_clashing_names(spark):
     found = sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_main_text(df).collect())
     assert found == [(0, LONG, len(LONG)), (0, LONG, len(LONG)), (1, "", 0)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_a_mark_is_a_bonus_only():
+    story = "\n".join(LONG.format(k) for k in range(6))
+    told = "<div>" + "".join(f"<p>{line}</p>" for line in story.split("\n")) + "</div>"
+    comment = f"<p>{LONG.format(99)}</p>"
+    for kind in ('class="comment"', 'class="comment-body"', 'class="related"', 'class="ad"', 'role="complementary"', ""):
+        assert main_text(page(f"{told}<article {kind}>{comment}</article>")) == story
+        assert main_text(page(f"<article {kind}>{comment}</article>{told}")) == story
+    for kind in ("article", "main"):
+        assert main_text(page(f'<{kind}>{told}<article class="comment">{comment}</article></{kind}>')) == story
+        assert main_text(page(f'<{kind} class="has-sidebar">{told}</{kind}><div>{comment}</div>')) == story
+    assert main_text(page(f'<main class="sidebar-left">{told}</main>')) == story
+    short = "<article><h1>Short</h1><p>One.</p><p>Two.</p></article>"
+    assert main_text(page(f"{short}<div>{comment}</div>")) == "Short\nOne.\nTwo."

@@ -6,9 +6,9 @@ never belong to an article (navigation, headers, footers, sidebars, forms, adver
 notices, comments and the like, known by element, role or class) are taken out
 before. The weights are summed over a sliding window of lines. The text begins
 where the sum surges past a threshold and ends where it dives to nothing; among
-several such stretches the heaviest is the main text. Where a page marks its article,
-lines outside of it weigh nothing and each line of it weighs enough to surge, so
-the stretch is the article from its first to its last line.
+several such stretches the heaviest is the main text. Lines in a marked article (an
+``<article>`` or ``<main>``) are a stretch from the first to the last, and each weighs
+``SURGE`` more. The mark is a bonus and no more: text outside wins where it is heavier.
 
 Scripts, styles, comments and other elements without running text are dropped.
 Character references are decoded by the rules of HTML, white space within a line
@@ -23,6 +23,7 @@ rows; other columns are carried along unless they are named like the result.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -73,9 +74,13 @@ def never_article(name: str, rest: str, inside_article: bool) -> bool:
     if not rest:
         return False
     for key, *values in _ATTRIBUTE.findall(rest):
-        words = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
+        value = "".join(values).lower()
+        words = set(re.split(r"[^a-z0-9]+", value))
+        if key.lower() != "role" and name in ARTICLE:
+            # What it is comes first ("comment-body"); "has-sidebar" or the "sidebar-left" of a main are about its place.
+            words = {w if name == "main" else re.split(r"[^a-z0-9]+", w)[0] for w in value.split()}
         if words & ROLES if key.lower() == "role" else words & CLASS_WORDS:
-            return name not in ("body", "html") and name not in ARTICLE
+            return name not in ("body", "html")
     return False
 
 
@@ -149,24 +154,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def stretches_of(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int, int]]:
+    """Stretches of text as (weight, first line, line after the last); none is both inside and outside of a mark."""
+    found: list[tuple[int, int, int]] = []
+    low = 0
+    for marked, run in itertools.groupby(lines, key=lambda line: line[2]):
+        weights = [n for _, n, _ in run]
+        if marked:
+            found.append((sum(weights) + SURGE * len(weights), low, low + len(weights)))
+        start = None
+        for k in range(0 if marked else len(weights) + 1):
+            block = sum(weights[k : k + WINDOW])
+            if start is None and k < len(weights) and block >= SURGE and weights[k]:
+                start = k
+            elif start is not None and not block:
+                found.append((sum(weights[start:k]), low + start, low + k))
+                start = None
+        low += len(weights)
+    return found
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    marked = any(in_article for _, _, in_article in lines)
-    weights = [max(n, SURGE) if in_article else 0 if marked else n for _, n, in_article in lines]
-    best: tuple[int, int, int] = (0, 0, 0)
-    start = None
-    for k in range(len(lines) + 1):
-        block = sum(weights[k : k + WINDOW])
-        if start is None and k < len(lines) and block >= SURGE and weights[k]:
-            start = k
-        elif start is not None and not block:
-            best = max(best, (sum(weights[start:k]), -start, k))
-            start = None
-    weight, first, last = best
-    if not weight:
+    stretches = stretches_of(lines)
+    if not stretches:
         # A page with too little text for any surge: all lines that are not mere links.
-        return "\n".join(text for (text, _, _), n in zip(lines, weights) if n)
-    return "\n".join(text for (text, _, _), n in zip(lines[-first:last], weights[-first:last]) if n)
+        return "\n".join(text for text, n, _ in lines if n)
+    _, first, last = max(stretches, key=lambda stretch: stretch[0])
+    return "\n".join(text for text, n, marked in lines[first:last] if n or marked)
 
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
