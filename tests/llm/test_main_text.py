@@ -91,3 +91,30 @@ def test_a_mark_is_a_bonus_only():
     assert main_text(page(f'<main class="sidebar-left">{told}</main>')) == story
     short = "<article><h1>Short</h1><p>One.</p><p>Two.</p></article>"
     assert main_text(page(f"{short}<div>{comment}</div>")) == "Short\nOne.\nTwo."
+
+
+def test_edges_and_links_of_an_unmarked_story_stay():
+    menu = "".join(f'<li><a href="{k}">Menu {k}</a></li>' for k in range(9))
+
+    def links(n):
+        return [f"Reference number {k}, see there" for k in range(n)]
+
+    def body(lines):
+        return "".join(f"<p><a href=#>{t}</a></p>" if t.startswith("Reference") else f"<p>{t}</p>" for t in lines)
+
+    long = [LONG.format(k) for k in range(12)]
+    for lines in (
+        ["Title", "By A. Writer", "3 May", *long],
+        ["Title", *long[:4], "A heading", *long[4:], "The end."],
+        [*long[:2], *links(1), *long[2:4], *links(2), *long[4:]],
+        [*long[:6], *links(3), *long[6:]],
+        [*long[:1], *links(6), *long[1:]],
+        [*long[:6], "See also", *links(12), "And then", *long[6:]],
+        ["Title", *long[:3], *links(4), *long[3:6], *links(5), "Short.", *long[6:]],
+    ):
+        assert main_text(page(f"<ul>{menu}</ul>{body(lines)}<ul>{menu}</ul>")) == "\n".join(lines)
+    story = "".join(f"<p>{line}</p>" for line in long[:6])
+    cards = f"{story}<article><p>A card.</p></article>{story}"
+    assert main_text(page(cards)) == "\n".join([*long[:6], "A card.", *long[:6]])
+    posts = "<p>Next post</p>".join(f"<article><p>{line}</p></article>" for line in long[:3])
+    assert main_text(page(posts)) == "\nNext post\n".join(long[:3])

@@ -5,8 +5,10 @@ line weighs as many characters as its text has outside of links. Lines of parts
 never belong to an article (navigation, headers, footers, sidebars, forms, adverts,
 notices, comments and the like, known by element, role or class) are taken out
 before. The weights are summed over a sliding window of lines. The text begins
-where the sum surges past a threshold and ends where it dives to nothing; among
-several such stretches the heaviest is the main text. Lines in a marked article (an
+where the sum surges past a threshold, and before that with the short lines next to it
+(title, author, date), and ends where it dives to nothing. Stretches that only a few
+lines of links part, or a part lighter than either, are one. The heaviest is the
+main text, with every line from its first to its last. Lines in a marked article (an
 ``<article>`` or ``<main>``) are a stretch from the first to the last, and each weighs
 ``SURGE`` more. The mark is a bonus and no more: text outside wins where it is heavier.
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3  # lines in the sliding window
 SURGE = 80  # characters in the window where the text begins
+PARTING = 2 * WINDOW  # lines of links that never part a text
 
 # Elements of HTML.
 BLOCKS = set(
@@ -167,6 +170,8 @@ def stretches_of(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int, int
             block = sum(weights[k : k + WINDOW])
             if start is None and k < len(weights) and block >= SURGE and weights[k]:
                 start = k
+                while start and weights[start - 1]:
+                    start -= 1
             elif start is not None and not block:
                 found.append((sum(weights[start:k]), low + start, low + k))
                 start = None
@@ -174,14 +179,33 @@ def stretches_of(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int, int
     return found
 
 
+def joined(lines: list[tuple[str, int, bool]], stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The stretches of one kind, those put together that little parts."""
+    found: list[tuple[int, int, int]] = []
+    before = 0
+    for weight, first, last in stretches:
+        if found:
+            whole, begin, end = found[-1]
+            between = lines[end:first]
+            few = len(between) <= PARTING and not any(n or marked for _, n, marked in between)
+            if few or sum(len(text) for text, _, _ in between) <= min(before, weight):
+                weight, first, before = whole + weight, begin, weight
+                found[-1] = (weight, first, last)
+                continue
+        found.append((weight, first, last))
+        before = weight
+    return found
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     stretches = stretches_of(lines)
     if not stretches:
         # A page with too little text for any surge: all lines that are not mere links.
         return "\n".join(text for text, n, _ in lines if n)
-    _, first, last = max(stretches, key=lambda stretch: stretch[0])
-    return "\n".join(text for text, n, marked in lines[first:last] if n or marked)
+    kinds = ([s for s in stretches if lines[s[1]][2] == marked] for marked in (True, False))
+    _, first, last = max((s for kind in kinds for s in joined(lines, kind)), key=lambda stretch: stretch[0])
+    return "\n".join(text for text, _, _ in lines[first:last])
 
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
