@@ -10,7 +10,7 @@ from themeloom.config import CodingSettings
 from themeloom.functions.prompts import token_counter
 from themeloom.operators.coding import build_codeframe, coding_report
 from themeloom.operators.inference import CodeReply, Pace, coding_requests, read_ledger, run_requests
-from themeloom.plans.jobs import code_batches, create_codeframe, generate_categories
+from themeloom.plans.jobs import code_batches, create_codeframe, generate_categories, propose_categories
 from themeloom.tables import scratch_path
 
 FAST = CodingSettings(question="Why?", paced=False, backoff_seconds=0.0, concurrency=2, calls_per_task=1)
@@ -340,3 +340,23 @@ def test_hosted_client_sends_one_message(monkeypatch):
     with pytest.raises(RateLimited, match="later"):
         ChatClient("m").complete("busy")
     assert sent[0] == {"model": "m", "messages": [{"role": "user", "content": "hello"}]}
+
+
+@pytest.mark.parametrize("limit", [140_000, 500, 300])
+def test_themes_of_a_sample_over_the_limit(spark, limit):
+    """Asked in parts, the stand-in names the same first words as when asked at once."""
+    words = [f"word{'abcdefghij'[k % 7]}{'abcdefghij'[k % 10]}" for k in range(60)]
+    sample = spark.createDataFrame([([f"{w} and some more text {k}" for k, w in enumerate(words)],)], "sample array<string>")
+    for count in (20, 70):
+        settings = replace(FAST, tokens_per_minute=limit, number_of_categories=count)
+        found = propose_categories(sample, FirstWordClient, settings).orderBy("ord").collect()
+        want = [w.capitalize() for w in dict.fromkeys(words)][:count]
+        assert [r.category for r in found] == [*want, "Other", "Bad response", "Uncategorized"]
+        assert [r.ord for r in found] == list(range(len(found)))
+
+
+def test_only_a_single_answer_over_the_limit_fails(spark):
+    settings = replace(FAST, tokens_per_minute=300)
+    sample = spark.createDataFrame([(["red one", "x" * 2000, "blue two"],)], "sample array<string>")
+    found = propose_categories(sample, FirstWordClient, settings).orderBy("ord").collect()
+    assert [r.category for r in found] == ["Red", "Blue", "Error", "Other", "Bad response", "Uncategorized"]

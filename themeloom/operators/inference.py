@@ -280,6 +280,7 @@ def run_requests(
     reader: CodeReply | ThemeReply,
     settings: CodingSettings,
     ledger_path: str,
+    start_full: bool = True,
 ) -> DataFrame:
     """Have every request answered, and return the best ledger row of each.
 
@@ -288,7 +289,7 @@ def run_requests(
     died goes on where its last finished wave ended, and a later run tries those
     that failed. Waves are runs of the request order; each is one Spark job, and
     there are at most ``most_waves``. The first starts with a full minute of
-    credit, later ones go on at the steady rate. The write is the only evaluation
+    credit (unless not ``start_full``), later ones go on at the steady rate. The write is the only evaluation
     of the calls.
     """
     spark = requests.sparkSession
@@ -312,7 +313,7 @@ def run_requests(
                 settings.tokens_per_minute,
                 settings.requests_per_minute,
                 order="request_no",
-                start_full=start == 0,
+                start_full=start_full and start == 0,
                 block_rows=BLOCK_ROWS << PART_BITS,
             )
         else:

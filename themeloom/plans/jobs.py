@@ -34,6 +34,62 @@ def _ledger_path(spark: SparkSession, path: str | None, client_factory: Callable
     return path or scratch_path(spark, label)
 
 
+def _theme_requests(sample: DataFrame, prompt_of: Callable[[Column], Column], settings: CodingSettings) -> DataFrame:
+    """The requests for one row of answers, halved in order until each is under the token limit or one answer."""
+    batches = sample.select(F.lit(0).cast("long").alias("batch_id"), F.col("sample").alias("responses"))
+    while True:
+        requests = with_request(batches, prompt_of, settings, split=False)
+        over = (F.col("cost") > settings.tokens_per_minute) & (F.col("answers") > 1)
+        if requests.where(over).isEmpty():
+            return requests
+        half = F.ceil(F.col("answers") / 2).cast("int")
+        first, second = F.slice("responses", F.lit(1), half), F.slice("responses", half + 1, F.col("answers") - half)
+        halves = F.when(over, F.array(first, second)).otherwise(F.array("responses"))
+        parts = requests.select("batch_id", F.posexplode(halves).alias("half", "responses"))
+        batches = parts.select((2 * F.col("batch_id") + F.col("half")).alias("batch_id"), "responses")
+
+
+def _themes(
+    sample: DataFrame,
+    client_factory: Callable[[], ModelClient],
+    settings: CodingSettings,
+    ledger_path: str,
+    start_full: bool = True,
+) -> DataFrame:
+    """One row with ``themes`` in the order of the sample, and whether any request ``failed``."""
+
+    def prompt_of(responses: Column) -> Column:
+        return category_prompt(responses, settings.question, settings.number_of_categories)
+
+    requests = _theme_requests(sample, prompt_of, settings)
+    requests = requests.withColumn("chars", F.length(F.array_join("responses", "")))
+    ledger = run_requests(requests, client_factory, ThemeReply(), settings, ledger_path, start_full)
+    replies = requests.select("request_key", "batch_id", "chars").join(ledger, "request_key")
+    replies = replies.agg(F.sort_array(F.collect_list(F.struct("batch_id", "status", "codes", "chars"))).alias("parts"))
+    good = F.filter("parts", lambda part: part["status"] == "ok")
+    named = F.flatten(F.transform(good, lambda part: F.flatten(part["codes"])))
+    found = replies.where(F.size("parts") > 0).select(
+        F.when(F.size("parts") > 1, F.array_distinct(named)).otherwise(named).alias("themes"),
+        F.exists("parts", lambda part: part["status"] != "ok").alias("failed"),
+        F.size("parts").alias("parts"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda total, part: total + part["chars"]).alias("chars"),
+    )
+    shorter = (F.length(F.array_join("themes", "")) < F.col("chars")).alias("shorter")
+    row = found.select("parts", F.size("themes").alias("size"), shorter).first()
+    if row and row["parts"] > 1 and row["size"] > settings.number_of_categories and row["shorter"]:
+        # The parts propose more than asked for: the model chooses among the themes of all parts, as
+        # long as these grow shorter; then all stay. Written, as Spark takes scans of the ledger at
+        # different times for the same within one plan.
+        found = materialize(found, "themes")
+        sample = found.select(F.col("themes").alias("sample"))
+        chosen = _themes(sample, client_factory, settings, ledger_path, start_full=False)
+        chosen = chosen.select(F.col("themes").alias("chosen"), F.col("failed").alias("not_chosen"))
+        found = found.crossJoin(chosen).select(
+            F.when(F.col("not_chosen"), F.col("themes")).otherwise(F.col("chosen")).alias("themes"), "failed"
+        )
+    return found.select("themes", "failed")
+
+
 def propose_categories(
     sample: DataFrame,
     client_factory: Callable[[], ModelClient],
@@ -42,22 +98,17 @@ def propose_categories(
 ) -> DataFrame:
     """``(ord, category)`` from one row of sampled answers, defaults appended.
 
-    The proposals come from a single request; when no reply passes they are the
-    one category ``Error``.
+    The proposals come from a single request where the sample is under the token limit. A larger one
+    is asked about in parts that are, and where these propose more than asked for, their
+    themes are asked about once more. When no reply passes the proposals are the one category ``Error``;
+    where only some parts fail, as an answer over the limit by itself does, it comes after the themes of the others.
     """
     spark = sample.sparkSession
     ledger_path = _ledger_path(spark, ledger_path, client_factory, "category-ledger")
-
-    def prompt_of(responses: Column) -> Column:
-        return category_prompt(responses, settings.question, settings.number_of_categories)
-
-    batch = sample.select(F.lit(0).cast("long").alias("batch_id"), F.col("sample").alias("responses"))
-    request = with_request(batch, prompt_of, settings, split=False)
-    ledger = run_requests(request, client_factory, ThemeReply(), settings, ledger_path)
-    reply = ledger.join(request.select("request_key"), "request_key", "left_semi")
-    proposed = F.when(F.col("status") == "ok", F.flatten("codes")).otherwise(F.array(F.lit(FAILED)))
-    listed = F.concat(proposed, F.array(*[F.lit(c) for c in DEFAULT_CATEGORIES]))
-    return reply.select(F.posexplode(listed).alias("ord", "category"))
+    found = _themes(sample, client_factory, settings, ledger_path)
+    error = F.when(F.col("failed"), F.array(F.lit(FAILED))).otherwise(F.array().cast("array<string>"))
+    listed = F.concat("themes", error, F.array(*[F.lit(c) for c in DEFAULT_CATEGORIES]))
+    return found.select(F.posexplode(listed).alias("ord", "category"))
 
 
 def generate_categories(
