@@ -12,6 +12,7 @@ from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.mixing import draw_documents
 from themeloom.llm.packing import pack_documents
 from themeloom.llm.quality import judge_quality
+from themeloom.llm.resampling import resample
 from themeloom.llm.suffix import remove_repeats
 from themeloom.llm.topk import top_k
 from themeloom.llm.url_rules import RULE_SCHEMA, RULES, judge_urls
@@ -69,6 +70,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_pack_min_slack": op1_pack_min_slack,
     "op2_pack_matrix": op2_pack_matrix,
@@ -80,4 +86,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
+    "op12_target_resampling": op12_target_resampling,
 }

@@ -91,9 +91,51 @@ fits AS (
     GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM places LEFT JOIN fits USING (n)"""
 
+# CRC-32 byte by byte from its table, once for each distinct feature.
+RESAMPLE = r"""
+WITH RECURSIVE steps(k, b, v) AS (
+    SELECT 0, b, b FROM range(256) t(b)
+    UNION ALL
+    SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+texts AS (
+    SELECT 'd' AS side, row_number() OVER () AS n, doc_id, text FROM documents
+    UNION ALL SELECT 'b', -row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+    SELECT side, n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (
+    SELECT side, n, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+hashed AS (
+    SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                  list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+    FROM bytes, crc),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+    FROM features JOIN hashed USING (f) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (S0 + 10000)) / ((s + 1)::DOUBLE * (T0 + 10000)))) AS BIGINT) AS g
+    FROM counts, (SELECT sum(s) AS S0, sum(t) AS T0 FROM counts)),
+weights AS (
+    SELECT n, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight
+    FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY n),
+scored AS (
+    SELECT n, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM words LEFT JOIN weights USING (n) WHERE side = 'd'),
+totals AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+    SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n) AS r FROM totals WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN r <= 25 * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank
+FROM totals LEFT JOIN ranked USING (n)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_remove_repeats": REMOVE_REPEATS,
     "op6_top_k": TOP_K,
     "op10_url_rules": URL_RULES,
+    "op12_target_resampling": RESAMPLE,
 }
