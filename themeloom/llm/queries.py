@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.llm.best_fit import pack_matrix
+from themeloom.llm.conversations import repair_damaged
 from themeloom.llm.language import identify_languages
 from themeloom.llm.main_text import extract_main_text
 from themeloom.llm.minhash import near_duplicates
@@ -75,6 +76,10 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pack_min_slack": op1_pack_min_slack,
     "op2_pack_matrix": op2_pack_matrix,
@@ -87,4 +92,5 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
     "op12_target_resampling": op12_target_resampling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
