@@ -91,13 +91,19 @@ fits AS (
     GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM places LEFT JOIN fits USING (n)"""
 
-# CRC-32 byte by byte from its table, once for each distinct feature.
-RESAMPLE = r"""
+# The table of CRC-32, and the sum over text ``f`` from its bytes ``h`` in hexadecimal.
+CRC_TABLE = """
 WITH RECURSIVE steps(k, b, v) AS (
     SELECT 0, b, b FROM range(256) t(b)
     UNION ALL
     SELECT k + 1, b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
-crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),"""
+CRC_SUM = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                  list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"""
+
+# The sum is taken once for each distinct feature.
+RESAMPLE = CRC_TABLE + r"""
 texts AS (
     SELECT 'd' AS side, row_number() OVER () AS n, doc_id, text FROM documents
     UNION ALL SELECT 'b', -row_number() OVER (), NULL, text FROM benchmark),
@@ -108,9 +114,7 @@ features AS (
     SELECT side, n, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
 bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
 hashed AS (
-    SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-                  list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
-                  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+    SELECT f, """ + CRC_SUM + r""" % 10000 AS bucket
     FROM bytes, crc),
 counts AS (
     SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
@@ -132,10 +136,103 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN r <= 25 * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank
 FROM totals LEFT JOIN ranked USING (n)"""
 
+
+
+def _further(way: str, cost: int | str, letters: str) -> str:
+    """A cost of ten digits with its letters behind it, so that text order is cost, then letters; grown by an edit."""
+    total = f"CAST(CAST(substr({way}, 1, 10) AS BIGINT) + {cost} AS VARCHAR)"
+    return f"lpad({total}, 10, '0') || substr({way}, 11) || '{letters}'"
+
+
+def _when(condition: str, way: str) -> str:
+    return f"CASE WHEN {condition} THEN {way} ELSE '9' END"
+
+
+# r0 to r3: the four states after insertions, before a row's own letter.
+_REACHED = {
+    "r0": "s0",
+    "r1": "s1",
+    "r2": f"least(s2, {', '.join(_further(s, 5, 'I') for s in ('s0', 's1', 's3'))})",
+    "r3": f"least(s3, {_further('s2', 5, 'I')}, {_further('s0', 10, 'II')}, {_further('s1', 10, 'II')})",
+}
+_NOT_DELETED = "fault NOT IN ('blank', 'duplicate')"
+_KEPT = {"s1": [("r0", "s")], "s2": [("r0", "u"), ("r1", "u"), ("r3", "u")], "s3": [("r2", "a")]}
+
+
+def _next(state: str) -> str:
+    ways = [_further(state.replace("s", "r"), 2, "D")]
+    for before, letter in _KEPT.get(state, []):
+        ways.append(_when(f"{_NOT_DELETED} AND letter = '{letter}'", _further(before, "extra", "K")))
+        if letter != "s":
+            ways.append(_when(_NOT_DELETED, _further(before, "extra + 1", "R")))
+    return f"least({', '.join(ways)})"
+
+
+# One row per conversation and step carries the best way to each of the four states.
+REPAIR = CRC_TABLE + rf"""
+rows AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+bytes AS (SELECT key, hex(encode(key)) AS h FROM (SELECT DISTINCT key FROM rows)),
+hits AS (SELECT key, {CRC_SUM} % 20 AS hit FROM bytes, crc),
+damaged AS (
+    SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+           CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+                    ELSE coalesce(text, ' ') END AS text,
+           unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM rows JOIN hits USING (key) WHERE hit != 0),
+ordered AS (
+    SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+           row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+judged AS (
+    SELECT *, substr(role, 1, 1) AS letter,
+           CASE WHEN body = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) AS before
+    FROM ordered),
+walked(conv, i, s0, s1, s2, s3) AS (
+    SELECT DISTINCT conv, CAST(0 AS BIGINT), '0000000000', '5000000000', '5000000000', '5000000000' FROM judged
+    UNION ALL
+    SELECT conv, i, {', '.join(_next(f's{k}') for k in range(4))}
+    FROM (SELECT conv, judged.i, letter, fault, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra,
+                 {', '.join(f'{way} AS {name}' for name, way in _REACHED.items())}
+          FROM walked JOIN judged USING (conv) WHERE judged.i = walked.i + 1) AS reached),
+ended AS (
+    SELECT conv, least(s0, s3, {_further('s2', 5, 'I')}, {_further('s1', 10, 'II')}) AS way
+    FROM walked QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1),
+audits AS (SELECT conv, CAST(substr(way, 1, 10) AS BIGINT) AS cost, substr(way, 11) AS audit FROM ended),
+edits AS (
+    SELECT conv, p, substr(audit, p, 1) AS edit
+    FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits)),
+placed AS (
+    SELECT *, count(*) FILTER (edit != 'I') OVER (PARTITION BY conv ORDER BY p) AS i,
+           count(*) FILTER (edit != 'D') OVER (PARTITION BY conv ORDER BY p) AS n FROM edits),
+lined AS (
+    SELECT conv, p, n, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, role,
+           max(CASE WHEN n = 1 AND edit = 'K' AND letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv) AS opened
+    FROM placed LEFT JOIN judged USING (conv, i) WHERE edit != 'D'),
+repaired AS (
+    SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                            || ':' || text, chr(10) ORDER BY p) AS lines
+    FROM lined GROUP BY conv),
+counted AS (
+    SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM rows) LEFT JOIN counted USING (conv) LEFT JOIN audits USING (conv)
+     LEFT JOIN repaired USING (conv)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_remove_repeats": REMOVE_REPEATS,
     "op6_top_k": TOP_K,
     "op10_url_rules": URL_RULES,
     "op12_target_resampling": RESAMPLE,
+    "op13_conversation_repair": REPAIR,
 }
