@@ -12,6 +12,7 @@ from themeloom.llm.main_text import extract_main_text
 from themeloom.llm.minhash import near_duplicates
 from themeloom.llm.mixing import draw_documents
 from themeloom.llm.packing import pack_documents
+from themeloom.llm.private_data import KINDS, find_private_data
 from themeloom.llm.quality import judge_quality
 from themeloom.llm.resampling import resample
 from themeloom.llm.suffix import remove_repeats
@@ -71,6 +72,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{kind}" for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_url_rules": op10_url_rules,
+    "op11_private_data": op11_private_data,
     "op12_target_resampling": op12_target_resampling,
     "op13_conversation_repair": op13_conversation_repair,
 }
