@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from themeloom.sources.encodings import UTF_16, detect_encodings, repaired, spark_charset
+from themeloom.sources.encodings import UTF_8, UTF_16, repaired, spark_charset
+from themeloom.sources.records import (
+    header_names,
+    named_records,
+    own_reader_files,
+    parsed,
+    split_records,
+    survey_blocks,
+)
 from themeloom.tables import column, materialize, quoted
 
 # Cell texts that mean a missing answer, matched exactly.
@@ -58,48 +66,80 @@ def read_csv(
     return df.select(*texts, *[value.alias(name) for value, name in zip(order, _ORDER)])
 
 
-# A list of files up to this length is broadcast; a longer one is joined by shuffle.
-BROADCAST_FILES = 100_000
+def _own_files(df: DataFrame, files: list[str]) -> DataFrame:
+    """The rows of some files; Spark opens no other."""
+    return df.where(F.col("_file").isin(files))
 
 
-def _own_files(df: DataFrame, files: DataFrame, n_files: int) -> DataFrame:
-    """The rows of ``df``, with its ``_file``, that come from the files listed."""
-    listed = files.select(F.col("path").alias("_file"))
-    return df.join(F.broadcast(listed) if n_files <= BROADCAST_FILES else listed, "_file", "left_semi")
+# Different headers, in any encoding, among the files of one folder.
+MOST_HEADERS = 1_000
 
 
-def read_responses(
-    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True
+def read_table(
+    spark: SparkSession,
+    path: str | list[str],
+    encoding: str | None = None,
+    multi_line: bool = True,
+    names: Sequence[str] = (),
 ) -> DataFrame:
-    """A response table: header row, id first, answers after, missing ones NULL.
+    """Every column of the files as text, with three columns that sort rows as the files hold them.
 
-    Without ``encoding`` every file's own is detected. Files may name the same
-    columns in another order; the first group of files gives the order. Quoted line
-    breaks make a file one task's work, so convert large inputs to Parquet once
-    and go on there.
+    Without ``encoding`` every file's own is detected. ``names`` gives the columns of files without
+    headers. Files may name the same columns in another order; the first file gives the order. Each
+    file is surveyed once and read once, by as many tasks as it has blocks, whatever cells
+    hold; ``multi_line=False`` takes every line for a record, for files with stray quotes.
     """
-    files = materialize(detect_encodings(spark, path), "files")
-    kind = F.lit(encoding) if encoding else F.col("encoding")
-    files = files.withColumn("encoding", kind).where(F.col("encoding").isNotNull())
-    # One row per encoding and header: few, however many files.
-    groups = files.groupBy("encoding", "header").agg(F.min("path").alias("sample"), F.count("*").alias("n"))
-    groups = groups.orderBy("sample").collect()
-    if len(groups) <= 1:
-        found = groups[0].encoding if groups else encoding or "utf-8"
-        df = read_csv(spark, path, encoding=found, multi_line=multi_line)
-    else:
-        parts = []
-        for group in groups:
-            names = read_csv(spark, group.sample, encoding=group.encoding, multi_line=multi_line).columns
-            part = read_csv(
-                spark, path, encoding=group.encoding, multi_line=multi_line, names=names, file_order=True
-            )
-            own = files.where((F.col("encoding") == group.encoding) & F.col("header").eqNullSafe(F.lit(group.header)))
-            parts.append(_own_files(part, own, group.n).select(*[column(name) for name in names]))
-        df = reduce(DataFrame.unionByName, parts)
-    return df.select(
-        *[F.when(~column(c).isin(list(NA_TOKENS)), column(c)).alias(c) for c in df.columns]
-    )
+    blocks = materialize(survey_blocks(spark, path, encoding, multi_line), "blocks")
+    # One row per encoding and first record: few, however many files.
+    kinds = blocks.where("_block = 0").groupBy("encoding", "own_reader", "header" if not names else F.lit("").alias("header"))
+    kinds = kinds.agg(F.min("_file").alias("sample"), F.bool_or("broken").alias("broken")).orderBy("sample")
+    kinds = kinds.limit(MOST_HEADERS + 1).collect()
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"the files under {path} have more than {MOST_HEADERS} different headers")
+    if len(kinds) <= 1 and not (kinds and kinds[0].broken and not kinds[0].own_reader):
+        # What Spark's own reader does in many tasks, or has to do in one.
+        found, whole = (kinds[0].encoding, kinds[0].own_reader) if kinds else (encoding or UTF_8, False)
+        return read_csv(spark, path, not names, found, multi_line=whole, names=names, file_order=True)
+    options = {"header": not names, "multi_line": True, "file_order": True}
+    parts, order = [], list(names)
+    for kind in kinds if not names else []:
+        if kind.own_reader:
+            own = read_csv(spark, kind.sample, encoding=kind.encoding).columns
+        elif kind.header is None:
+            raise ValueError(f"the first record of {kind.sample} is longer than a block")
+        else:
+            own = header_names(kind.header)
+        order = order or own
+        if kind.own_reader:
+            same = (F.col("encoding") == kind.encoding) & F.col("header").eqNullSafe(F.lit(kind.header))
+            part = read_csv(spark, path, encoding=kind.encoding, names=own, **options)
+            parts.append(_own_files(part, own_reader_files(blocks.where(same))).select(*map(column, [*order, *_ORDER])))
+    if names:
+        for found in sorted({kind.encoding for kind in kinds if kind.own_reader}):
+            part = read_csv(spark, path, encoding=found, names=names, **options)
+            parts.append(_own_files(part, own_reader_files(blocks.where(F.col("encoding") == found))))
+    headers = sorted({kind.header for kind in kinds if not kind.own_reader and kind.header is not None})
+    if headers:
+        records = split_records(spark, path, blocks, multi_line)
+        if names:
+            cells = parsed(records, len(names))
+            parts.append(cells.select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)], *_ORDER))
+        else:
+            parts.append(named_records(records, blocks, headers, order))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _known_texts(df: DataFrame) -> DataFrame:
+    """Cells that stand for nothing as NULL, without the columns of the order."""
+    names = [name for name in df.columns if name not in _ORDER]
+    return df.select(*[F.when(~column(c).isin(list(NA_TOKENS)), column(c)).alias(c) for c in names])
+
+
+def read_responses(
+    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """A response table: header row, id first, answers after, missing ones NULL; see ``read_table``."""
+    return _known_texts(read_table(spark, path, encoding, multi_line))
 
 
 def category_rows(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -107,16 +147,7 @@ def category_rows(spark: SparkSession, path: str, encoding: str | None = None) -
 
     The numbering runs in one task; categories become columns, so they are few.
     """
-    files = materialize(detect_encodings(spark, path), "files")
-    kind = F.lit(encoding) if encoding else F.col("encoding")
-    files = files.withColumn("encoding", kind)
-    found = files.groupBy("encoding").agg(F.count("*").alias("n")).orderBy("encoding").collect()
-    parts = []
-    for group in found or [Row(encoding="utf-8", n=0)]:
-        part = read_csv(spark, path, header=False, encoding=group.encoding, names=["category"], file_order=True)
-        own = files.where(F.col("encoding") == group.encoding)
-        parts.append(_own_files(part, own, group.n) if len(found) > 1 else part)
-    rows = reduce(DataFrame.unionByName, parts).where(~F.col("category").isin(list(NA_TOKENS)))
+    rows = read_table(spark, path, encoding, names=["category"]).where(~F.col("category").isin(list(NA_TOKENS)))
     return rows.select((F.row_number().over(Window.orderBy(*_ORDER)) - 1).alias("ord"), "category")
 
 
@@ -127,7 +158,7 @@ def read_categories(spark: SparkSession, path: str, encoding: str | None = None)
 
 def _read_codeframe(spark: SparkSession, path: str) -> DataFrame:
     """``(response, value, place)`` of a key/value file, the last of equal keys."""
-    rows = read_csv(spark, path, file_order=True)
+    rows = read_table(spark, path, encoding=UTF_8)
     if not {"key", "value"} <= set(rows.columns):
         raise ValueError(f"a codeframe needs the columns key and value: {path}")
     raw = F.when(~F.col("value").isin(list(NA_TOKENS)), F.col("value"))
