@@ -145,8 +145,11 @@ def repeated_keys(spark, sf_dir):
 
 
 def python_lists(spark, sf_dir):
-    """A codeframe file whose lists are written with single quotes, or not at all."""
-    text = F.concat(F.lit("['"), F.col("p_type"), F.lit(r"\u00e9\\', " + '"'), F.col("p_brand"), F.lit("'s\"]"))
+    """A codeframe file whose lists are written as Python writes them, or not at all."""
+    text = F.concat(
+        F.lit("['"), F.col("p_type"), F.lit(r"\u00e9\\', " + '"'), F.col("p_brand"), F.lit("'s\", '"),
+        F.substring("p_name", 1, 3), F.lit(r"\xa0\101\U0001f600\a\v\'\q', ]"),
+    )
     value = F.when(F.col("p_size") > 10, text).alias("value")
     part = table(spark, sf_dir, "part").orderBy("p_partkey")
     path = written(part.select(F.col("p_name").alias("key"), value), "lists")

@@ -316,7 +316,8 @@ ORACLE_SQL: dict[str, str] = {
     "S3_read_categories": TYPES_AND_ORDERS,
     "S4_read_codeframe_single": "SELECT p_name AS response, max_by(p_type, p_partkey) AS category FROM part GROUP BY 1",
     "S5_read_codeframe_multi": "SELECT p_name AS response, max_by(CASE WHEN p_size > 10 THEN "
-    "concat(p_type, 'é\\|', p_brand, '''s') ELSE '' END, p_partkey) AS categories FROM part GROUP BY 1",
+    "concat(p_type, 'é\\|', p_brand, '''s|', substr(p_name, 1, 3), chr(160), 'A', chr(128512), chr(7), chr(11), '''\\q') "
+    "ELSE '' END, p_partkey) AS categories FROM part GROUP BY 1",
     "S6_write_table": with_tables(NOTE_ROWS) + f"SELECT id, r1, nullif(r2, '') AS r2, {NOTE_DEFAULTS} FROM cleaned",
     "S7_write_codeframe": with_tables(*PART_ANSWERS, PART_CODE_ROWS)
     + "SELECT response AS key, CASE WHEN codes = '' THEN '[]' "

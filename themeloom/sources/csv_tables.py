@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from themeloom.functions.literals import string_list
 from themeloom.sources.encodings import UTF_8, UTF_16, repaired, spark_charset
 from themeloom.sources.records import (
     header_names,
@@ -25,9 +26,6 @@ NA_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Escapes that mean the same in Python and here.
-SHARED_ESCAPES = r"""\\(?:[\\'"nrtbf]|u[0-9a-fA-F]{4})"""
-
 _ORDER = ("_file", "_block", "_line")
 
 
@@ -179,22 +177,11 @@ def read_codeframe_single(spark: SparkSession, path: str) -> DataFrame:
 def read_codeframe_multi(spark: SparkSession, path: str) -> DataFrame:
     """``(response, categories)`` from list texts, unique on ``response``.
 
-    Lists may be written with single or double quotes. A missing list is empty; a
-    malformed one is an error, as is any escape that JSON and Python do not read alike.
+    Lists may be written by Python or as JSON. A missing list is empty; a malformed one is an error.
     """
     value = F.col("value")
-    guarded = F.concat(F.lit("["), value, F.lit(',["__end__"]]'))
-    parsed = F.from_json(guarded, "array<array<string>>", {"allowBackslashEscapingAnyCharacter": "true"})
-    whole = (F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2)) == F.array(F.lit("__end__")))
-    # Whatever backslash is left once these escapes are gone means something else.
-    others = F.regexp_replace(value, SHARED_ESCAPES, "")
-    readable = F.coalesce(whole, F.lit(False)) & ~F.contains(others, F.lit("\\"))
-    malformed = F.raise_error(F.concat(F.lit("malformed list in codeframe: "), value))
-    lists = (
-        F.when(value.isNull(), F.array().cast("array<string>"))
-        .when(readable, F.try_element_at(parsed, F.lit(1)))
-        .otherwise(malformed.cast("array<string>"))
-    )
+    malformed = F.raise_error(F.concat(F.lit("malformed list in codeframe: "), value)).cast("array<string>")
+    lists = F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(string_list(value), malformed))
     return _read_codeframe(spark, path).select("response", lists.alias("categories"))
 
 
