@@ -247,22 +247,31 @@ BUDGET = (
             "SELECT *, cost > 6000 AS oversize, CASE WHEN cost > 6000 THEN 0 ELSE cost END AS tokens, "
             "CASE WHEN cost > 6000 THEN 0 ELSE 1 END AS one FROM (SELECT batch_id, cost + 60 AS cost FROM costs) AS asked",
         ),
-        ("held", f"SELECT *, greatest({micros('tokens', 6000)}, {micros('one', 4)}) AS hold FROM charged"),
         (
             "summed",
-            "SELECT batch_id, cost, oversize, "
+            "SELECT batch_id, cost, oversize, tokens, row_number() OVER (PARTITION BY oversize ORDER BY batch_id) AS i, "
             + ", ".join(
                 f"CAST(sum({c}) OVER (ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {name}"
-                for c, name in (("tokens", "cum_tokens"), ("one", "cum_requests"), ("hold", "held"))
+                for c, name in (("tokens", "cum_tokens"), ("one", "cum_requests"))
             )
-            + " FROM held",
+            + " FROM charged",
         ),
-    )
+        # Request by request: the time, and when each allowance is full again. A token comes back
+        # in 10 ms, a request in 15 s.
+        (
+            "replay(i, now, tokens_full, requests_full)",
+            "SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL "
+            "SELECT i, now, greatest(tokens_full, now) + weight, greatest(requests_full, now) + 15000000 FROM "
+            "(SELECT s.i, tokens_full, requests_full, CAST(tokens * 10000 AS BIGINT) AS weight, "
+            "greatest(now, tokens_full + CAST(tokens * 10000 AS BIGINT) - 60000000, requests_full - 45000000) AS now "
+            "FROM replay JOIN summed AS s ON s.i = replay.i + 1 AND NOT s.oversize) AS step",
+        ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     + f"""SELECT batch_id, cost, oversize, cum_tokens, cum_requests,
   CASE WHEN NOT oversize THEN greatest(0, greatest({micros('cum_tokens', 6000)}, {micros('cum_requests', 4)})
     - 60000000) END AS earliest_us,
-  CASE WHEN NOT oversize THEN greatest(0, held - 60000000) END AS admit_us
-FROM summed"""
+  CASE WHEN NOT oversize THEN now END AS admit_us
+FROM summed LEFT JOIN replay USING (i)"""
 )
 
 
