@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from themeloom.llm.best_fit import RoomTree, pack_matrix
-from themeloom.llm.packing import closest_fill, cut_rest, fill_windows, pack_documents, Piece
+from themeloom.llm.best_fit import _matrix_task, RoomTree, pack_matrix
+from themeloom.llm.packing import Piece, _pack_task, closest_fill, cut_rest, fill_windows, pack_documents
 from themeloom.llm.queries import op1_pack_min_slack
 from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
 
@@ -144,3 +145,25 @@ def test_matrix_rebuilds_all_documents(spark, tokenizer, window):
     for k, text in enumerate(ODD_TEXTS):
         if k != 4:
             assert [i for _, ids in sorted(parts[k]) for i in ids] == whole(tokenizer, text)
+
+
+@pytest.mark.parametrize("pack", [_pack_task, _matrix_task])
+def test_what_waits_is_bounded_by_windows(pack, monkeypatch):
+    """Equal documents of a little over half a window never fill one; few of them may wait."""
+    monkeypatch.setattr("themeloom.llm.packing.HELD_WINDOWS", 8)
+    monkeypatch.setattr("themeloom.llm.best_fit.HELD_WINDOWS", 8)
+    text = " ".join(["the"] * 40)
+    held = []
+
+    def batches():
+        for k in range(20):
+            ids = pa.array(range(100 * k, 100 * k + 100), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([text] * 100)], ["doc_id", "text"])
+
+    options = (64, 1 << 20) if pack is _pack_task else (0, 64, 1 << 20)
+    given = 0
+    for k, batch in enumerate(pack(batches(), tokenizer_path(), END_ID, *options)):
+        tokens = batch.column("length") if pack is _pack_task else batch.column("n_tokens")
+        given += sum(tokens.to_pylist())
+        held.append(given)
+    assert given == 20 * 100 * 41 and len(held) >= 20

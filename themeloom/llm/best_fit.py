@@ -5,7 +5,8 @@ losslessly into whole windows and a remainder. The remainders of a chunk are
 placed longest first, each into the open window with the least room that still
 holds it. A segment tree over the possible amounts of room finds that window in
 logarithmic time. Windows with much room left are opened again for the next
-chunk, so padding stays small although a task never holds more than a chunk.
+chunk, ``HELD_WINDOWS`` of them at most, so padding stays small and a task holds a
+chunk and a fixed number of windows.
 
 Each row is one row of the matrix: ids padded to the window, the cumulative
 lengths of its segments, positions that start anew with each segment, and the
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
-from themeloom.llm.packing import SEQUENCES_PER_TASK, Piece
-from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
+from themeloom.llm.packing import HELD_WINDOWS, SEQUENCES_PER_TASK, Piece
+from themeloom.llm.tokens import END_ID, tokenizer_path, worker_encoder
 
 SCHEMA = (
     "sequence_id long, n_tokens int, input_ids binary, position_ids binary, "
@@ -124,7 +125,7 @@ def _matrix_batch(rows: list[list[Piece]], first_id: int, window: int, pad_id: i
 def _matrix_task(
     batches: Iterable[pa.RecordBatch], path: str, end_id: int, pad_id: int, window: int, chunk_bytes: int
 ) -> Iterator[pa.RecordBatch]:
-    words = WordEncoder(path)
+    words = worker_encoder(path)
     context = TaskContext.get()
     next_id = (context.partitionId() if context else 0) * SEQUENCES_PER_TASK
     again: list[Piece] = []
@@ -149,8 +150,11 @@ def _matrix_task(
         windows = best_fit_decreasing(again, window)
         loose = window // 64
         yield from written(whole)
-        yield from written([pieces for room, pieces in windows if room < loose])
-        again = [p._replace(ids=p.ids.copy()) for room, pieces in windows if room >= loose for p in pieces]
+        # The fullest are written, also of those with room, where more than a fixed number would wait.
+        windows.sort(key=lambda w: w[0])
+        full = max(sum(room < loose for room, _ in windows), len(windows) - HELD_WINDOWS)
+        yield from written([pieces for _, pieces in windows[:full]])
+        again = [p._replace(ids=p.ids.copy()) for _, pieces in windows[full:] for p in pieces]
     yield from written([pieces for _, pieces in best_fit_decreasing(again, window)])
 
 

@@ -6,11 +6,12 @@ the longest waiting remainder is taken, and a bitset subset-sum over the other
 remaining lengths (bounded counts, split into powers of two) finds the multiset
 that fills the window closest to its capacity; the counts are read back from the
 stored bitsets. Windows that can be filled exactly are written. The others wait
-for the next chunk of documents; only what is left at the end of a task is cut,
-into whole windows and then into sequences whose lengths are powers of two.
+for the next chunk of documents, up to ``HELD_WINDOWS`` windows of ids; what waits beyond
+that is cut into whole windows, and what is left at the end of a task also into
+sequences whose lengths are powers of two.
 
-A task packs its own documents, in chunks of bounded size, so nothing is
-shuffled and a lost task is simply done again.
+A task packs its own documents, in chunks of bounded size and with a bounded
+rest, so nothing is shuffled and a lost task is simply done again.
 
 Null and empty texts are documents with the end id alone. Rows that repeat are
 packed again. Rows with a null ``doc_id`` are packed too and carry the null.
@@ -28,13 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from themeloom.llm.arrow import binary_column, blobs, cut_by_bytes, map_texts
-from themeloom.llm.tokens import END_ID, WordEncoder, tokenizer_path
+from themeloom.llm.tokens import END_ID, tokenizer_path, worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 # A task numbers its sequences from its own multiple of this.
 SEQUENCES_PER_TASK = 1 << 36
 
+# Windows of ids that may wait for a better fill, 4 MB at 4096 ids each.
+HELD_WINDOWS = 256
+
 
 class Piece(NamedTuple):
     """A run of one document's ids, not yet placed."""
@@ -98,11 +102,8 @@ def fill_windows(waiting: dict[int, list[Piece]], window: int) -> tuple[list[lis
     return filled, rest
 
 
-def cut_rest(rest: list[Piece], window: int) -> list[list[Piece]]:
-    """The pieces one after another, cut at every window and then at powers of two."""
-    left = sum(len(piece.ids) for piece in rest)
-    sizes = [window] * (left // window)
-    sizes += [1 << bit for bit in reversed(range(window.bit_length())) if left % window >> bit & 1]
+def cut_pieces(rest: list[Piece], sizes: list[int]) -> tuple[list[list[Piece]], list[Piece]]:
+    """The pieces one after another, cut into sequences of these sizes; and the pieces behind them."""
     sequences, pieces = [], iter(rest)
     piece = next(pieces, None)
     for size in sizes:
@@ -116,7 +117,15 @@ def cut_rest(rest: list[Piece], window: int) -> list[list[Piece]]:
                 piece._replace(start=piece.start + len(head.ids), ids=tail) if len(tail) else next(pieces, None)
             )
         sequences.append(sequence)
-    return sequences
+    return sequences, [piece, *pieces] if piece else []
+
+
+def cut_rest(rest: list[Piece], window: int) -> list[list[Piece]]:
+    """The pieces one after another, cut at every window and then at powers of two."""
+    left = sum(len(piece.ids) for piece in rest)
+    sizes = [window] * (left // window)
+    sizes += [1 << bit for bit in reversed(range(window.bit_length())) if left % window >> bit & 1]
+    return cut_pieces(rest, sizes)[0]
 
 
 def sequence_batch(sequences: list[list[Piece]], first_id: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -148,7 +157,7 @@ ARROW_SCHEMA = pa.schema(
 def _pack_task(
     batches: Iterable[pa.RecordBatch], path: str, end_id: int, window: int, chunk_bytes: int
 ) -> Iterator[pa.RecordBatch]:
-    words = WordEncoder(path)
+    words = worker_encoder(path)
     context = TaskContext.get()
     next_id = (context.partitionId() if context else 0) * SEQUENCES_PER_TASK
     rest: list[Piece] = []
@@ -177,6 +186,9 @@ def _pack_task(
         filled, rest = fill_windows(waiting, window)
         yield from written(whole)
         yield from written(filled)
+        beyond = sum(len(piece.ids) for piece in rest) // window - HELD_WINDOWS
+        cut, rest = cut_pieces(rest, [window] * max(0, beyond))
+        yield from written(cut)
         rest = [piece._replace(ids=piece.ids.copy()) for piece in rest]
     yield from written(cut_rest(rest, window))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 
@@ -24,20 +25,21 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so words can be encoded apart.
 
     Words are split at ASCII white space only, which no token spans. Each distinct
-    word is encoded once; past ``most_words`` distinct words the memory starts anew.
+    word is encoded once; the memory starts anew once its words take ``most_bytes``.
     A word differs from its ASCII lower case only by what the tokenizer lowers itself,
     and a comma or full stop after a letter or digit is a token of its own.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         # A task has one core; more threads would only take memory of their own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-        self.most_words = most_words
+        self.most_bytes = most_bytes
         self._forget()
 
     def _forget(self) -> None:
+        self.held = 0
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, dtype=np.uint32)
         self.begins = np.zeros(0, dtype=np.int64)
@@ -64,6 +66,8 @@ class WordEncoder:
     def _learn(self, first: int) -> None:
         """Ids of the words not met before."""
         words = list(itertools.islice(self.known, first, None))
+        # A word's place in the dictionary, its object and its ids take about 150 bytes more than its letters.
+        self.held += sum(map(len, words)) + 150 * len(words)
         bases: dict[bytes, int] = {}
         alone, base_of, closing = [], [], []
         for k, word in enumerate(words):
@@ -101,7 +105,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, ``end_id`` after each text, and where each text begins."""
-        if len(self.known) > self.most_words:
+        if self.held > self.most_bytes:
             self._forget()
         first, known = len(self.known), self.known
         rows = [[known.setdefault(word, len(known)) for word in (text or b"").split()] for text in texts]
@@ -121,3 +125,9 @@ class WordEncoder:
         ids[is_end] = end_id
         ids[~is_end] = self.flat[places]
         return ids, begins
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker, which serves many tasks: the words of one are known to the next."""
+    return WordEncoder(path)
