@@ -44,6 +44,7 @@ from themeloom.plans.jobs import (
     categorized_output,
     code_batches,
     create_codeframe,
+    extend_codeframe,
     generate_categories,
     propose_categories,
 )
@@ -435,6 +436,29 @@ def build_codeframe_job(spark, sf_dir, is_multicode: bool):
     return read_codeframe_single(spark, path)
 
 
+def extend_codeframe_job(spark, sf_dir, is_multicode: bool):
+    """The answers of half the rows, with every seventh lost, and then those of the other half; one run gives the same."""
+    responses = read_responses(spark, written(notes(spark, sf_dir), "responses"))
+    half = F.crc32(F.col("id")) % 2 == 0
+    settings = MULTI if is_multicode else SINGLE
+    known = codeframe_of(spark, responses.where(half), settings)
+    failed = F.crc32("response") % 7 == 0
+    lost = F.array(F.lit("Error")) if is_multicode else F.lit("Error")
+    name = "categories" if is_multicode else "category"
+    known = known.withColumn(name, F.when(failed, lost).otherwise(F.col(name)))
+    factory = lambda: KeywordClient(is_multicode)
+    grown = extend_codeframe(known, responses, NOTE_CATEGORIES, factory, settings)
+    return grown.select("response", joined(name)) if is_multicode else grown
+
+
+def codeframe_of(spark, responses, settings):
+    """A codeframe as a later run finds it, in a file."""
+    codeframe = create_codeframe(responses, NOTE_CATEGORIES, lambda: KeywordClient(settings.is_multicode), settings)
+    path = scratch_path(spark, "codeframe")
+    write_codeframe(materialize(codeframe, "codeframe"), path)
+    return read_codeframe_multi(spark, path) if settings.is_multicode else read_codeframe_single(spark, path)
+
+
 def categorized_output_job(spark, sf_dir, is_multicode: bool):
     responses = read_responses(spark, written(parts(spark, sf_dir), "responses"))
     names, codes = categories_file(spark, PART_CATEGORIES), codeframe_file(spark, sf_dir, is_multicode)
@@ -490,6 +514,8 @@ QUERIES: dict[str, Query] = {
     "J1_generate_categories_job": generate_categories_job,
     "J2_build_codeframe_job": lambda spark, sf_dir: build_codeframe_job(spark, sf_dir, False),
     "J2_build_codeframe_job_multi": lambda spark, sf_dir: build_codeframe_job(spark, sf_dir, True),
+    "J2_extend_codeframe_job": lambda spark, sf_dir: extend_codeframe_job(spark, sf_dir, False),
+    "J2_extend_codeframe_job_multi": lambda spark, sf_dir: extend_codeframe_job(spark, sf_dir, True),
     "J3_categorized_output_job": lambda spark, sf_dir: categorized_output_job(spark, sf_dir, True),
     "J3_categorized_output_job_single": lambda spark, sf_dir: categorized_output_job(spark, sf_dir, False),
 }

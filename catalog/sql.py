@@ -318,6 +318,13 @@ REDACTED = (
     r"'<mail $1>', 'gs'), '[0-9]+', '#', 'gs'), 'the.{1,3}of', '<\\the>', 'gs')"
 )
 
+NOTE_CODEFRAME = (
+    with_tables(*NOTE_ANSWERS) + f"SELECT response, {first_hit('response', NOTE_PROMPTABLE)} AS category FROM answers"
+)
+NOTE_CODEFRAME_MULTI = (
+    with_tables(*NOTE_ANSWERS) + f"SELECT response, {hits('response', NOTE_PROMPTABLE, '|')} AS categories FROM answers"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "S1_read_responses": f"SELECT id, r1, CASE WHEN r2 NOT IN ('N/A', 'null') THEN r2 END AS r2 "
     f"FROM ({CELLS.format(documents='documents')}) AS cells",
@@ -429,10 +436,11 @@ ORACLE_SQL: dict[str, str] = {
     + f"SELECT response, code FROM codes WHERE code NOT IN ({IN_LIST})",
     "J1_generate_categories_job": proposed(25)
     + "SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS ord, category FROM named",
-    "J2_build_codeframe_job": with_tables(*NOTE_ANSWERS)
-    + f"SELECT response, {first_hit('response', NOTE_PROMPTABLE)} AS category FROM answers",
-    "J2_build_codeframe_job_multi": with_tables(*NOTE_ANSWERS)
-    + f"SELECT response, {hits('response', NOTE_PROMPTABLE, '|')} AS categories FROM answers",
+    "J2_build_codeframe_job": NOTE_CODEFRAME,
+    "J2_build_codeframe_job_multi": NOTE_CODEFRAME_MULTI,
+    # However a codeframe grows, it is the same in the end.
+    "J2_extend_codeframe_job": NOTE_CODEFRAME,
+    "J2_extend_codeframe_job_multi": NOTE_CODEFRAME_MULTI,
     # CSV holds no difference between an empty cell and a missing one.
     "J3_categorized_output_job_single": f"SELECT * REPLACE (nullif(r1, '') AS r1, nullif(r2, '') AS r2) "
     f"FROM ({PART_APPLIED_SINGLE}) AS applied",

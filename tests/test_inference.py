@@ -8,9 +8,16 @@ import pytest
 from themeloom.clients import ChatClient, FirstWordClient, KeywordClient, RateLimited, ScriptedClient
 from themeloom.config import CodingSettings
 from themeloom.functions.prompts import token_counter
+from themeloom.operators import inference
 from themeloom.operators.coding import build_codeframe, coding_report
 from themeloom.operators.inference import CodeReply, Pace, coding_requests, read_ledger, run_requests
-from themeloom.plans.jobs import code_batches, create_codeframe, generate_categories, propose_categories
+from themeloom.plans.jobs import (
+    code_batches,
+    create_codeframe,
+    extend_codeframe,
+    generate_categories,
+    propose_categories,
+)
 from themeloom.tables import scratch_path
 
 FAST = CodingSettings(question="Why?", paced=False, backoff_seconds=0.0, concurrency=2, calls_per_task=1)
@@ -360,3 +367,48 @@ def test_only_a_single_answer_over_the_limit_fails(spark):
     sample = spark.createDataFrame([(["red one", "x" * 2000, "blue two"],)], "sample array<string>")
     found = propose_categories(sample, FirstWordClient, settings).orderBy("ord").collect()
     assert [r.category for r in found] == ["Red", "Blue", "Error", "Other", "Bad response", "Uncategorized"]
+
+
+@pytest.mark.parametrize("is_multicode", [False, True])
+def test_a_grown_table_asks_about_new_answers_only(spark, tmp_path, is_multicode):
+    settings = replace(FAST, is_multicode=is_multicode, batch_size=3)
+    names, ledger = [*CATEGORIES, "Uncategorized"], str(tmp_path / "ledger")
+    factory = lambda: KeywordClient(is_multicode)
+    column = "categories" if is_multicode else "category"
+
+    def rows(n):
+        return spark.createDataFrame([(k, f"{'red' if k % 3 else 'blue'} {k}") for k in range(n)], "id long, r string")
+
+    first = create_codeframe(rows(300), names, factory, settings, ledger)
+    known = spark.createDataFrame(first.collect(), first.schema)
+    assert read_ledger(spark, ledger).count() == 100
+    # One entry failed and one has no code; both are asked about again, beside three new ones.
+    failed = ["Error"] if is_multicode else "Error"
+    rest = [(r.response, r[column]) for r in known.collect() if r.response not in ("red 1", "blue 3")]
+    known = spark.createDataFrame([*rest, ("red 1", failed), ("blue 3", None)], first.schema)
+    grown = extend_codeframe(known, rows(303), names, factory, settings, ledger).collect()
+    assert read_ledger(spark, ledger).count() == 102
+    whole = create_codeframe(rows(303), names, factory, settings).collect()
+    assert sorted(map(tuple, grown)) == sorted(map(tuple, whole)) and len(grown) == 303
+    # Nothing new: no request at all.
+    again = extend_codeframe(spark.createDataFrame(whole), rows(303), names, factory, settings, ledger)
+    assert again.count() == 303 and read_ledger(spark, ledger).count() == 102
+
+
+def test_a_restart_reads_the_ledger_once_before_its_waves(spark, tmp_path, monkeypatch):
+    """What is left to ask is worked out once, however many waves ask it."""
+    ledger = str(tmp_path / "ledger")
+    many = batches(spark, *[[f"red {i}"] for i in range(40)])
+    code_batches(many.where("batch_id < 9"), CATEGORIES, lambda: KeywordClient(False), FAST, ledger)
+    plans = []
+    ask_model = inference.ask_model
+
+    def watched(requests, *rest):
+        plans.append(requests._jdf.queryExecution().optimizedPlan().toString())
+        return ask_model(requests, *rest)
+
+    monkeypatch.setattr(inference, "ask_model", watched)
+    settings = replace(FAST, requests_per_task=2)
+    assert code_batches(many, CATEGORIES, lambda: KeywordClient(False), settings, ledger).count() == 40
+    assert len(plans) == 10 and not any("Join" in plan or "status" in plan for plan in plans)
+    assert read_ledger(spark, ledger).count() == 40

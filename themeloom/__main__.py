@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from themeloom.clients import ChatClient, ModelClient
 from themeloom.config import CodingSettings
 from themeloom.operators.audits import failed_answers
-from themeloom.plans.jobs import categorized_output, create_codeframe, generate_categories
+from themeloom.plans.jobs import categorized_output, create_codeframe, extend_codeframe, generate_categories
 from themeloom.sources.csv_tables import (
     read_categories,
+    read_codeframe_multi,
+    read_codeframe_single,
     read_responses,
     write_codeframe,
     write_csv,
@@ -73,6 +75,7 @@ def _parser() -> argparse.ArgumentParser:
             command.add_argument("--count", type=int, default=defaults.number_of_categories)
             command.add_argument("--sample-size", type=int, default=defaults.sample_size)
         if job == "build-codeframe":
+            command.add_argument("--extend", help="a codeframe whose answers are known already, to be written with the new ones")
             command.add_argument("--batch-size", type=int, default=defaults.batch_size)
             command.add_argument("--strict-length", action="store_true", help="a reply must have a code per answer")
     return parser
@@ -115,9 +118,12 @@ def _run(spark: SparkSession, options: argparse.Namespace) -> None:
 
     if options.job == "build-codeframe":
         names = read_categories(spark, options.categories)
-        codeframe = create_codeframe(
-            responses, names, _client_factory(options.client, settings.model), settings, options.ledger
-        )
+        factory = _client_factory(options.client, settings.model)
+        if options.extend:
+            read = read_codeframe_multi if settings.is_multicode else read_codeframe_single
+            codeframe = extend_codeframe(read(spark, options.extend), responses, names, factory, settings, options.ledger)
+        else:
+            codeframe = create_codeframe(responses, names, factory, settings, options.ledger)
         codeframe = materialize(codeframe, "codeframe")
         write_codeframe(codeframe, options.codeframe, mode=mode)
         log.info("%d answers could not be coded", failed_answers(codeframe).count())

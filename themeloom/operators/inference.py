@@ -299,7 +299,11 @@ def run_requests(
     answered = read_ledger(spark, ledger_path).where(F.col("status") == "ok").select("request_key")
     pending = requests
     if not answered.isEmpty():
-        pending = requests.join(answered, "request_key", "left_anti")
+        # Written once, in the order of the waves: each reads its own run of files, and none the ledger.
+        left = requests.join(answered, "request_key", "left_anti")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        left = left.repartitionByRange(parts, "request_no").sortWithinPartitions("request_no")
+        pending = materialize(left, "pending")
     first, last = requests.agg(F.min("batch_id"), F.max("batch_id")).first()
     # Waves are equal runs of batch numbers, which have no gaps but where a caller leaves them.
     span = 0 if first is None else last - first + 1

@@ -161,6 +161,35 @@ def create_codeframe(
     return build_codeframe(coded, settings.is_multicode, distinct=True)
 
 
+def extend_codeframe(
+    codeframe: DataFrame,
+    responses: DataFrame,
+    categories: Sequence[str],
+    client_factory: Callable[[], ModelClient],
+    settings: CodingSettings = CodingSettings(),
+    ledger_path: str | None = None,
+) -> DataFrame:
+    """``codeframe`` grown by the answers of ``responses`` that it does not hold.
+
+    Batches are cut from the order of the answers, so a codeframe that is built anew from a grown table
+    has other batches, other prompts, and is paid for again. Here known answers are left out before
+    the batches are cut, and only new ones are asked about. Entries that failed or have no code
+    count as new. The codeframe must hold each answer once, as those that are read or built here do.
+    """
+    codes = F.col("categories") if settings.is_multicode else F.array("category")
+    coded = codeframe.where(F.size(F.filter(codes, lambda c: c.isNotNull() & (c != FAILED))) == F.size(codes))
+    if settings.is_multicode:
+        coded = coded.where(F.col("categories").isNotNull())
+    # Used to find what is new and in the result, and computed once.
+    known = materialize(coded.select("response", "categories" if settings.is_multicode else "category"), "known")
+    answers = distinct_responses(clean_responses(responses), keep_empty=False)
+    new = materialize(answers.join(known.select("response"), "response", "left_anti"), "new-answers")
+    batches = make_batches(new, settings.batch_size)
+    allowed = promptable_categories(list(categories))
+    asked = code_batches(batches, allowed, client_factory, settings, ledger_path)
+    return known.unionByName(build_codeframe(asked, settings.is_multicode, distinct=True))
+
+
 def categorize_responses(
     responses: DataFrame,
     codeframe: DataFrame,
