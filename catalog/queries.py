@@ -387,6 +387,29 @@ def apply_all_frequent(spark, sf_dir, broadcast_bytes: int = 128 * 1024 * 1024):
     return categorize(answers, codeframe, PART_CATEGORIES, broadcast_bytes)
 
 
+SLOTS = 2000
+
+
+def apply_all_wide(spark, sf_dir):
+    """Two thousand categories; of each line the places of its indicators that are set, all of them looked at."""
+    # A small file is one task's scan, and thousands of columns are much work for each row.
+    rows = table(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
+    answers = rows.select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
+        F.when(F.col("l_quantity") > 2, F.concat(F.lit("slot "), F.col("l_partkey") * 13 % SLOTS)).alias("r1"),
+    )
+    slot = lambda n: F.concat(F.lit("Slot "), n)
+    number = F.substring("response", 6, 9).cast("long")
+    last = F.when(number % 5 == 0, "Uncategorized").otherwise("Nowhere")
+    codes = F.array(slot(number), F.lit("Nowhere"), slot(number * 7 % SLOTS), last)
+    codeframe = distinct_responses(answers).where("response NOT LIKE '%9'").withColumn("categories", codes)
+    categories = [*(f"Slot {k}" for k in range(SLOTS)), "Uncategorized"]
+    coded = categorize(answers, codeframe, categories)
+    places = F.transform(F.array(*[F.col(f"`{name}_r1`") for name in categories]), lambda x, i: F.when(x == 1, i))
+    found = F.array_join(F.array_compact(places), ",")
+    return coded.select("id", "r1", F.when(F.col("Uncategorized_r1").isNotNull(), found).alias("places"))
+
+
 def failed_query(spark, sf_dir):
     failed = failed_answers(part_codeframe(part_answers(spark, sf_dir), is_multicode=True))
     return failed.select("response", joined("categories"))
@@ -506,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "C5_apply_all_shuffled": apply_all_shuffled,
     "C5_apply_all_shuffled_single": lambda spark, sf_dir: apply_all_shuffled(spark, sf_dir, False),
     "C5_apply_all_frequent": apply_all_frequent,
+    "C5_apply_all_wide": apply_all_wide,
     "C5_apply_all_frequent_shuffled": lambda spark, sf_dir: apply_all_frequent(spark, sf_dir, 0),
     "C6_failed_audit": failed_query,
     "C6_failed_audit_single": failed_single_query,

@@ -420,6 +420,12 @@ ORACLE_SQL: dict[str, str] = {
     "C5_apply_all": PART_APPLIED,
     "C5_apply_all_shuffled": applied((*NOTE_ANSWERS, KEYWORD_CODES), "codes", NOTE_CATEGORIES),
     "C5_apply_all_shuffled_single": applied((*NOTE_ANSWERS, KEYWORD_CODES), "split_part(codes, '|', 1)", NOTE_CATEGORIES),
+    "C5_apply_all_wide": "SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', "
+    "CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, r1, CASE WHEN r1 IS NULL THEN NULL "
+    "WHEN n % 10 = 9 THEN '2000' ELSE concat(CAST(least(n, 7 * n % 2000) AS STRING), CASE WHEN n = 7 * n % 2000 THEN '' "
+    "ELSE concat(',', CAST(greatest(n, 7 * n % 2000) AS STRING)) END, CASE WHEN n % 5 = 0 THEN ',2000' ELSE '' END) END AS places "
+    "FROM (SELECT *, l_partkey * 13 % 2000 AS n, CASE WHEN l_quantity > 2 THEN concat('slot ', CAST(l_partkey * 13 % 2000 AS "
+    "STRING)) END AS r1 FROM lineitem) AS slots",
     "C5_apply_all_frequent": applied((LINE_ROWS, LONG, DISTINCT, ANSWERS, LINE_CODES), "codes", PART_CATEGORIES),
     "C5_apply_all_frequent_shuffled": applied(
         (LINE_ROWS, LONG, DISTINCT, ANSWERS, LINE_CODES), "codes", PART_CATEGORIES

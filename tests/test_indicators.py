@@ -162,6 +162,41 @@ def test_large_codeframe_spreads_a_hot_answer(spark, tmp_path):
     assert max(sizes) < 2 * 60_000 / 8
 
 
+def test_the_shuffles_of_a_large_codeframe_do_not_grow_with_the_response_columns(spark):
+    """Only digests meet the masks, and a row is moved once."""
+    counts = []
+    for width in (2, 5):
+        df, rows, columns = table_of(spark, width, seed=width)
+        coded = categorize(df, codeframe(spark, CODES), WIDE, broadcast_bytes=0)
+        counts.append(executed_plan(coded).count("Exchange "))
+        want = {r[0]: tuple(r) + tuple(v for a in r[1:] for v in replayed(a, WIDE)) for r in rows}
+        assert {r[0]: tuple(r) for r in coded.collect()} == want
+    assert counts[0] == counts[1] <= 4
+
+
+def test_a_hot_answer_in_many_columns_is_spread(spark, tmp_path):
+    df, codes = skewed(spark, tmp_path)
+    df = df.select("id", "r", F.col("r").alias("q"), F.lit("hot").alias("p"))
+    coded = categorize(df, codes, ["A", "B", "Uncategorized"], broadcast_bytes=0)
+    counts = {tuple(r)[:3]: r[3] for r in coded.groupBy("B_r", "A_q", "B_p").count().collect()}
+    assert counts == {(1, 0, 1): 20_000, (0, 1, 1): 20_000, (None, None, 1): 20_000}
+
+
+def test_the_plan_of_masks_is_the_same_for_thousands_of_categories(spark):
+    codes = codeframe(spark, {"a": ["C7", "C1999", "Nope"], "b": ["Uncategorized", "C0"], "c": ["C0", "Uncategorized", "Nope"]})
+    plans = []
+    for n in (3, 2000):
+        names = [f"C{k}" for k in range(n)] + ["Uncategorized"]
+        masks = indicators.code_masks(codes, names)
+        plans.append(masks._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        found = {
+            r.response: {62 * w + b for w, word in enumerate(r.mask) for b in range(62) if word >> b & 1} for r in masks.collect()
+        }
+        want = {"a": {7, 1999}, "b": {0}, "c": {0, n}}
+        assert found == {k: {p for p in v if p <= n} for k, v in want.items() if k != "a" or n > 3}
+    assert plans[0] == plans[1]
+
+
 def hot(spark, df):
     return indicators.hot_digests(df, 8)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,44 +54,42 @@ def _default_masks(categories: list[str]) -> list[int]:
 
 
 def code_masks(codeframe: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """``(response, mask_0, ..)``: the indicators of each coded answer as bits.
+    """``(response, mask)``: the indicators of each coded answer as bits, in an array of words.
 
     Codes are worked out here, once per distinct answer, so that applying them to
-    the response table is a join and a shift. Codes outside ``categories`` do not
+    the response table is a join and a shift. They are looked up in a table of the categories, so the
+    plan is the same for three of them and for thousands. Codes outside ``categories`` do not
     count, and answers left without any code are dropped, as they are coded like
     an unknown answer; so is an entry for the empty answer. The helper category is set only when it comes last.
+    An answer with two entries would double rows, and is an error instead; codeframes
+    that were read or built here are already grouped by answer for this check.
     """
     names = _unique(categories)
-    known = F.filter("codes", lambda c: c.isin(names))
-    lists = _code_lists(codeframe).where(F.col("response") != "")
-    lists = lists.withColumn("codes", known).where(F.size("codes") > 0)
+    lists = _code_lists(codeframe).where(F.col("response") != "").groupBy("response")
+    lists = lists.agg(F.count(F.lit(1)).alias("entries"), F.first("codes").alias("codes"))
+    repeated = F.raise_error(F.concat(F.lit("answer coded more than once: "), F.col("response")))
+    lists = lists.select("response", F.when(F.col("entries") == 1, F.col("codes")).otherwise(repeated.cast("array<string>")).alias("codes"))
+    # As many rows as there are output columns.
+    places = codeframe.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "code string, place int")
+    found = lists.select("response", F.posexplode("codes").alias("rank", "code")).join(F.broadcast(places), "code")
+    coded = found.groupBy("response").agg(F.collect_set("place").alias("places"), F.max_by("place", "rank").alias("last"))
+    helper = names.index(UNCATEGORIZED)
+    given = F.when(F.col("last") == helper, F.col("places")).otherwise(F.array_remove("places", helper))
+    coded = coded.select("response", given.alias("places"))
 
-    def bit(position: int, name: str) -> Column:
-        last = F.element_at("codes", -1) == name
-        given = last if name == UNCATEGORIZED else F.array_contains("codes", name)
-        return F.when(given, F.lit(1 << position % WORD_BITS)).otherwise(F.lit(0)).cast("long")
+    def word(w: Column) -> Column:
+        own = F.filter("places", lambda place: F.floor(place / WORD_BITS) == w)
+        one = F.lit(1).cast("long")
+        bits = F.transform(own, lambda place: F.call_function("shiftleft", one, place % WORD_BITS))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda mask, bit: mask.bitwiseOR(bit))
 
-    bits = [bit(i, name) for i, name in enumerate(names)]
-    words = [bits[i : i + WORD_BITS] for i in range(0, len(bits), WORD_BITS)]
-    masks = [reduce(Column.bitwiseOR, word).alias(f"mask_{w}") for w, word in enumerate(words)]
-    return lists.select("response", *masks)
+    words = F.sequence(F.lit(0), F.lit((len(names) - 1) // WORD_BITS))
+    return coded.select("response", F.transform(words, word).alias("mask"))
 
 
 def _written_masks(codeframe: DataFrame, categories: list[str]) -> DataFrame:
-    """The masks as a written table.
-
-    An answer with two entries would double rows, and is an error instead;
-    codeframes that were read or built here are already grouped by answer for
-    this check.
-    """
-    masks = code_masks(codeframe, categories)
-    words = masks.columns[1:]
-    counted = masks.groupBy("response").agg(
-        F.count(F.lit(1)).alias("_entries"), *[F.first(word).alias(word) for word in words]
-    )
-    repeated = F.raise_error(F.concat(F.lit("answer coded more than once: "), F.col("response")))
-    checked = F.when(F.col("_entries") == 1, F.col(words[0])).otherwise(repeated.cast("long"))
-    return materialize(counted.select("response", checked.alias(words[0]), *words[1:]), "code-masks")
+    """The masks as a written table."""
+    return materialize(code_masks(codeframe, categories), "code-masks")
 
 
 def hot_digests(answers: DataFrame, partitions: int) -> list[int]:
@@ -110,7 +107,7 @@ def hot_digests(answers: DataFrame, partitions: int) -> list[int]:
 
 
 def _broadcast_lookup(df: DataFrame, name: str, masks: DataFrame, suffix: str) -> DataFrame:
-    """Left join one response column to its masks, as ``mask_<w>_<suffix>``."""
+    """Left join one response column to its masks, as ``mask_<suffix>``."""
     key = f"_key_{suffix}"
     side = masks.withColumnsRenamed({c: key if c == "response" else f"{c}_{suffix}" for c in masks.columns})
     return df.join(F.broadcast(side), column(name) == F.col(key), "left").drop(key)
@@ -145,6 +142,33 @@ def _shuffled_lookup(
     return df.join(side.hint("merge"), same, "left").drop(key, side_place, "_place")
 
 
+def _narrow_lookup(
+    df: DataFrame, response_columns: Sequence[str], masks: DataFrame, partitions: int
+) -> tuple[DataFrame, list[Column]]:
+    """All response columns looked up at once: only digests meet the masks, and a row is moved once.
+
+    The rows are written with a number. Their answers become a long table of (row, column, digest), which is
+    joined to the masks by digest as one response column is; the masks found come back
+    as one entry per row, to which the row is joined by its number.
+    """
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "responses")
+    digests = [F.when(column(name) != "", F.md5(column(name))).alias(f"c{i}") for i, name in enumerate(response_columns)]
+    wide = df.select("_row", *digests)
+    hot = hot_digests(wide, partitions)
+    long = unpivot_responses(wide)
+    side = masks.select(F.md5("response").alias("response"), "mask")
+    found = _shuffled_lookup(long, "response", side, "found", hot, partitions, ["_row", "response_column"])
+    found = found.where(F.col("mask_found").isNotNull()).groupBy("_row").agg(
+        *[
+            F.max(F.when(F.col("response_column") == f"c{i}", F.col("mask_found"))).alias(f"_mask_c{i}")
+            for i in range(len(response_columns))
+        ]
+    )
+    # One row per number on both sides; measured as too large to broadcast.
+    joined = df.join(found.hint("merge"), "_row", "left").drop("_row")
+    return joined, [F.col(f"_mask_c{i}") for i in range(len(response_columns))]
+
+
 def _with_masks(
     df: DataFrame,
     response_columns: Sequence[str],
@@ -152,33 +176,39 @@ def _with_masks(
     categories: list[str],
     broadcast_bytes: int,
     spread_by: Sequence[str],
-) -> tuple[DataFrame, dict[str, list[Column]]]:
-    """``df`` joined to the codeframe, and the mask columns of each response column.
+) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` joined to the codeframe, and the mask column of each response column.
 
     The codeframe is turned into masks, written once and measured. While it fits,
     each response column is one broadcast hash join and ``df`` is never shuffled.
     Beyond that rows meet their codes by a shuffle, in which the few very frequent
-    answers, and missing and empty ones, are spread evenly over all tasks.
+    answers, and missing and empty ones, are spread evenly over all tasks; of several response
+    columns only digests are shuffled for that, and the rows once, however many columns there are.
     """
     masks = _written_masks(codeframe, categories)
-    words = [c for c in masks.columns if c.startswith("mask_")]
     small = measured_bytes(masks) <= broadcast_bytes
-    hot, spread = None, STREAM_SPREAD
     if not small and not df.isStreaming:
         spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if len(response_columns) > 1:
+            df, found = _narrow_lookup(df, response_columns, masks, spread)
+            return df, dict(zip(response_columns, found))
         hot = hot_digests(df.select(F.lit(0).alias("_id"), *[column(c) for c in response_columns]), spread)
-    found: dict[str, list[Column]] = {}
+    else:
+        hot, spread = None, STREAM_SPREAD
     for i, name in enumerate(response_columns):
         if small:
             df = _broadcast_lookup(df, name, masks, f"c{i}")
         else:
             df = _shuffled_lookup(df, name, masks, f"c{i}", hot, spread, spread_by)
-        found[name] = [F.col(f"{word}_c{i}") for word in words]
-    return df, found
+    return df, {name: F.col(f"mask_c{i}") for i, name in enumerate(response_columns)}
+
+
+def _indicator(word: Column, place: int) -> Column:
+    return F.shiftright(word, place % WORD_BITS).bitwiseAND(F.lit(1))
 
 
-def _indicator(mask_words: Sequence[Column], place: int) -> Column:
-    return F.shiftright(mask_words[place // WORD_BITS], place % WORD_BITS).bitwiseAND(F.lit(1))
+def _word(mask: Column, place: int) -> Column:
+    return F.get(mask, F.lit(place // WORD_BITS))
 
 
 def categorize(
@@ -205,13 +235,13 @@ def categorize(
         name: [f"_mask_{i}_{w}" for w in range(len(defaults))] for i, name in enumerate(response_columns)
     }
     full = [
-        F.when(column(name).isNotNull(), F.coalesce(mask, F.lit(default))).alias(alias)
+        F.when(column(name).isNotNull(), F.coalesce(F.get(found[name], F.lit(w)), F.lit(default))).alias(held[name][w])
         for name in response_columns
-        for mask, default, alias in zip(found[name], defaults, held[name])
+        for w, default in enumerate(defaults)
     ]
     kept = [column(c) for c in df.columns]
     indicators = [
-        _indicator([F.col(alias) for alias in held[name]], place).alias(indicator_name(category, name))
+        _indicator(F.col(held[name][place // WORD_BITS]), place).alias(indicator_name(category, name))
         for name in response_columns
         for place, category in enumerate(names)
     ]
@@ -255,7 +285,7 @@ def apply_codes(
     place = {c: i for i, c in enumerate(names)}
 
     def updated(name: str) -> Column:
-        bit = _indicator(found[response_column], place[own[name]])
+        bit = _indicator(_word(found[response_column], place[own[name]]), place[own[name]])
         change = bit.isNotNull() if own[name] == UNCATEGORIZED else bit == 1
         return F.when(change, bit).otherwise(column(name)).alias(name)
 
