@@ -49,7 +49,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote by ``scratch_path``, once no result is read from it any more."""
+    """Delete what this application wrote by ``scratch_path``, once no result is read from it any more.
+
+    Tables that were registered for their buckets are dropped too; those of other applications
+    in the same catalog, which lie in folders of their own, stay.
+    """
+    for table in spark.catalog.listTables(pattern="themeloom_*"):
+        details = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table.name)}").where("col_name = 'Location'").first()
+        if details and f"/themeloom/{spark.sparkContext.applicationId}/" in details.data_type:
+            spark.sql(f"DROP TABLE {quoted(table.name)}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
