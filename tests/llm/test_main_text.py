@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -118,3 +119,34 @@ def test_edges_and_links_of_an_unmarked_story_stay():
     assert main_text(page(cards)) == "\n".join([*long[:6], "A card.", *long[:6]])
     posts = "<p>Next post</p>".join(f"<article><p>{line}</p></article>" for line in long[:3])
     assert main_text(page(posts)) == "\nNext post\n".join(long[:3])
+
+
+STORY = ["The council met on Monday and spoke at length about the bridge over the river. " * 2] * 3
+
+
+def _told(name, value):
+    inner = "".join(f"<p>{text}</p>" for text in STORY)
+    return f"<body><nav><a href=/>Home</a></nav><{name} class='{value}'>{inner}</{name}><div class='ad-slot'>Buy now</div></body>"
+
+
+def test_a_word_of_a_longer_class_does_not_lose_the_story():
+    want = "\n".join(text.strip() for text in STORY)
+    for name, value in (("div", "layout-with-sidebar"), ("div", "has-sidebar"), ("section", "social-science"), ("div", "page no-banner")):
+        assert main_text(_told(name, value)) == want
+    # The words themselves, and comments however heavy, are no article.
+    for value in ("sidebar", "comment-list", "comments"):
+        page = _told("div", value).replace("</nav>", "</nav><div>" + "".join(f"<p>{text}</p>" for text in STORY[:1]) + "</div>")
+        assert main_text(page) == STORY[0].strip()
+
+
+def test_light_blocks_in_doubt_go():
+    parts = [f"<p>{text}</p>" for text in STORY]
+    page = f"<div class='with-sidebar'>{parts[0]}<div class='newsletter-box'><p>Write to us every week.</p></div>{''.join(parts[1:])}</div>"
+    assert main_text(page) == "\n".join(text.strip() for text in STORY)
+
+
+def test_many_unclosed_tags_take_linear_time():
+    page = "<b>" * 100_000 + "</i>" * 100_000 + "<p>" + STORY[0]
+    begun = time.process_time()
+    assert main_text(page) == STORY[0].strip()
+    assert time.process_time() - begun < 5

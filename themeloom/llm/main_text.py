@@ -4,7 +4,8 @@ The markup of a page is cut into lines, one per block element, in page order. A
 line weighs as many characters as its text has outside of links. Lines of parts that
 never belong to an article (navigation, headers, footers, sidebars, forms, adverts,
 notices, comments and the like, known by element, role or class) are taken out
-before. The weights are summed over a sliding window of lines. The text begins
+before. A block that only shares a word with them in a longer class ("has-sidebar")
+goes where it weighs less than half of the page. The weights are summed over a sliding window of lines. The text begins
 where the sum surges past a threshold, and before that with the short lines next to it
 (title, author, date), and ends where it dives to nothing. Stretches that only a few
 lines of links part, or a part lighter than either, are one. The heaviest is the
@@ -27,6 +28,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 WINDOW = 3  # lines in the sliding window
 SURGE = 80  # characters in the window where the text begins
 PARTING = 2 * WINDOW  # lines of links that never part a text
+MOST_DOUBTS = 32  # elements in doubt around a line; one within more of them is in no more doubt than these
 
 # Elements of HTML.
 BLOCKS = set(
@@ -54,6 +57,7 @@ CLASS_WORDS = set(
     "popup promo promotion related share sharing sidebar skip social sponsor sponsored subscribe subscription "
     "toolbar widget".split()
 )
+COMMENT = {"comment", "comments"}
 # An element opened next to an open one of the same kind closes that one first.
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -70,29 +74,52 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for nam
 _SPACE = re.compile(r"\s+")
 
 
-def never_article(name: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element is of a kind that holds no main text; an article may have a header of its own."""
+NO, MAYBE, YES = range(3)
+
+
+def never_article(name: str, rest: str, inside_article: bool) -> int:
+    """Whether an element is of a kind that holds no main text; an article may have a header of its own.
+
+    A class that is one of the words, or begins with ``comment``, says so. A block with the word
+    beside others ("has-sidebar", "social-science") may hold it: what it weighs decides.
+    """
     if name in NEVER and not (name == "header" and inside_article):
-        return True
+        return YES
     if not rest:
-        return False
+        return NO
+    found = NO
     for key, *values in _ATTRIBUTE.findall(rest):
         value = "".join(values).lower()
-        words = set(re.split(r"[^a-z0-9]+", value))
-        if key.lower() != "role" and name in ARTICLE:
+        if name in ("body", "html"):
+            continue
+        if key.lower() == "role":
+            if ROLES & set(re.split(r"[^a-z0-9]+", value)):
+                return YES
+            continue
+        whole = set(value.split())
+        parts = {w: re.split(r"[^a-z0-9]+", w) for w in whole}
+        if name in ARTICLE:
             # What it is comes first ("comment-body"); "has-sidebar" or the "sidebar-left" of a main are about its place.
-            words = {w if name == "main" else re.split(r"[^a-z0-9]+", w)[0] for w in value.split()}
-        if words & ROLES if key.lower() == "role" else words & CLASS_WORDS:
-            return name not in ("body", "html")
-    return False
+            if CLASS_WORDS & (whole if name == "main" else {words[0] for words in parts.values()}):
+                return YES
+        elif CLASS_WORDS & (whole | {words[0] for words in parts.values() if words[0] in COMMENT}):
+            return YES
+        elif any(CLASS_WORDS.intersection(words) for words in parts.values()):
+            if name not in BLOCKS:
+                return YES
+            found = MAYBE
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Lines as (text, characters outside of links, whether in a marked article), without the never-article parts."""
     lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    doubts: list[tuple[int, ...]] = []
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     words: list[str] = []
-    dropped = articles = links = linked = 0
+    in_doubt: tuple[int, ...] = ()
+    dropped = articles = links = linked = n_doubts = 0
     at = 0
 
     def end_line() -> None:
@@ -101,13 +128,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if text:
             # A line that is mostly links is a menu.
             lines.append((text, len(text) - linked if 2 * linked < len(text) else 0, articles > 0))
+            doubts.append(in_doubt)
         words.clear()
         linked = 0
 
     def pop() -> str:
-        nonlocal dropped, articles, links
+        nonlocal dropped, articles, links, in_doubt
         name, never = stack.pop()
-        dropped -= never
+        opened[name] -= 1
+        dropped -= never == YES
+        if never == MAYBE:
+            in_doubt = in_doubt[:-1]
         articles -= name in ARTICLE
         links -= name == "a"
         return name
@@ -141,20 +172,36 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in BLOCKS and not dropped:
             end_line()
         if match["close"]:
-            if any(name == open_name for open_name, _ in stack):
+            if opened[name]:
                 while pop() != name:
                     pass
         elif name not in VOID and not match["rest"].endswith("/"):
             if name in CLOSES_ITSELF and stack and stack[-1][0] == name:
                 pop()
             never = never_article(name, match["rest"], articles > 0)
+            if never == MAYBE and len(in_doubt) == MOST_DOUBTS:
+                never = NO
             stack.append((name, never))
-            dropped += never
+            opened[name] += 1
+            dropped += never == YES
+            if never == MAYBE:
+                in_doubt, n_doubts = (*in_doubt, n_doubts), n_doubts + 1
             articles += name in ARTICLE
             links += name == "a"
     if not dropped:
         end_line()
-    return lines
+    return settled(lines, doubts)
+
+
+def settled(lines: list[tuple[str, int, bool]], doubts: list[tuple[int, ...]]) -> list[tuple[str, int, bool]]:
+    """The lines without those of elements in doubt that hold less than half of what the page's lines weigh."""
+    weights: Counter[int] = Counter()
+    for (_, n, _), within in zip(lines, doubts):
+        for doubt in within:
+            weights[doubt] += n
+    total = sum(n for _, n, _ in lines)
+    light = {doubt for doubt, n in weights.items() if 2 * n < total or not n}
+    return [line for line, within in zip(lines, doubts) if light.isdisjoint(within)]
 
 
 def stretches_of(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int, int]]:
