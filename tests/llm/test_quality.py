@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from themeloom.llm import quality
 from themeloom.llm.quality import count_text, grams_of, judge_quality
 from themeloom.llm.queries import op8_quality_rules
 from tests.llm import brute
@@ -88,3 +90,15 @@ def test_odd_rows_and_labels(spark):
         alone = judge_quality(df, few).collect()
         assert all(r.kept != r.base_failed and r.probability is None for r in alone)
     assert judge_quality(df.limit(0), labels).count() == 0
+
+
+def test_a_labelled_id_that_repeats_brings_one_text(spark, monkeypatch):
+    fitted = []
+    platt = quality._platt
+    monkeypatch.setattr(quality, "_platt", lambda z, target, weight: fitted.append(len(target)) or platt(z, target, weight))
+    rows = [(k, f"good words number {k}" if k % 2 else f"bad noise {k} $$$") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    many = docs.union(docs.where("doc_id = 1").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("again"))
+    once, again = (quality.train(some, labels, 10) for some in (docs, many))
+    assert fitted == [7, 7] and np.array_equal(once.weights, again.weights)

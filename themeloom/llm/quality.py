@@ -242,8 +242,10 @@ def train(
     for quality in (0, 1):
         some = rated.where(F.col("quality") == quality).orderBy(*order).limit(rows_per_class)
         sample = some if sample is None else sample.unionByName(some)
-    # The sample has at most two times rows_per_class ids.
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # The sample has at most two times rows_per_class rows, and each brings one text however often its id repeats.
+    asked = F.broadcast(sample.select("doc_id").distinct())
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
+    texts = found.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(sample), "doc_id")
     features = map_texts(texts.select("doc_id", "quality", "text"), _feature_task, FEATURE_SCHEMA)
     found = features.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     target = np.array(found.column("quality").to_pylist(), dtype=np.float64)
