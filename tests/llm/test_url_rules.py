@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from themeloom.llm.url_rules import RULE_SCHEMA, RULES, judge_urls
+from themeloom.llm.url_rules import RULE_SCHEMA, RULES, _probes, judge_urls
 from tests.llm import brute
 
 
@@ -59,3 +60,14 @@ def test_odd_urls(spark):
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
     assert judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_probes_end_at_the_longest_rule(spark):
+    host = ".".join(["a"] * 10_000) + ".example.org"
+    places = spark.createDataFrame([(host, "/es/1"), ("", "/"), ("x.fr", "/")], "host string, path string")
+    assert _probes(places, 2).groupBy("host").count().agg(F.max("count")).first()[0] == 2
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    (found,) = judge_urls(spark.createDataFrame([(1, f"https://{host}/es/1")], "page_id long, url string"), rules).collect()
+    assert (found.rule, found.verdict) == ("example.org/es/", "block")
+    none = judge_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), rules.limit(0)).collect()
+    assert [(r.host, r.rule, r.verdict) for r in none] == [("a.b", None, "allow")]

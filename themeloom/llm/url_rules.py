@@ -3,7 +3,7 @@
 A rule ``host/path`` holds for its host and all subdomains where the url's path starts
 with the rule's. With the host's labels reversed a key ``org.example/es/`` turns such
 a rule into an interval of keys: all that start with it. A url has one probe key
-per level of its host (``org/..``, ``org.example/..``), so the rules that fit are those
+per level of its host (``org/..``, ``org.example/..``) up to the most labels of any rule, so the rules that fit are those
 whose interval holds one of its probes. Rules and probes are dealt out by ranges of
 keys; in each range one sweep over the sorted keys keeps the nested rules that are
 open on a stack, and the top of the stack is the longest rule for a probe. The
@@ -60,9 +60,13 @@ def _reversed(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def _probes(places: DataFrame) -> DataFrame:
-    """One row per place and level of its host: ``host, path, key`` with a salt behind the key."""
-    labels = F.reverse(F.split("host", r"\.", -1))
+def _labels(host: str) -> Column:
+    return F.split(host, r"\.", -1)
+
+
+def _probes(places: DataFrame, most: int) -> DataFrame:
+    """One row per place and level of its host, up to ``most``: ``host, path, key`` with a salt behind the key."""
+    labels = F.slice(F.reverse(_labels("host")), 1, most)
     level = F.explode(F.sequence(F.lit(1), F.size(labels)))
     salt = F.lpad(F.hex(F.xxhash64("host", "path")), 16, "0")
     return (
@@ -112,7 +116,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col("url"))
     places = pages.select("page_id", host.alias("host"), path.alias("path"))
-    probes = _probes(places.where("host != ''").select("host", "path").distinct())
+    # No rule fits by more labels than the longest has.
+    most = rules.agg(F.max(F.size(_labels("host")))).first()[0] or 1
+    probes = _probes(places.where("host != ''").select("host", "path").distinct(), most)
     sample = probes.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS)
     keys = sorted(row.key for row in sample.collect())
     bounds = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
