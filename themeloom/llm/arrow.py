@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,24 @@ BATCH_LIMITS = {
 }
 
 
+# Parameters of the C library's ``mallopt``.
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+
+
+@functools.lru_cache(maxsize=1)
+def _settle() -> None:
+    """Large arrays of this Python worker go back to the system when they are freed, not when the worker ends.
+
+    Left alone, the C library raises its threshold to what was freed last and keeps such
+    arrays in its heap, and Arrow's own pool keeps what it had at its peak.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option:
+        set_option(_MMAP_THRESHOLD, 1 << 20)
+        set_option(_ARENA_MAX, 2)
+
+
 def _give_back() -> None:
     """Return freed memory to the system; a Python worker serves many tasks of many operators."""
     pa.default_memory_pool().release_unused()
@@ -26,12 +45,36 @@ def _give_back() -> None:
         trim(0)
 
 
-def map_texts(rows: DataFrame, task, schema) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts; the session keeps these settings."""
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What a Python worker keeps from one task to the next of the same operator, made when it is first asked for."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def _let_go(keeps) -> None:
+    others = [name for name in _HELD if name not in keeps]
+    for name in others:
+        del _HELD[name]
+    if others:
+        _give_back()
+
+
+def map_texts(rows: DataFrame, task, schema, keeps=()) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long texts; the session keeps these settings.
+
+    Whatever a worker holds under names other than ``keeps`` it lets go first, so that a
+    worker never carries the tables of several operators.
+    """
     for name, limit in BATCH_LIMITS.items():
         rows.sparkSession.conf.set(name, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle()
+        _let_go(keeps)
         try:
             yield from task(batches)
         finally:

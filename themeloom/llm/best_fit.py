@@ -172,7 +172,7 @@ def pack_matrix(
     def run(batches):
         return _matrix_task(batches, path, end_id, pad_id, window, chunk_bytes)
 
-    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA, keeps=(path,))
 
 
 def write_matrix(rows: DataFrame, folder: str) -> None:

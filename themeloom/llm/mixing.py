@@ -35,11 +35,11 @@ import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom.llm.arrow import blobs, cut_by_bytes, map_texts
 from themeloom.tables import column
@@ -237,31 +237,30 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of the documents that are drawn, with all their columns; with ``repeats``, each as often as its copies."""
     spark = documents.sparkSession
-    names = [f"mixing {name}" for name in DIMENSIONS]
+    mark = "mixing"
+    while any(c.lower().startswith(mark) for c in documents.columns):
+        mark += "_"
+    *names, rate, number = (f"{mark} {name}" for name in (*DIMENSIONS, "rate", "copies"))
     table = spark.createDataFrame(
         [(*row[:3], row[5] if repeats else row[4]) for row in mixing_table(cells_of(documents), targets, budget)],
-        ", ".join(f"`{name}` string" for name in names) + ", `mixing rate` double",
+        ", ".join(f"`{name}` string" for name in names) + f", `{rate}` double",
     )
 
-    @F.pandas_udf("string")
-    def topic_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def with_topic(batches):
         counter = TopicCounter()
-        for batch in batches:
-            texts = [None if text is None else text.encode() for text in batch]
-            yield pd.Series([str(t) for t in counter.count(texts)[1].tolist()], dtype=object)
-
-    keyed = documents.select(
-        *[column(c) for c in documents.columns],
-        grouped("source", targets["source"]).alias(names[0]),
-        grouped("lang", targets["lang"]).alias(names[1]),
-        topic_of("text").alias(names[2]),
+        for batch in cut_by_bytes(batches, "text", 2 << 20):
+            topics = counter.count(blobs(batch.column("text")))[1]
+            yield batch.append_column(names[2], pa.array([str(t) for t in topics.tolist()], pa.string()))
+
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[2], T.StringType())])
+    keyed = map_texts(documents, with_topic, schema).withColumns(
+        {names[0]: grouped("source", targets["source"]), names[1]: grouped("lang", targets["lang"])}
     )
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # One row per cell, bounded by the targets.
     found = keyed.join(F.broadcast(table), names)
     if not repeats:
-        return found.where(draw < column("mixing rate")).select(*[column(c) for c in documents.columns])
-    copies = drawn_copies(draw, column("mixing rate"))
-    found = found.withColumn("mixing copies", copies).where(column("mixing copies") > 0)
-    found = found.withColumn("mixing copy", F.explode(F.sequence(F.lit(1).cast("long"), column("mixing copies"))))
+        return found.where(draw < column(rate)).select(*[column(c) for c in documents.columns])
+    found = found.withColumn(number, drawn_copies(draw, column(rate))).where(column(number) > 0)
+    found = found.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), column(number))))
     return found.select(*[column(c) for c in documents.columns])

@@ -213,4 +213,4 @@ def pack_documents(
     def run(batches):
         return _pack_task(batches, path, end_id, window, chunk_bytes)
 
-    return map_texts(documents.select("doc_id", "text"), run, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), run, SCHEMA, keeps=(path,))

@@ -33,7 +33,6 @@ import itertools
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.arrow import blobs, map_texts
+from themeloom.llm.arrow import blobs, held, map_texts
 from themeloom.llm.minhash import mixed
 from themeloom.tables import column, materialize, quoted, scratch_path
 
@@ -61,7 +60,11 @@ _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(20260102).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=2)
+POWERS = "powers"
+KEEPS = (POWERS,)
+SLICE_ROOM = 1 << 20  # a slice and the rest of its last string
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 2**64)
     return np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
@@ -71,7 +74,8 @@ class Names:
     """Fingerprints of any stretch of a buffer in constant time."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(1 << max(20, (len(data) - 1).bit_length()))
+        n = 1 << (len(data) - 1).bit_length()
+        up, self.down = _powers(n) if n > SLICE_ROOM else held(POWERS, lambda: _powers(SLICE_ROOM))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_LETTERS[data] * up[: len(data)], out=self.sums[1:])
 
@@ -460,7 +464,7 @@ def _round(blocks: DataFrame, kind: str, keys_of: Callable[[Rounds, dict], Entri
     def judge(batches):
         return _judge_task(batches, kind)
 
-    sent = map_texts(blocks, send, KEY_SCHEMA)
+    sent = map_texts(blocks, send, KEY_SCHEMA, KEEPS)
     ranges = sent.repartition("part").sortWithinPartitions("part")
     return materialize(map_texts(ranges, judge, REPLY_SCHEMA), kind)
 
@@ -551,7 +555,7 @@ def remove_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    return map_texts(repeats.rows, cut, CUT_SCHEMA)
+    return map_texts(repeats.rows, cut, CUT_SCHEMA, KEEPS)
 
 
 def documents_without_repeats(documents: DataFrame, threshold: int = 50) -> DataFrame:
@@ -588,5 +592,5 @@ def documents_without_repeats(documents: DataFrame, threshold: int = 50) -> Data
     out = documents.select(
         *[F.col("doc_id").cast("long").alias("doc_id") if name == "doc_id" else column(name) for name in names]
     ).schema
-    found = map_texts(repeats.rows, cut, out)
+    found = map_texts(repeats.rows, cut, out, KEEPS)
     return found.select(*[found[quoted(n)].cast(id_type).alias(n) if n == "doc_id" else column(n) for n in names])

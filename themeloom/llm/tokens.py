@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 
@@ -10,6 +9,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from themeloom.llm.arrow import held
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -127,7 +128,9 @@ class WordEncoder:
         return ids, begins
 
 
-@functools.lru_cache(maxsize=1)
 def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of a Python worker, which serves many tasks: the words of one are known to the next."""
-    return WordEncoder(path)
+    """The encoder of a Python worker, which serves many tasks: the words of one are known to the next.
+
+    A task of an operator that does not name it in ``keeps`` lets it go.
+    """
+    return held(path, lambda: WordEncoder(path))
