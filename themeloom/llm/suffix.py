@@ -51,6 +51,7 @@ BLOCK_ROWS = 60_000  # documents of a block are numbered in 16 bits
 SLICE_BYTES = (1 << 20) - 4096
 RANGE_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
+RANGES_PER_TASK = 8
 
 BLOCK_SCHEMA = "block string, n_bytes long, doc_ids binary, known binary, sizes binary, data binary, others binary"
 KEY_SCHEMA = "part int, block string, keys binary, docs binary, which binary"
@@ -153,7 +154,8 @@ def runs_of(block: Block, threshold: int) -> Runs:
         lasts = np.append(begins[1:], len(name)) - 1
         first, last = place[begins], place[lasts]
         whole = names.at(first, last + threshold) + (last - first).astype(np.uint64)
-        found.append((name[begins], whole, first + at, last + at, doc[begins]))
+        # Least names crowd at the low end; scrambled one to one they fill the key ranges evenly.
+        found.append((mixed(name[begins]), whole, first + at, last + at, doc[begins]))
     if not found:
         return Runs(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)))
     return Runs(*map(np.concatenate, zip(*found)))
@@ -465,7 +467,9 @@ def _round(blocks: DataFrame, kind: str, keys_of: Callable[[Rounds, dict], Entri
         return _judge_task(batches, kind)
 
     sent = map_texts(blocks, send, KEY_SCHEMA, KEEPS)
-    ranges = sent.repartition("part").sortWithinPartitions("part")
+    spark = blocks.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(parts / RANGES_PER_TASK))
+    ranges = sent.repartition(tasks, "part").sortWithinPartitions("part")
     return materialize(map_texts(ranges, judge, REPLY_SCHEMA), kind)
 
 
