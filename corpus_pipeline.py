@@ -33,8 +33,8 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the targets of source, language and topic, each at most once, so rare cells stay below them."""
-    return mixed_documents(docs)
+    """Documents drawn by the targets of source, language and topic, as often as holds them; rows of rare cells repeat."""
+    return mixed_documents(docs, repeats=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
