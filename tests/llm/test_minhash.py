@@ -111,19 +111,6 @@ def test_tile_links_span_the_links():
     assert len(links) == 11
 
 
-def test_tile_links_of_distant_signatures():
-    """Signatures that agree nowhere hide no link."""
-    rng = np.random.default_rng(3)
-    first = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
-    second = np.sort(np.concatenate([first[20:], rng.integers(0, 2**64, 20, dtype=np.uint64)]))
-    other = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
-    sets = [first, other, second]
-    apart = np.arange(3, dtype="<u2")[:, None] * np.ones(minhash.HASHES, "<u2")
-    for blocks in ([0, 0, 0], [0, 1, 1]):
-        assert tile_links([7, 8, 9], np.array(blocks), [7, 8, 9], apart, sets, 80) == [(7, 9)]
-    assert tile_links([7, 8, 9], np.array([0, 1, 0]), [7, 8, 9], apart, sets, 80) == []
-
-
 def test_rows_that_repeat_with_one_id_are_one(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "y"), (1, "other words here", "x"), (2, "A b c", "x"), (3, None, "x"),
             (3, None, "x"), (3, "", "x"), (None, "a b c", "x"), (None, "a b c", "x")]

@@ -46,10 +46,8 @@ from themeloom.tables import column, materialize
 HASHES = 84
 CHUNK = 7
 ERRORS = 1
-# Pairs up to this distance are confirmed first, nearest first; those beyond it that are not linked by then follow.
-NEAR_DISTANCE = 35
-# Parts of the hash range in which shingles are counted to bound what two sets have in common.
-PARTS = 1024
+# Confirmation looks at pairs up to this distance; at similarity 0.8 one in a million lies beyond.
+MOST_DISTANCE = 35
 # Rows and bytes of sets in one block of a group.
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 24 << 20
@@ -214,7 +212,7 @@ def tile_links(nodes, blocks, groups, signatures, sets, percent: int) -> list[tu
     near: list[np.ndarray] = []
     for k in range(len(nodes) - 1):
         distance = (signatures[k + 1 :] != signatures[k]).sum(axis=1)
-        close = distance <= NEAR_DISTANCE
+        close = distance <= MOST_DISTANCE
         if two:
             close &= blocks[k + 1 :] != blocks[k]
         others = np.flatnonzero(close)
@@ -228,28 +226,6 @@ def tile_links(nodes, blocks, groups, signatures, sets, percent: int) -> list[tu
             if x != y and similar(sets[a], sets[b], percent):
                 root[x] = y
                 links.append((nodes[a], nodes[b]))
-    group_of = np.array([find(k) for k in range(len(nodes))])
-    if (group_of == group_of[0]).all():
-        return links
-    # What is still apart: pairs whose sets could be similar by what they hold in each part of the hash range.
-    sizes = np.array([len(s) for s in sets])
-    held = np.stack([np.bincount((s // np.uint64(2**64 // PARTS)).astype(np.int64), minlength=PARTS) for s in sets])
-    held = held.astype(np.int32)
-    for k in range(len(nodes) - 1):
-        after = slice(k + 1, None)
-        less, more = np.minimum(sizes[after], sizes[k]), np.maximum(sizes[after], sizes[k])
-        apart = (group_of[after] != group_of[k]) & (100 * less >= percent * more)
-        if two:
-            apart &= blocks[after] != blocks[k]
-        others = np.flatnonzero(apart) + k + 1
-        for some in np.array_split(others, -(-len(others) // 256) or 1):
-            common = np.minimum(held[some], held[k]).sum(axis=1)
-            far = (signatures[some] != signatures[k]).sum(axis=1) > NEAR_DISTANCE
-            able = 100 * common >= percent * (sizes[some] + sizes[k] - common)
-            for j in some[far & able].tolist():
-                if group_of[j] != group_of[k] and similar(sets[k], sets[j], percent):
-                    links.append((nodes[k], nodes[j]))
-                    group_of[group_of == group_of[j]] = group_of[k]
     return links
 
 
