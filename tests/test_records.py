@@ -148,3 +148,20 @@ def test_a_lost_block_is_an_error(spark, tmp_path, blocks_of):
     blocks_of(90)
     with pytest.raises(Exception, match="dealt out differently"):
         records.split_records(spark, str(tmp_path), found).collect()
+
+
+def test_wide_files_do_not_move_the_blocks_of_the_others(spark, tmp_path):
+    """Blocks are sized by the bytes of all files, where no other limit holds."""
+    rows = [(str(k), f"é {k}\nnächste") for k in range(4_000)]
+    for name, encoding, copies in (("a.csv", "utf-8", 1), ("b.csv", "utf-16", 4)):
+        with open(tmp_path / name, "w", newline="", encoding=encoding) as file:
+            writer = csv.writer(file)
+            writer.writerows([("id", "r"), *rows * copies])
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1_000)
+    try:
+        got = read_responses(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got)) == sorted(rows * 5)

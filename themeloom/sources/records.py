@@ -284,16 +284,15 @@ def split_records(spark: SparkSession, path: str | list[str], blocks: DataFrame,
     """
     found = blocks.agg(F.count("*").alias("blocks"), F.bool_or("broken").alias("broken")).first()
     lines = raw_lines(spark, path, multi_line)
-    others = own_reader_files(blocks)
-    if others:
-        # Spark lists files on its driver, and this list is a part of that one; they are not opened.
-        lines = lines.where(~F.col("_file").isin(others))
-    starts = blocks.select("_file", "_block", "inside", "owner")
+    starts = blocks.select("_file", "_block", "inside", "owner", "own_reader")
     if found.blocks > BROADCAST_ROWS:
         known = lines.withColumn("place", F.monotonically_increasing_id()).join(starts, ["_file", "_block"], "left")
         known = known.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "place")
     else:
         known = lines.join(F.broadcast(starts), ["_file", "_block"], "left")
+    # Spark sizes blocks by the bytes of all files it scans, so files that are left out here are left out
+    # after the scan: a condition on their names would take them out of the listing and move the blocks of the others.
+    known = known.where(~F.coalesce("own_reader", F.lit(False)))
     lost = F.raise_error(F.lit("files were dealt out differently in two scans; read them again")).cast("boolean")
     inside = F.when(F.col("inside").isNull(), lost).otherwise(F.col("inside")).alias("inside")
     split = known.select("_file", "_block", "line", "turn", inside, "owner").mapInArrow(_split, SPLIT_SCHEMA)
