@@ -197,12 +197,15 @@ def write_csv(
     one_file: bool = False,
     rows_from: DataFrame | None = None,
     mode: str = "error",
+    keep_empty: bool = False,
 ) -> None:
     """Write a folder of CSV parts; an empty table is an error and writes nothing.
 
     ``rows_from`` names an input that is empty just when ``df`` is, so that the
     check does not start the whole plan. ``one_file`` keeps the row order of
-    ``df`` in a single part, for small files that people hand on.
+    ``df`` in a single part, for small files that people hand on. ``keep_empty``
+    writes empty texts as a pair of quotes, which Spark's reader tells from a
+    missing cell if its ``nullValue`` is a text that no cell holds.
     """
     _refuse_empty(df if rows_from is None else rows_from, path)
     (
@@ -210,7 +213,7 @@ def write_csv(
         .write.mode(mode)
         .option("header", header)
         .option("escape", '"')
-        .option("emptyValue", "")
+        .option("emptyValue", '""' if keep_empty else "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
