@@ -27,6 +27,7 @@ NA_TOKENS = (
 )
 
 _ORDER = ("_file", "_block", "_line")
+RUN_BITS = 16  # of a line's number that tell the lines of one run apart
 
 
 def read_csv(
@@ -143,10 +144,18 @@ def read_responses(
 def category_rows(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """``(ord, category)``: the first column of a headerless file, in file order, missing ones dropped.
 
-    The numbering runs in one task; categories become columns, so they are few.
+    Lists may be long: rows are ranked within runs of lines, and only the sizes of the runs are summed in one place.
     """
     rows = read_table(spark, path, encoding, names=["category"]).where(~F.col("category").isin(list(NA_TOKENS)))
-    return rows.select((F.row_number().over(Window.orderBy(*_ORDER)) - 1).alias("ord"), "category")
+    rows = rows.withColumn("_run", F.shiftright("_line", RUN_BITS))
+    run = ["_file", "_block", "_run"]
+    earlier = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*run).agg(F.count("*").alias("_size"))
+    starts = sizes.select(*run, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    # A run holds a row at least, so its start is its own; only numbers and names are shuffled.
+    started = rows.join(F.broadcast(starts), run).select("_start", "_line", "category")
+    place = F.row_number().over(Window.partitionBy("_start").orderBy("_line")) - 1
+    return started.select((F.col("_start") + place).cast("int").alias("ord"), "category")
 
 
 def read_categories(spark: SparkSession, path: str, encoding: str | None = None) -> list[str]:
