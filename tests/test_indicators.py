@@ -182,6 +182,19 @@ def test_a_hot_answer_in_many_columns_is_spread(spark, tmp_path):
     assert counts == {(1, 0, 1): 20_000, (0, 1, 1): 20_000, (None, None, 1): 20_000}
 
 
+def test_rows_of_frequent_answers_only_stay(spark, tmp_path, monkeypatch):
+    df, codes = skewed(spark, tmp_path)
+    df = df.select("id", "r", F.lit("hot").alias("p"))
+    looked_up, results = [], []
+    lookup = indicators._shuffled_lookup
+    monkeypatch.setattr(indicators, "_shuffled_lookup", lambda df, *rest: looked_up.append(df.count()) or lookup(df, *rest))
+    for most in (256, 0):
+        monkeypatch.setattr(indicators, "MOST_NEAR", most, raising=False)
+        results.append(sorted(categorize(df, codes, ["A", "B", "Uncategorized"], broadcast_bytes=0).collect(), key=lambda r: r.id))
+    assert results[0] == results[1]
+    assert looked_up == [20_000, 100_000]
+
+
 def test_the_plan_of_masks_is_the_same_for_thousands_of_categories(spark):
     codes = codeframe(spark, {"a": ["C7", "C1999", "Nope"], "b": ["Uncategorized", "C0"], "c": ["C0", "Uncategorized", "Nope"]})
     plans = []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from themeloom.tables import column, materialize, measured_bytes
 
 WORD_BITS = 62  # categories per mask column
 HOT_SHARE = 4  # an answer is hot when it fills more than 1/4 of an average shuffle partition
+MOST_NEAR = 256  # hot answers whose masks are part of the plan, where a row compares its own with each
 STREAM_SPREAD = 8  # places every answer of a stream is spread over, as none can be counted before
 
 
@@ -103,7 +106,7 @@ def hot_digests(answers: DataFrame, partitions: int) -> list[int]:
     counts = materialize(counts, "answer-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") * F.lit(HOT_SHARE * partitions) > F.lit(total))
-    return [row.digest for row in hot.select("digest").collect()]
+    return [row.digest for row in hot.orderBy(F.desc("n")).collect()]
 
 
 def _broadcast_lookup(df: DataFrame, name: str, masks: DataFrame, suffix: str) -> DataFrame:
@@ -145,28 +148,42 @@ def _shuffled_lookup(
 def _narrow_lookup(
     df: DataFrame, response_columns: Sequence[str], masks: DataFrame, partitions: int
 ) -> tuple[DataFrame, list[Column]]:
-    """All response columns looked up at once: only digests meet the masks, and a row is moved once.
+    """All response columns looked up at once: only digests meet the masks, and a row is moved once at most.
 
-    The rows are written with a number. Their answers become a long table of (row, column, digest), which is
-    joined to the masks by digest as one response column is; the masks found come back
-    as one entry per row, to which the row is joined by its number.
+    The rows are written with a number. The masks of frequent answers, which are few, go into the plan. The other
+    answers become a long table of (row, column, digest), which is joined to the masks by digest as one
+    response column is; the masks found come back as one entry per row, to which the row is joined
+    by its number. Rows with frequent, empty and missing answers only are not moved.
     """
     df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "responses")
-    digests = [F.when(column(name) != "", F.md5(column(name))).alias(f"c{i}") for i, name in enumerate(response_columns)]
-    wide = df.select("_row", *digests)
-    hot = hot_digests(wide, partitions)
-    long = unpivot_responses(wide)
+    texts = [F.when(column(name) != "", F.md5(column(name))) for name in response_columns]
+    names = [f"c{i}" for i in range(len(response_columns))]
+    hot = hot_digests(df.select("_row", *[text.alias(c) for c, text in zip(names, texts)]), partitions)
+    near, far = hot[:MOST_NEAR], hot[MOST_NEAR:]
+
+    def is_near(text: Column) -> Column:
+        return F.xxhash64(text).isin(near) if near else F.lit(False)
+
     side = masks.select(F.md5("response").alias("response"), "mask")
-    found = _shuffled_lookup(long, "response", side, "found", hot, partitions, ["_row", "response_column"])
+    entries = side.where(is_near(F.col("response"))).collect()
+    keys = F.from_json(F.lit(json.dumps([r.response for r in entries])), "array<string>")
+    values = F.from_json(F.lit(json.dumps([r.mask for r in entries])), "array<array<bigint>>")
+    known = [F.get(values, F.array_position(keys, text).cast("int") - 1) for text in texts]
+    others = [F.when(~is_near(text), text) for text in texts]
+    moves = reduce(lambda a, b: a | b, [text.isNotNull() for text in others])
+    rows = df.select("*", *[value.alias(f"_known_{c}") for c, value in zip(names, known)], moves.alias("_moves"))
+
+    long = unpivot_responses(df.select("_row", *[text.alias(c) for c, text in zip(names, others)]))
+    found = _shuffled_lookup(long, "response", side, "found", far, partitions, ["_row", "response_column"])
     found = found.where(F.col("mask_found").isNotNull()).groupBy("_row").agg(
-        *[
-            F.max(F.when(F.col("response_column") == f"c{i}", F.col("mask_found"))).alias(f"_mask_c{i}")
-            for i in range(len(response_columns))
-        ]
+        *[F.max(F.when(F.col("response_column") == c, F.col("mask_found"))).alias(f"_mask_{c}") for c in names]
     )
     # One row per number on both sides; measured as too large to broadcast.
-    joined = df.join(found.hint("merge"), "_row", "left").drop("_row")
-    return joined, [F.col(f"_mask_c{i}") for i in range(len(response_columns))]
+    moved = rows.where("_moves").join(found.hint("merge"), "_row", "left")
+    own = [column(c) for c in df.columns if c != "_row"]
+    stay = rows.where("NOT _moves").select(*own, *[F.col(f"_known_{c}").alias(f"_mask_{c}") for c in names])
+    both = [F.coalesce(f"_mask_{c}", f"_known_{c}").alias(f"_mask_{c}") for c in names]
+    return stay.unionByName(moved.select(*own, *both)), [F.col(f"_mask_{c}") for c in names]
 
 
 def _with_masks(
