@@ -5,12 +5,13 @@ from collections import namedtuple
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 from themeloom.clients import ChatClient, FirstWordClient, KeywordClient, RateLimited, ScriptedClient
 from themeloom.config import CodingSettings
-from themeloom.functions.prompts import token_counter
+from themeloom.functions.prompts import coding_prompt, token_counter
 from themeloom.operators import inference
 from themeloom.operators.coding import build_codeframe, coding_report
-from themeloom.operators.inference import CodeReply, Pace, coding_requests, read_ledger, run_requests
+from themeloom.operators.inference import CodeReply, Pace, coding_requests, read_ledger, run_requests, with_request
 from themeloom.plans.jobs import (
     code_batches,
     create_codeframe,
@@ -412,3 +413,14 @@ def test_a_restart_reads_the_ledger_once_before_its_waves(spark, tmp_path, monke
     assert code_batches(many, CATEGORIES, lambda: KeywordClient(False), settings, ledger).count() == 40
     assert len(plans) == 10 and not any("Join" in plan or "status" in plan for plan in plans)
     assert read_ledger(spark, ledger).count() == 40
+
+
+def test_written_requests_hold_each_answer_once(spark):
+    """A prompt is made of the answers again where it is asked."""
+    batches = spark.createDataFrame([(0, ["a long answer", "another"]), (1, ["third"])], "batch_id long, responses array<string>")
+    settings = CodingSettings(question="Why?")
+    requests = with_request(batches, lambda r: coding_prompt(r, "Why?", ["A"], False), settings)
+    written = spark.read.parquet(*requests.inputFiles())
+    assert "prompt" not in written.columns and "responses" in written.columns
+    keys = requests.select("request_key", F.md5(F.concat(F.lit(settings.reader_key + "\n"), "prompt")).alias("own")).collect()
+    assert len(keys) == 2 and all(r.request_key == r.own for r in keys)

@@ -245,12 +245,16 @@ def with_request(
         prompt_of(F.col("_part")).alias("prompt"),
     )
     asked = asked.select(
-        "*",
+        "batch_id",
+        "request_no",
+        "responses",
         F.md5(F.concat(F.lit(settings.reader_key + "\n"), F.col("prompt"))).alias("request_key"),
         F.size("responses").alias("answers"),
         cost(F.col("prompt")).alias("cost"),
     )
-    return materialize(asked.sortWithinPartitions("request_no"), "requests")
+    # A prompt holds the answers once more, so it is not written but made again where it is read.
+    asked = materialize(asked.sortWithinPartitions("request_no"), "requests", texts=True)
+    return asked.withColumn("prompt", prompt_of(F.col("responses")))
 
 
 def coding_requests(batches: DataFrame, categories: Sequence[str], settings: CodingSettings) -> DataFrame:

@@ -181,9 +181,9 @@ def extend_codeframe(
     if settings.is_multicode:
         coded = coded.where(F.col("categories").isNotNull())
     # Used to find what is new and in the result, and computed once.
-    known = materialize(coded.select("response", "categories" if settings.is_multicode else "category"), "known")
+    known = materialize(coded.select("response", "categories" if settings.is_multicode else "category"), "known", texts=True)
     answers = distinct_responses(clean_responses(responses), keep_empty=False)
-    new = materialize(answers.join(known.select("response"), "response", "left_anti"), "new-answers")
+    new = materialize(answers.join(known.select("response"), "response", "left_anti"), "new-answers", texts=True)
     batches = make_batches(new, settings.batch_size)
     allowed = promptable_categories(list(categories))
     asked = code_batches(batches, allowed, client_factory, settings, ledger_path)

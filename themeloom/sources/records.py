@@ -298,7 +298,7 @@ def split_records(spark: SparkSession, path: str | list[str], blocks: DataFrame,
     split = known.select("_file", "_block", "line", "turn", inside, "owner").mapInArrow(_split, SPLIT_SCHEMA)
     if found.broken:
         # Read twice below, and scanned once.
-        split = materialize(split, "records")
+        split = materialize(split, "records", texts=True)
     kinds = blocks.where("_block = 0").select("_file", "encoding")
     split = split.join(small(kinds, found.blocks), "_file").withColumn("record", _decoded(F.col("record"), F.col("encoding")))
     whole = split.where(F.col("owner").isNull()).select("_file", "_block", "_line", "first", "record")

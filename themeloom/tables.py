@@ -62,11 +62,16 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, texts: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
+
+    ``texts`` says that long texts are most of it, which zstd makes much smaller.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write
+    if texts:
+        writer = writer.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
