@@ -424,3 +424,15 @@ def test_written_requests_hold_each_answer_once(spark):
     assert "prompt" not in written.columns and "responses" in written.columns
     keys = requests.select("request_key", F.md5(F.concat(F.lit(settings.reader_key + "\n"), "prompt")).alias("own")).collect()
     assert len(keys) == 2 and all(r.request_key == r.own for r in keys)
+
+
+def test_a_wave_reads_its_own_run_of_each_file(spark):
+    """Reading a run of the batches skips the pages of all others, so the waves together read the requests about once."""
+    many = spark.range(8_000).select(F.col("id").alias("batch_id"), F.array(F.col("id").cast("string")).alias("responses"))
+    requests = coding_requests(many, CATEGORIES, FAST)
+    files = len(requests.inputFiles())
+    wave = requests.where((F.col("batch_id") >= 4_000) & (F.col("batch_id") < 4_100)).select("request_key", "responses")
+    assert sorted(int(r.responses[0]) for r in wave.collect()) == list(range(4_000, 4_100))
+    scan = wave._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = scan.metrics().apply("numOutputRows").value()
+    assert 100 <= read <= 100 + 2 * inference.PAGE_ROWS * files and read < 1_000

@@ -216,6 +216,7 @@ def ask_model(
 
 
 PART_BITS = 20  # of a request's number that tell the parts of one batch
+PAGE_ROWS = 128  # requests of one page, the least that a wave reads of a file
 
 
 def with_request(
@@ -253,7 +254,8 @@ def with_request(
         cost(F.col("prompt")).alias("cost"),
     )
     # A prompt holds the answers once more, so it is not written but made again where it is read.
-    asked = materialize(asked.sortWithinPartitions("request_no"), "requests", texts=True)
+    # Each wave reads a run of the batches, which lie in pages of their own in each file.
+    asked = materialize(asked.sortWithinPartitions("request_no"), "requests", texts=True, page_rows=PAGE_ROWS)
     return asked.withColumn("prompt", prompt_of(F.col("responses")))
 
 

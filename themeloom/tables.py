@@ -62,16 +62,22 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None, texts: bool = False) -> DataFrame:
+def materialize(
+    df: DataFrame, label: str, partition_by: str | None = None, texts: bool = False, page_rows: int | None = None
+) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut.
 
-    ``texts`` says that long texts are most of it, which zstd makes much smaller.
+    ``texts`` says that long texts are most of it, which zstd makes much smaller. ``page_rows`` is for a
+    table that is sorted and read in runs: a read skips pages of that many rows, where the default of
+    20,000 rows makes it read all of a row group.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write
     if texts:
         writer = writer.option("compression", "zstd")
+    if page_rows:
+        writer = writer.option("parquet.page.row.count.limit", page_rows)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
