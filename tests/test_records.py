@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from themeloom.sources import records
 from themeloom.sources.csv_tables import read_codeframe_single, read_responses, read_table
@@ -165,3 +166,13 @@ def test_wide_files_do_not_move_the_blocks_of_the_others(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert sorted(map(tuple, got)) == sorted(rows * 5)
+
+
+def test_ends_of_a_record_are_cut_without_reading_it(spark):
+    """One return behind and one mark in front go, and no expression runs over the whole record for that."""
+    mark = "\ufeff"
+    cut = {"a\r": "a", "a\r\r": "a\r", f"{mark}a": "a", f"{mark}{mark}a\r": f"{mark}a", f"a{mark}": f"a{mark}", "\ra": "\ra",
+           f"{mark}\r": "", "\r": "", "": "", None: None, f"é\U0001f600{mark}\r": f"é\U0001f600{mark}"}
+    rows = spark.createDataFrame([(text,) for text in cut], "text string").select("text", records._record(F.col("text")).alias("cut"))
+    assert {r.text: r.cut for r in rows.collect()} == cut
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -268,8 +268,9 @@ def _decoded(record: Column, encoding: Column) -> Column:
 
 
 def _record(text: Column) -> Column:
-    """A record without a mark in front or a return behind."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\\z", ""), "^\ufeff", "")
+    """A record without a mark in front or a return behind: only its ends are looked at, however long it is."""
+    text = F.when(F.endswith(text, F.lit("\r")), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substr(text, F.lit(2))).otherwise(text)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
